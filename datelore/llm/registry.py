@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datelore.llm import bpe, chat, decontaminate, shards, urls
+from datelore.llm import bpe, chat, decontaminate, licenses, shards, urls
 
-_MODULES = (urls, shards, chat, decontaminate, bpe)
+_MODULES = (urls, shards, chat, decontaminate, licenses, bpe)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
