@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datelore.llm import bpe, chat, decontaminate, language, licenses, shards, toxicity, urls
+from datelore.llm import bpe, chat, decontaminate, language, licenses, shards, toxicity, urls, vectors
 
-_MODULES = (urls, shards, language, toxicity, chat, decontaminate, licenses, bpe)
+_MODULES = (vectors, urls, shards, language, toxicity, chat, decontaminate, licenses, bpe)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
