@@ -85,3 +85,25 @@ def dealt_in_blocks(rows: DataFrame, keys: list[str], id_col: str, block_rows: i
         .withColumn("hi", F.greatest("blk", "_other"))
         .drop("_n", "_k", "_other")
     )
+
+
+def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple]:
+    """(key, *columns as lists) for each run of rows that agree in the first n_keys columns, over batch bounds; one group is held at a time."""
+    key, held = None, None
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        keys = list(zip(*columns[:n_keys], strict=True))
+        start = 0
+        for k in range(1, len(keys) + 1):
+            if k == len(keys) or keys[k] != keys[start]:
+                piece = [c[start:k] for c in columns[n_keys:]]
+                if keys[start] == key:
+                    for a, b in zip(held, piece, strict=True):
+                        a.extend(b)
+                else:
+                    if key is not None:
+                        yield key, *held
+                    key, held = keys[start], piece
+                start = k
+    if key is not None:
+        yield key, *held
