@@ -1,12 +1,79 @@
-"""A corpus from raw documents to token ids in stages, each one written and read again."""
+"""A corpus from raw documents to token ids, in stages that are each written and read again.
+
+Every stage takes what its predecessor kept and judges whole texts. ORACLE_SQL is None: models, joins by
+exact shingle sets and byte pairs have no SQL form, so tests/llm compares the result with the plain rules.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from datelore.llm import bpe, decontaminate, jaccard, language, toxicity
+from datelore.llm.common import read_table, written
+
+#: A text whose best language has no more than this share of the evidence is in none that the model knows.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below one half, by a model of the labelled ones among them."""
+    model = toxicity.fit_documents(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).where("score < 0.5").select(*docs.columns)
+
+
+def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones among them teach; texts without letters or without evidence go."""
+    found = language.identify(docs, language.fit_documents(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal and near texts, the one with the smallest doc_id.
+
+    Rows that repeat a doc_id with the same set of shingles are one document: one of them stays. Rows without a doc_id, for
+    which no other can stand, stay too.
+    """
+    found = jaccard.near_documents(docs)
+    kept = docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if repeated:
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not hold test passages in a twentieth of their words."""
+    found = decontaminate.mark_contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.where(~decontaminate.is_contaminated()).select(*docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit integers) of every text, and whether they decode to it."""
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.decode_documents(bpe.encode_documents(docs, path, tokenizers.PATTERN), path)
+    return ids.select(
+        "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_languages),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("tokens", to_tokens),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents, each but the last written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs = written(docs) if k + 1 < len(STAGES) else docs
+    return docs

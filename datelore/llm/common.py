@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,19 +24,27 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split() if text else []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by files in the folder that all executors share (spark.checkpoint.dir).
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; only where that is unset, as in local tests, one below the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
-    Only where the session names no such folder, as in local tests, one below the warehouse is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by files in the folder that all executors share."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        context.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet to a new folder in the shared one, and read again."""
+    path = f"{_shared_folder(df.sparkSession)}/stage-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def with_columns_from(docs: DataFrame, text_col: str, ddl: str, make: Callable[[], Callable[[object], tuple]]) -> DataFrame:
     """docs and the columns of ddl, computed row by row from text_col in Arrow batches where the rows lie.
 
