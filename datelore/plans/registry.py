@@ -2,5 +2,21 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from functools import wraps
+
+from datelore.plans import known
+from datelore.plans.views import plain
+
+_MODULES = (known,)
+
+
+def _plain(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        return plain(query(spark, sf_dir))
+
+    return run
+
+
+QUERIES = {name: _plain(query) for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
