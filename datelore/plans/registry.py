@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from datelore.plans import known
+from datelore.plans import decide, known, records
 from datelore.plans.views import plain
 
-_MODULES = (known,)
+_MODULES = (known, records, decide)
 
 
 def _plain(query):
