@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Legal forms that issuer names drop at their end, one word each after normalising.
 LEGAL_SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "llc", "lp", "nv", "sa", "ag", "se")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     """Unicode's compatibility composition, for which SQL has no function; null stays null."""
     return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 LINE_CHARS = 4000
 _SKIPPED = {"script", "style", "noscript", "svg"}
@@ -77,7 +78,7 @@ def html_to_lines(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInPandas(parse, f"{key} {kind}, line_no int, line string")
 
 
-@F.udtf(returnType="pointer string, value string")
+@F.udtf(returnType=StructType([StructField("pointer", StringType()), StructField("value", StringType())]))
 class JsonPointers:
     """Rows (pointer, value) of the leaves of a JSON text, pointers as in RFC 6901. What is no JSON, or lies below max_depth, gives a row with a null value."""
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from datelore.plans import decide, flows, known, records, texts
+from datelore.plans import decide, fits, flows, known, records, texts
 from datelore.plans.views import plain
 
-_MODULES = (known, records, decide, texts, flows)
+_MODULES = (known, records, decide, texts, flows, fits)
 
 
 def _plain(query):
