@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datelore.operators import models, ranking
+from datelore.operators import allocate, models, ranking, splits, training
 from datelore.plans import views
 
 FEATURES = ["n_orders", "mean_price", "last_year"]
@@ -50,9 +50,42 @@ def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", "feature_name", F.round("candidate", 4).alias("candidate"), F.round("gap", 4).alias("gap"))
 
 
-QUERIES = {"k09_additive_scores": additive_scores, "k08_tree_scores": tree_scores, "b29_range_warnings": warnings_of_range, "k11_field_search": field_search}
+def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the chosen model on the test companies, by how many of their features are there."""
+    rows = splits.group_folds(_rows(spark, sf_dir), "c_custkey", 2, 0.2, 11)
+    run = training.train(rows, "c_custkey", {"n_orders": "core", "mean_price": "core", "last_year": "climate"}, "label", "fold", {"bins": [4, 8], "ridge": [0.1, 1.0]})
+    if run.test is None:
+        return spark.createDataFrame([], "coverage_bin int, mae double, rmse double, n long, feature_set string, configuration string")
+    share = sum((F.col(f).isNotNull().cast("int") for f in FEATURES), F.lit(0)) / len(FEATURES)
+    told = run.test.join(_rows(spark, sf_dir).select("c_custkey", training.coverage_bin(share).alias("coverage_bin")), "c_custkey")
+    found = splits.errors(told, ["coverage_bin"], "label", "predicted")
+    return found.select("coverage_bin", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"), "n").withColumns({"feature_set": F.lit(run.feature_set), "configuration": F.lit(run.configuration)})
+
+
+def scenario_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers before and after a capped scenario: scores, ranks and their change."""
+    rows = views.financials(spark, sf_dir).select("company_cik", "sector", F.coalesce("units", F.lit(0.0)).alias("units"), "balance")
+    both = rows.select("company_cik", "sector", (F.col("units") + F.col("balance")).alias("before"), (F.least(F.lit(20000.0), F.col("units") * 1.5) + F.col("balance")).alias("after"))
+    return ranking.rank_change(both, "before", "after", "company_cik").select("company_cik", "rank_before", "rank_after", "rank_change")
+
+
+def scenario_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fund split before and after a scenario, under the same caps."""
+    rows = views.financials(spark, sf_dir).select("company_cik", "industry", F.col("balance").alias("before"), (F.col("balance") * F.when(F.col("sector") == "ASIA", 1.5).otherwise(1.0)).alias("after"))
+    parts = [allocate.greedy(rows, v, "company_cik", "industry", 1_000_003, 12, 0.1, 0.2).select("company_cik", "amount_cents", F.lit(v).alias("variant")) for v in ("before", "after")]
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {"k07_training_run": training_run, "k12_scenario_ranks": scenario_ranks, "k14_scenario_portfolios": scenario_portfolios, "k09_additive_scores": additive_scores, "k08_tree_scores": tree_scores, "b29_range_warnings": warnings_of_range, "k11_field_search": field_search}
+
+_GREEDY = """SELECT company_cik, CAST(least(want, 1000003 - coalesce(sum(want) OVER (ORDER BY s DESC, company_cik ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS amount_cents, '{v}' AS variant
+        FROM (SELECT *, least(100000, 200000 - (k - 1) * 100000) AS want FROM (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY s DESC, company_cik) AS k FROM {v}) WHERE k <= 2 ORDER BY s DESC, company_cik LIMIT 12)"""
 
 ORACLE_SQL = {
+    "k12_scenario_ranks": views.with_views("v_financials") + """ SELECT company_cik, a AS rank_before, b AS rank_after, a - b AS rank_change FROM (SELECT company_cik, row_number() OVER (ORDER BY coalesce(units, 0) + balance DESC, company_cik) AS a,
+        row_number() OVER (ORDER BY least(20000.0, coalesce(units, 0) * 1.5) + balance DESC, company_cik) AS b FROM v_financials)""",
+    "k14_scenario_portfolios": views.with_views("v_financials") + ", before AS (SELECT company_cik, industry, balance AS s FROM v_financials), after AS (SELECT company_cik, industry, balance * CASE WHEN sector = 'ASIA' THEN 1.5 ELSE 1.0 END AS s FROM v_financials) "
+        + "SELECT * FROM (" + _GREEDY.format(v="before") + " UNION ALL " + _GREEDY.format(v="after") + ") WHERE amount_cents > 0",
     "b29_range_warnings": """WITH r AS (SELECT c_custkey, CAST(count(o_orderkey) AS DOUBLE) AS n, CASE WHEN count(o_orderkey) > 5 THEN round(avg(o_totalprice), 2) END AS p, CAST(max(year(o_orderdate)) AS DOUBLE) AS y, count(o_orderkey) AS k
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
         l AS (SELECT c_custkey, 'n_orders' AS feature_name, CASE WHEN k > 0 THEN n END AS value FROM r UNION ALL SELECT c_custkey, 'mean_price', p FROM r UNION ALL SELECT c_custkey, 'last_year', y FROM r),
