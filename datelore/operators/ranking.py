@@ -84,7 +84,7 @@ def remainder_split(groups: DataFrame, share: str, key: str, cents: int) -> Data
 
 def capped_scenario(value: str, factor: float, cap: float = 100.0) -> Column:
     """min(cap, value * factor); a missing value stays missing."""
-    return F.least(F.lit(cap), F.col(value) * factor)
+    return F.when(F.col(value).isNotNull(), F.least(F.lit(cap), F.col(value) * factor))  # least passes nulls over
 
 
 def adjusted(long: DataFrame, changes: list[tuple[str, str, float]]) -> DataFrame:
@@ -105,5 +105,5 @@ def adjusted(long: DataFrame, changes: list[tuple[str, str, float]]) -> DataFram
 def value_grid(current: Column, low: Column, high: Column) -> Column:
     """Candidate values for a search between low and high: both ends, quarter points, and twelve multiples of the current value, clamped, without the current one."""
     quarters = F.array(low, low + (high - low) * 0.25, low + (high - low) * 0.5, low + (high - low) * 0.75, high)
-    multiples = F.transform(F.array(*[F.lit(m) for m in (0.1, 0.25, 0.5, 0.75, 0.9, 1.1, 1.25, 1.5, 2.0, 3.0, 5.0, 10.0)]), lambda m: F.greatest(low, F.least(high, current * m)))
+    multiples = F.transform(F.array(*[F.lit(m) for m in (0.1, 0.25, 0.5, 0.75, 0.9, 1.1, 1.25, 1.5, 2.0, 3.0, 5.0, 10.0)]), lambda m: F.when(current.isNotNull(), F.greatest(low, F.least(high, current * m))))
     return F.filter(F.array_sort(F.array_distinct(F.concat(quarters, multiples))), lambda x: x.isNotNull() & ~x.eqNullSafe(current))

@@ -107,7 +107,7 @@ ORACLE_SQL = {
         round((coalesce(p_margin * .5, 0) + coalesce(p_balance * .3, 0) + coalesce(p_debt * .2, 0)) / (CASE WHEN p_margin IS NULL THEN 0 ELSE .5 END + CASE WHEN p_balance IS NULL THEN 0 ELSE .3 END + CASE WHEN p_debt IS NULL THEN 0 ELSE .2 END), 6) END AS objective_score
         FROM r LEFT JOIN p_margin USING (company_cik) LEFT JOIN p_balance USING (company_cik) LEFT JOIN p_debt USING (company_cik)""",
     "d25_reweighting": _F + " SELECT company_cik, round(balance + cost + 10, 4) AS raw, round(1.5 * balance + .25 * cost + 10, 4) AS personalized FROM v_financials",
-    "d27_sector_shares": _F + """, a AS (SELECT sector, sum(units) AS b, sum(least(40000.0, units * 1.2)) AS a FROM v_financials GROUP BY 1),
+    "d27_sector_shares": _F + """, a AS (SELECT sector, sum(units) AS b, sum(CASE WHEN units IS NOT NULL THEN least(40000.0, units * 1.2) END) AS a FROM v_financials GROUP BY 1),
         s AS (SELECT sector, b / sum(b) OVER () AS sb, a / sum(a) OVER () AS sa FROM a),
         f AS (SELECT *, CAST(floor(sb * 100000000000) AS BIGINT) AS fl, sb * 100000000000 - floor(sb * 100000000000) AS fr FROM s)
         SELECT sector, round(sb, 9) AS share_before, round(sa, 9) AS share_after, CASE WHEN abs(sa - sb) <= 1e-12 THEN 'unchanged' WHEN sa > sb THEN 'up' ELSE 'down' END AS direction,

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from datelore.plans import catalogs, decide, fits, flows, known, records, texts
+from datelore.plans import catalogs, decide, fits, flows, known, proofs, records, texts
 from datelore.plans.views import plain
 
-_MODULES = (known, records, decide, catalogs, texts, flows, fits)
+_MODULES = (known, records, decide, catalogs, proofs, texts, flows, fits)
 
 
 def _plain(query):
