@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_FLOOR, Decimal
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ def eligible(rows: DataFrame, min_coverage: float) -> DataFrame:
 def top_share(rows: DataFrame, score: str, key: str, fraction: float) -> DataFrame:
     """The ceil(n * fraction) rows with the highest score (ties by key)."""
     n = rows.count()
-    keep = -int(-(Decimal(n) * Decimal(str(fraction))) // 1)
+    keep = int((Decimal(n) * Decimal(str(fraction))).to_integral_value(rounding=ROUND_CEILING))
     return rows.orderBy(F.col(score).desc(), key).limit(keep)
 
 
