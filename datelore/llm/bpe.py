@@ -20,8 +20,8 @@ from xxhash import xxh64_intdigest
 
 from datelore.llm.common import read_table, with_columns_from
 
-#: Pre-tokens that a task remembers the ids of, about 160 MB.
-MEMO_ENTRIES = 800_000
+#: Pre-tokens that a task remembers the ids of, about 120 MB.
+MEMO_ENTRIES = 600_000
 
 # regex counts U+001C to U+001F among \s, the Unicode property White_Space does not; the pattern means the property.
 _SPACE = r"[\t-\r \x85\xA0  -     　]"

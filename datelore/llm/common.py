@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -13,6 +16,9 @@ from pyspark.sql.types import StructType
 #: Words of the contracts: everything but ASCII characters that are no digit and no small letter, after A-Z became a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Rows of a batch that are worked on at a time.
+BATCH_ROWS = 500
+
 # UTF-8 bytes to UTF-8 bytes: A-Z in small letters, every other ASCII byte that no word holds becomes a space.
 _TO_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -45,6 +51,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _give_back() -> None:
+    """Returns the memory that a task's caches and batches held: a worker process outlives its tasks and serves other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def with_columns_from(docs: DataFrame, text_col: str, ddl: str, make: Callable[[], Callable[[object], tuple]]) -> DataFrame:
     """docs and the columns of ddl, computed row by row from text_col in Arrow batches where the rows lie.
 
@@ -57,16 +71,19 @@ def with_columns_from(docs: DataFrame, text_col: str, ddl: str, make: Callable[[
     place, schema = docs.columns.index(text_col), StructType([*(docs.schema[c] for c in kept), *new.fields])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, arrow = make(), None
-        for batch in batches:
-            rows = [of(x.as_py()) for x in batch.column(place)]
-            if arrow is None:
-                from pyspark.sql.pandas.types import to_arrow_schema
-
-                arrow = to_arrow_schema(new)
-            columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
-            made = [pa.array(list(column), field.type) for column, field in zip(columns, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), *made], [*kept, *new.names])
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        of, arrow = make(), to_arrow_schema(new)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, BATCH_ROWS):  # small results: what waits to be sent is bounded by rows
+                    part = batch.slice(start, BATCH_ROWS)
+                    columns = zip(*[of(x.as_py()) for x in part.column(place)], strict=True)
+                    made = [pa.array(list(column), field.type) for column, field in zip(columns, arrow, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.names.index(c)) for c in kept), *made], [*kept, *new.names])
+        finally:
+            of = None
+            _give_back()
 
     return docs.mapInArrow(mapped, schema)
 

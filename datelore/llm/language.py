@@ -45,7 +45,7 @@ class Model:
         known = self._seen.get(word)
         if known is None:
             known = self._backed_off(word)
-            if len(self._seen) >= 200_000:
+            if len(self._seen) >= 100_000:
                 self._seen.clear()
             self._seen[word] = known
         return known

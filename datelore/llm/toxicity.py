@@ -70,7 +70,7 @@ class Model:
         x = self.words.get(word)
         if x is None and (x := self._seen.get(word)) is None:
             x = next((p for n in PREFIXES if len(word) >= n and (p := self.prefixes.get(word[:n])) is not None), 0.0)
-            if len(self._seen) >= 200_000:
+            if len(self._seen) >= 100_000:
                 self._seen.clear()
             self._seen[word] = x
         return x
