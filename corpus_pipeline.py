@@ -15,6 +15,8 @@ from datelore.llm.common import read_table, written
 
 #: A text whose best language has no more than this share of the evidence is in none that the model knows.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Pre-tokens remembered by a task of the last stage: fewer than for encoding alone, as its workers have served the stages before.
+MEMO_ENTRIES = 200_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) of every text, and whether they decode to it."""
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.decode_documents(bpe.encode_documents(docs, path, tokenizers.PATTERN), path)
+    ids = bpe.decode_documents(bpe.encode_documents(docs, path, tokenizers.PATTERN, memo_entries=MEMO_ENTRIES), path)
     return ids.select(
         "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),

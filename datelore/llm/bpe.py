@@ -20,8 +20,8 @@ from xxhash import xxh64_intdigest
 
 from datelore.llm.common import read_table, with_columns_from
 
-#: Pre-tokens that a task remembers the ids of, about 120 MB.
-MEMO_ENTRIES = 600_000
+#: Pre-tokens that a task remembers the ids of, about 160 MB.
+MEMO_ENTRIES = 800_000
 
 # regex counts U+001C to U+001F among \s, the Unicode property White_Space does not; the pattern means the property.
 _SPACE = r"[\t-\r \x85\xA0  -     　]"
@@ -141,12 +141,12 @@ def load_vocabulary(path: str) -> Vocabulary:
 class _Memo(dict):
     """Pre-token to its ids, packed as little-endian unsigned 32-bit integers.
 
-    Holds MEMO_ENTRIES at most: when full, the entries used since the last time it was full stay at hand in older.
+    Holds so many entries at most: when full, the entries used since the last time it was full stay at hand in older.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, entries: int):
         super().__init__()
-        self.encode, self.older = vocabulary.encode, {}
+        self.encode, self.older, self.half = vocabulary.encode, {}, entries // 2
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
@@ -154,14 +154,14 @@ class _Memo(dict):
             found = self.encode(piece.encode("utf-8", "surrogatepass"))
             ids = pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
-            if len(self) >= MEMO_ENTRIES // 2:
+            if len(self) >= self.half:
                 self.older = self.copy()
                 self.clear()
             self[piece] = ids
         return ids
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text", memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """docs and the column ids (binary: little-endian unsigned 32-bit integers) of every whole text.
 
     path names a rank file that is installed on every node; pattern splits a text, each match is encoded apart, and
@@ -171,7 +171,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
     """
 
     def make():
-        split, memo = compiled(pattern).findall, _Memo(load_vocabulary(path))
+        split, memo = compiled(pattern).findall, _Memo(load_vocabulary(path), memo_entries)
         return lambda text: (b"".join(map(memo.__getitem__, split(text))) if text else b"",)
 
     return with_columns_from(docs, text_col, "ids binary", make)
