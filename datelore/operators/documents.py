@@ -112,19 +112,23 @@ def search_lines(lines: DataFrame, key: str, terms: list[str], context: int) ->
 def ground_quotes(docs: DataFrame, quotes: DataFrame, key: str, anchor_words: int = 5) -> DataFrame:
     """(quote_id, key, start, n_places) of quotes (quote_id, quote) that stand literally in a text: the first place (from 0) and how many there are.
 
-    The hash of a quote's first whole words is looked up among those of all runs of as many words of each text, an equi-join; only texts that hold the run are
-    compared with the quote. Quotes need one word more than the run, for their last word may be the start of a longer one; shorter ones are not grounded.
+    The hash of a run of a quote's inner words, which are whole wherever it stands, is looked up among those of all runs of as many words of each text, an equi-join;
+    only texts that hold the run are compared with the quote. The first and last word of a quote may be part of a longer one, so a run has up to anchor_words words,
+    fewer in a quote of less than anchor_words + 2. Quotes of one or two words, or of none, have no inner word and are compared with every text. Empty quotes are not grounded.
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    grams = F.transform(
-        F.when(F.size("_w") >= anchor_words, F.sequence(F.lit(1), F.size("_w") - (anchor_words - 1))).otherwise(F.array().cast("array<int>")), lambda p: F.xxhash64(F.slice("_w", p, anchor_words))
-    )
-    # a quote may begin within a word of the text, so its run starts at its second word
-    anchors = quotes.select("quote_id", "quote", F.explode(F.array(words(F.col("quote")))).alias("_w")).where(F.size("_w") >= anchor_words + 2)
-    anchors = anchors.select("quote_id", "quote", F.xxhash64(F.slice("_w", 2, anchor_words)).alias("_gram"))
-    runs = docs.select(key, F.explode(F.array(words(F.col("text")))).alias("_w")).select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
+    told = quotes.where("quote <> ''").select("quote_id", "quote", F.explode(F.array(words(F.col("quote")))).alias("_w"))
+    anchors = told.where("size(_w) > 2").withColumn("_size", F.least(F.size("_w") - 2, F.lit(anchor_words)))
+    sizes = anchors.agg(F.collect_set("_size").alias("_sizes"))  # one row of at most anchor_words numbers
+    anchors = anchors.select("quote_id", "quote", F.xxhash64(F.slice("_w", F.lit(2), F.col("_size"))).alias("_gram"))
+    starts = lambda n: F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
+    grams = F.flatten(F.transform("_sizes", lambda n: F.transform(starts(n), lambda p: F.xxhash64(F.slice("_w", p, n)))))
+    runs = docs.select(key, F.explode(F.array(words(F.col("text")))).alias("_w")).crossJoin(F.broadcast(sizes)).select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
     near = runs.join(anchors, "_gram").select(key, "quote_id", "quote").join(docs.select(key, "text"), key)
-    return near.where(F.col("text").contains(F.col("quote"))).select(
+    short = told.where("size(_w) <= 2").select("quote_id", "quote")
+    held = F.col("text").contains(F.col("quote"))
+    found = near.where(held).unionByName(docs.select(key, "text").join(short, held).select(*near.columns))
+    return found.select(
         "quote_id", key, (F.instr("text", F.col("quote")) - 1).alias("start"),
         ((F.length("text") - F.length(F.replace("text", F.col("quote"), F.lit("")))) / F.length("quote")).cast("int").alias("n_places"),
     )
