@@ -21,7 +21,8 @@ PATTERN_RULES = (
     (r"(?:^|[.-])spam-", ("spam",), "block"),
     (r"(?:^|[.-])cheap-pills[.-]", ("cheap", "pills"), "block"),
     (r"(?:^|[.-])casino[.-]", ("casino",), "block"),
-    (r"/(?:wp-login|xmlrpc)\.php", ("php",), "block"),
+    (r"/wp-login\.php", ("wp", "login"), "block"),  # "php" is no token of these two: nothing closes it on the right
+    (r"/xmlrpc\.php", ("xmlrpc",), "block"),
     (r"/download/crack/", ("download", "crack"), "block"),
 )
 

@@ -88,6 +88,22 @@ def test_blocks_meet_once(spark):
 # op2
 
 
+def test_pattern_rules_fit_what_their_expressions_fit(spark):
+    parts = ["wp-login.php", "xmlrpc.php", "spam-", "cheap-pills", "casino", "download/crack/", "wp-login", "WP-login.php"]
+    made = [f"http://{h}{p}{t}" for h in ("a.com/", "a.com/x", "a.com/x.", "a-", "") for p in parts for t in ("", "5", "x", "7/y", "-z", ".z", "/z", "é")]
+    key = F.concat(*urls.split_url("url"))
+    df = spark.createDataFrame([(u,) for u in made], "url string").withColumn("key", key)
+    for k, (pattern, tokens, verdict) in enumerate(urls.PATTERN_RULES):
+        want = {r.url for r in df.where(F.col("key").rlike(pattern)).collect()}
+        got = {r.url for r in urls.judge_urls(df, urls.rule_table(spark, (), ((pattern, tokens, verdict),))).where(F.col("verdict") == verdict).collect()}
+        assert want and got == want, k
+    wrong = F.lit(False)
+    for pattern in (r"(?:^|[.-])spam-", r"(?:^|[.-])cheap-pills[.-]", r"(?:^|[.-])casino[.-]", r"/(?:wp-login|xmlrpc)\.php", r"/download/crack/"):  # as in the query's SQL
+        wrong = wrong | F.col("key").rlike(pattern)
+    judged = urls.judge_urls(df, urls.rule_table(spark, ())).withColumn("want", F.when(wrong, "block").otherwise("allow"))
+    assert judged.where("verdict <> want").count() == 0
+
+
 def test_urls(spark):
     made = {
         "http://net/": ("net", "/", "net/", "block"), "https://A.NET/x?y": ("a.net", "/x", "net/", "block"), "http://w.example.net/en/1": ("w.example.net", "/en/1", "example.net/en/", "allow"),
