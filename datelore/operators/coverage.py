@@ -31,12 +31,12 @@ def coverage(cells: DataFrame, keys: list[str], category: Column) -> DataFrame:
     return view.select(*keys, F.when(F.col("is_total") == 0, F.col("category")).alias("category"), "n_cells", "n_values", F.round(share, 6).alias("share"), level(share).alias("level"))
 
 
-def support(cells: DataFrame, by: list[str], n_rows: int, minimum: int, fraction: float, distinct: int) -> DataFrame:
+def support(cells: DataFrame, by: list[str], minimum: int, fraction: float, distinct: int) -> DataFrame:
     """Features with counts of values, distinct values and zeros, and the reasons why they may not enter a model.
 
-    A feature needs max(minimum, ceil(fraction * n_rows)) values, and distinct different ones. A reported zero is a value.
+    A feature needs max(minimum, ceil(fraction * its cells, with or without a value)) values, and distinct different ones. A reported zero is a value.
     """
-    need = max(minimum, -int(-fraction * n_rows // 1))
+    need = F.greatest(F.lit(minimum), F.ceil(F.lit(fraction) * (F.col("n_values") + F.col("n_missing"))))
     found = cells.groupBy(*by, "feature_name").agg(
         F.count("value").alias("n_values"), F.countDistinct("value").alias("n_distinct"), F.count_if(F.col("value") == 0).alias("n_zero"), F.count_if(F.col("value").isNull()).alias("n_missing")
     )

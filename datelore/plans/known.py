@@ -48,7 +48,7 @@ def row_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = feature_matrix(spark, sf_dir)
     cells = coverage.long_cells(matrix, _KEYS, [f"f{f[0]}" for f in FEATURES])
-    return coverage.support(cells, ["as_of"], 400, 20, 0.1, 5)
+    return coverage.support(cells, ["as_of"], 20, 0.1, 5)
 
 
 def previous_score(spark: SparkSession, sf_dir: str) -> DataFrame:
