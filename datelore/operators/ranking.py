@@ -102,8 +102,36 @@ def adjusted(long: DataFrame, changes: list[tuple[str, str, float]]) -> DataFram
     return both.withColumns({"new_value": new, "outcome": outcome}).drop("_feature", "_operation", "_amount")
 
 
-def value_grid(current: Column, low: Column, high: Column) -> Column:
-    """Candidate values for a search between low and high: both ends, quarter points, and twelve multiples of the current value, clamped, without the current one."""
-    quarters = F.array(low, low + (high - low) * 0.25, low + (high - low) * 0.5, low + (high - low) * 0.75, high)
-    multiples = F.transform(F.array(*[F.lit(m) for m in (0.1, 0.25, 0.5, 0.75, 0.9, 1.1, 1.25, 1.5, 2.0, 3.0, 5.0, 10.0)]), lambda m: F.when(current.isNotNull(), F.greatest(low, F.least(high, current * m))))
-    return F.filter(F.array_sort(F.array_distinct(F.concat(quarters, multiples))), lambda x: x.isNotNull() & ~x.eqNullSafe(current))
+def observed_points(long: DataFrame, ranges: DataFrame, points: int = 21) -> DataFrame:
+    """ranges (feature_name, low, high) with what value_grid asks of the values seen in long (feature_name, value) within them.
+
+    observed: up to points of the distinct values, evenly spaced by place from the first to the last; least_positive: the smallest one above zero. Both are null
+    where no value lies in the range. Places are numbered over partitions, so no task holds all values of a feature.
+    """
+    seen = long.where("value is not null and not isnan(value)").join(F.broadcast(ranges), "feature_name").where("value between low and high")  # a row for each feature
+    placed = checkpointed(numbered(seen.select("feature_name", "value").distinct(), [F.col("feature_name"), F.col("value")], "_n"))
+    spans = placed.groupBy("feature_name").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_all"), F.min(F.when(F.col("value") > 0, F.col("value"))).alias("least_positive"))
+    steps = F.least(F.lit(points - 1), F.col("_all") - 1)
+    places = F.transform(F.sequence(F.lit(0).cast("long"), steps), lambda k: F.col("_first") + F.coalesce(F.rint(F.try_divide(k * (F.col("_all") - 1), steps)), F.lit(0.0)).cast("long"))
+    wanted = spans.select("feature_name", F.explode(F.array_distinct(places)).alias("_n"))
+    chosen = placed.join(F.broadcast(wanted), ["feature_name", "_n"]).groupBy("feature_name").agg(F.array_sort(F.collect_list("value")).alias("observed"))  # at most points a feature
+    return ranges.join(chosen, "feature_name", "left").join(spans.select("feature_name", "least_positive"), "feature_name", "left")
+
+
+def value_grid(current: Column, low: Column, high: Column, observed: Column, least_positive: Column, unit: Column) -> Column:
+    """Candidate values for a search between low and high, without the current one: both ends, the observed points (observed_points), multiples of the current
+    value that lie between, and for percents all steps of five, for years every year, for others from zero up 15 points in equal ratios. Counts are whole numbers."""
+    none = F.array().cast("array<double>")
+    first, last = F.ceil(low), F.floor(high)
+    years = F.when(first <= last, F.transform(F.sequence(first, last), lambda y: y.cast("double")))
+    start = F.greatest(low, F.coalesce(least_positive, high))
+    ratio = F.ln(high) - F.ln(start)
+    logs = F.when((low >= 0) & (high > 0) & (start > 0) & (high > start), F.transform(F.sequence(F.lit(0), F.lit(14)), lambda k: F.exp(F.ln(start) + k * ratio / 14)))
+    steps = F.when(unit.eqNullSafe("percent"), F.array(*[F.lit(float(p)) for p in range(0, 101, 5)])).when(unit.eqNullSafe("year"), years).otherwise(logs)
+    multiples = F.transform(F.array(*[F.lit(m) for m in (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.1, 1.25, 1.5, 2.0, 4.0, 10.0)]), lambda m: current * m)
+    multiples = F.filter(multiples, lambda x: (x >= low) & (x <= high))
+    every = F.concat(F.array(low, high), *[F.coalesce(x, none) for x in (observed, steps, multiples)])
+    whole = unit.eqNullSafe("count")
+    every = F.transform(every, lambda x: F.when(whole, F.rint(F.greatest(low, F.least(high, x)))).otherwise(F.greatest(low, F.least(high, x))))
+    now = F.when(whole, F.signum(current) * F.floor(F.abs(current))).otherwise(current)
+    return F.filter(F.array_sort(F.array_distinct(every)), lambda x: x.isNotNull() & ~x.eqNullSafe(now))

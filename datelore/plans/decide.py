@@ -61,8 +61,10 @@ def scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.financials(spark, sf_dir).select("company_cik", "balance", F.lit(0.0).alias("low"), F.lit(9000.0).alias("high"))
-    grid = rows.select("company_cik", "balance", F.explode(ranking.value_grid(F.col("balance"), F.col("low"), F.col("high"))).alias("candidate"))
+    long = views.financials(spark, sf_dir).select("company_cik", F.lit("balance").alias("feature_name"), F.col("balance").alias("value"))
+    ranges = ranking.observed_points(long, spark.createDataFrame([("balance", 0.0, 9000.0)], "feature_name string, low double, high double"))
+    values = ranking.value_grid(F.col("value"), F.col("low"), F.col("high"), F.col("observed"), F.col("least_positive"), F.lit("usd"))
+    grid = long.join(F.broadcast(ranges), "feature_name").select("company_cik", F.explode(values).alias("candidate"))
     gap = F.abs(F.col("candidate") - 4321.0)
     return grid.groupBy("company_cik").agg(F.count(F.lit(1)).alias("n"), F.round(F.min_by("candidate", F.struct(gap, "candidate")), 4).alias("best"))
 

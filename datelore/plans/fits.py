@@ -9,6 +9,7 @@ from datelore.operators import allocate, models, ranking, splits, training
 from datelore.plans import views
 
 FEATURES = ["n_orders", "mean_price", "last_year"]
+UNITS = {"n_orders": "count", "mean_price": "usd", "last_year": "year"}
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +45,10 @@ def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     terms, intercept = models.fit_additive(rows, FEATURES, "label")
     long = _long(rows)
-    ranges = models.training_ranges(long)
-    grid = long.join(F.broadcast(ranges), "feature_name").select("c_custkey", "feature_name", F.explode(ranking.value_grid(F.col("value"), F.col("low"), F.col("high"))).alias("candidate"))
+    ranges = ranking.observed_points(long, models.training_ranges(long))
+    unit = F.element_at(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair]), F.col("feature_name"))
+    values = ranking.value_grid(F.col("value"), F.col("low"), F.col("high"), F.col("observed"), F.col("least_positive"), unit)
+    grid = long.join(F.broadcast(ranges), "feature_name").select("c_custkey", "feature_name", F.explode(values).alias("candidate"))
     found = models.search_one_field(long, grid, ["c_custkey"], terms, intercept, 5000.0)
     return found.select("c_custkey", "feature_name", F.round("candidate", 4).alias("candidate"), F.round("gap", 4).alias("gap"))
 
