@@ -13,48 +13,86 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 LINE_CHARS = 4000
 _SKIPPED = {"script", "style", "noscript", "svg"}
+_SECTIONS = ("thead", "tbody", "tfoot")
+#: What can stand in a head: elements whose text is none of the page's, and others. Another tag, or text, ends a head.
+_HEAD_TEXT = {"title", "template", "noframes"}
+_HEAD = {"meta", "link", "base", "basefont", "bgsound", "html"}
 _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
 class _Lines(HTMLParser):
-    """Text nodes in order, each a line; the cells of a table row make one, joined by bars."""
+    """Text nodes in order, each a line; the cells of a table row make one, joined by bars, where the row's first own text stands.
+
+    End tags may be left out: the next row, the end of its section or table, or of the page ends a row. The row of an inner table is a line of its own and,
+    as all text below a cell, part of the outer row's cell too.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[str] = []
-        self.skipping, self.in_row, self.cells, self.text = 0, 0, [], []
-        self.in_title = False
+        self.found: list = []  # texts, and rows as lists of cells
+        self.tables: list[list | None] = [None]  # the open row of each open table; the first is for rows outside of tables
+        self.placed: set[int] = set()  # rows among found
+        self.skipping, self.in_head, self.held = 0, False, 0
 
     def handle_starttag(self, tag, attrs):
         if tag in _SKIPPED:
             self.skipping += 1
+        elif self.skipping:
+            return
         elif tag == "head":
-            self.in_title = True
+            self.in_head = True
         elif tag == "body":
-            self.in_title = False
+            self.in_head, self.held = False, 0
+        elif self.in_head and tag in _HEAD_TEXT:
+            self.held += 1
+        elif self.held or self.in_head and tag in _HEAD:
+            return
+        else:
+            self.in_head = False
+        if tag == "table":
+            self.tables.append(None)
         elif tag == "tr":
-            self.in_row, self.cells = self.in_row + 1, []
-        elif tag in ("td", "th") and self.in_row:
-            self.cells.append([])
+            self.tables[-1] = []
+        elif tag in _SECTIONS:
+            self.tables[-1] = None
+        elif tag in ("td", "th") and self.tables[-1] is not None:
+            self.tables[-1].append([])
 
     def handle_endtag(self, tag):
         if tag in _SKIPPED:
             self.skipping = max(0, self.skipping - 1)
+        elif self.skipping:
+            return
+        elif self.in_head and tag in _HEAD_TEXT:
+            self.held = max(0, self.held - 1)
         elif tag == "head":
-            self.in_title = False
-        elif tag == "tr" and self.in_row:
-            self.in_row -= 1
-            if not self.in_row:
-                self._add(" | ".join(" ".join(" ".join(c).split()) for c in self.cells))
+            self.in_head, self.held = False, 0
+        elif self.held:
+            return
+        elif tag == "table" and len(self.tables) > 1:
+            self.tables.pop()
+        elif tag in ("tr", "table", *_SECTIONS):
+            self.tables[-1] = None
 
     def handle_data(self, data):
-        if self.skipping or self.in_title or not data.strip():
+        if self.skipping or self.held or not data.strip():
             return
-        if self.in_row:
-            if self.cells:
-                self.cells[-1].append(data)
-        else:
-            self._add(data)
+        self.in_head = False
+        own = next((row for row in reversed(self.tables) if row is not None), None)
+        if not own:  # outside of rows, or before the first cell of one
+            self.found.append(data)
+        elif id(own) not in self.placed:
+            self.placed.add(id(own))
+            self.found.append(own)
+        for row in self.tables:
+            if row:
+                row[-1].append(data)
+
+    def close(self):
+        super().close()
+        for text in self.found:
+            self._add(text if isinstance(text, str) else " | ".join(" ".join(" ".join(c).split()) for c in text))
 
     def _add(self, text):
         text = " ".join(text.split())
