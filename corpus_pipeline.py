@@ -41,7 +41,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:
-        kept = kept.dropDuplicates(["doc_id", "text"])
+        told = jaccard.with_shingle_set(kept, "text", "_set")
+        kept = told.withColumn("_set", F.coalesce("_set", F.col("text").cast("binary"))).dropDuplicates(["doc_id", "_set"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

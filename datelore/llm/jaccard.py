@@ -143,7 +143,11 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _met(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
-    """(id, links, root) of the rows that have links."""
+    """(id, links, root) of the rows that have links. Rows of one id are one node, and two nodes have one link at most."""
+    nodes, node_of = np.unique(ids, return_inverse=True)
+    if len(nodes) < len(ids):
+        pairs = np.unique(np.minimum(node_of[i], node_of[j]) * len(nodes) + np.maximum(node_of[i], node_of[j]))
+        ids, i, j = nodes, pairs // len(nodes), pairs % len(nodes)
     other = ids[i] != ids[j]
     i, j = i[other], j[other]
     if not len(i):
@@ -172,10 +176,24 @@ def _described(docs: DataFrame, text_col: str) -> DataFrame:
     return with_columns_from(docs.select("doc_id", F.col(text_col).alias("text")), "text", "fp binary, sign binary, bands array<bigint>", make).drop("text")
 
 
+def with_shingle_set(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """docs with a column that stands for the set of shingles of text_col, null without words."""
+
+    def make():
+        def of(text: str | None) -> tuple:
+            found = shingles(words_of(text))
+            return (blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None,)
+
+        return of
+
+    return with_columns_from(docs, text_col, f"{name} binary", make)
+
+
 def _candidate_groups(reps: DataFrame, threshold: float) -> DataFrame:
     """(node, component): documents that chains of unpruned candidate pairs join."""
     dealt = dealt_in_blocks(reps.select("rep", F.explode("bands").alias("band")), ["band"], "rep", PRUNE_ROWS)
     group = ["band", "lo", "hi"]
+    # A rep with several sets meets under each set's bands with all of its signs: candidates too many, but none too few.
     rows = dealt.join(reps.select("rep", "sign"), "rep").repartition(*group).sortWithinPartitions(*group).select(*group, "blk", "rep", "sign")
 
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +219,10 @@ def _verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, threshold: fl
 
         return of
 
-    sets = with_columns_from(texts, "text", "fp binary, sign binary, hashes binary", make).where("fp = _fp").select("rep", "sign", "hashes").dropDuplicates(["rep"])
+    sets = with_columns_from(texts, "text", "fp binary, sign binary, hashes binary", make).where("fp = _fp").select("rep", "fp", "sign", "hashes").dropDuplicates(["rep", "fp"])
     group = ["component", "lo", "hi"]
-    dealt = dealt_in_blocks(members.select("component", "rep"), ["component"], "rep", VERIFY_ROWS)
-    rows = dealt.join(sets, "rep").repartition(*group).sortWithinPartitions(*group).select(*group, "blk", "rep", "sign", "hashes")
+    dealt = dealt_in_blocks(members.select("component", "rep", "fp"), ["component"], "rep", VERIFY_ROWS)
+    rows = dealt.join(sets, ["rep", "fp"]).repartition(*group).sortWithinPartitions(*group).select(*group, "blk", "rep", "sign", "hashes")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, blk, ids, signs, raw in grouped(batches, len(group)):

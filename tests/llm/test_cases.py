@@ -318,6 +318,28 @@ def test_jaccard(spark, monkeypatch):
     assert sorted(((r.doc_id or -1), r.class_id, r.class_size, r.kept) for r in jaccard.near_documents(odd).collect() if r.class_id) == [(-1, 5, 3, False), (5, 5, 3, True), (5, 5, 3, True)]
 
 
+def test_one_id_on_two_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "VERIFY_ROWS", 2)
+    a, b = (" ".join(f"{x}{k}" for k in range(80)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, a + " other"), (5, a + " last"), (5, b + " last"), (6, "alone it is said here")]
+    sets = {}
+    for k, t in rows:
+        w = words_of(t)
+        sets.setdefault(k, []).append({tuple(w[n : n + 5]) for n in range(len(w) - 4)})
+    links = {k: {j for j in sets if j != k and any(len(x & y) >= 0.8 * len(x | y) for x in sets[k] for y in sets[j])} for k in sets}
+    assert links[1] == {2, 3, 4, 5} and links[2] == {1, 4, 5} and links[3] == {1, 5}
+    got = jaccard.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_links, r.component_id) for r in got} == {(k, len(links[k]), 6 if k == 6 else 1) for k in sets} and len(got) == len(rows)
+
+
+def test_pipeline_keeps_one_of_equal_sets(spark):
+    import corpus_pipeline
+
+    df = docs_of(spark, ["One two three four five six", "one two, three four five six!", "something else is said in here"]).withColumn("doc_id", F.lit(7).cast("long"))
+    got = [r.text.lower()[:3] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sorted(got) == ["one", "som"]
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     need = jaccard.least_matches(0.8)
     for step, m in enumerate(need):
