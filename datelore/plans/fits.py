@@ -33,7 +33,7 @@ def additive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    return models.score_trees(rows, FEATURES, models.fit_trees(rows, FEATURES, "label", rounds=5)).select("c_custkey", F.round("prediction", 6).alias("prediction"))
+    return models.score_trees(rows, FEATURES, models.fit_trees(rows, FEATURES, "label")).select("c_custkey", F.round("prediction", 6).alias("prediction"))
 
 
 def warnings_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ def evidence_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = views.lines(spark, sf_dir)
     raw = F.regexp_extract("line", r"(\d+(?:\.\d+)?)", 1)
     k = F.pmod(F.col("doc_id"), F.lit(7))
-    values = lines.where(F.lower("line").contains("license") & (F.length("line") < 200)).select(
+    values = lines.where(F.lower("line").contains("license")).select(
         F.concat_ws("/", "doc_id", "line_no").alias("value_id"), "doc_id", F.when(k == 1, F.array(F.col("line_no") + 100000)).when(k == 2, F.array().cast("array<int>")).otherwise(F.array("line_no")).alias("cited"),
         F.when(k == 3, F.concat("line", F.lit(" more"))).otherwise(F.upper("line")).alias("quote"), F.when(k == 4, "77").otherwise(raw).alias("raw"), F.lit(1.0).alias("scale"),
         F.when(k == 5, F.lit(-1.0)).otherwise(raw.try_cast("double")).alias("value"), F.lit("count").alias("unit"),
