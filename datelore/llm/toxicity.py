@@ -19,11 +19,10 @@ from datelore.llm.language import held_out
 
 #: Labelled rows that a model is fitted on, about; more are thinned by a hash of their id. It bounds the broadcast of their labels.
 FIT_ROWS = 30_000
-#: Words and prefixes that a model keeps, the most frequent and the most telling ones.
-MAX_WORDS, MAX_PREFIXES = 60_000, 20_000
-#: Texts that must hold a word, or a prefix, for it to count as known.
+#: Labelled texts that must hold a word for its own odds to be used; rarer words fall back to prefixes.
 KNOWN = 5
-#: Lengths of the prefixes that an unknown word falls back to, in the order they are tried.
+#: Lengths of the prefixes that an unknown word falls back to, the longest first: shorter ones than three letters are shared by unrelated
+#: words, and longer ones than eight are hardly shared by words that are not known themselves.
 PREFIXES = (8, 7, 6, 5, 4, 3)
 #: Weight of the prior, in tokens of the background distribution.
 PRIOR = 2000.0
@@ -39,24 +38,29 @@ _TOKENS = regex.compile(_TOKEN)
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, sum), in one pass over the scores (Ruzzo and Tompa, 1999)."""
-    found: list[list] = []  # first, last, sum before it, sum after it
+    """All maximal scoring segments (first, last, sum), in time linear in the scores (Ruzzo and Tompa, 1999).
+
+    Every candidate remembers the nearest one before it with a smaller sum to its left (lower). Candidates in between cannot
+    start a longer segment for any later token, so they are never looked at again: each token passes over a candidate once.
+    """
+    first, last, left, right, lower = [], [], [], [], []
     total = 0.0
     for k, x in enumerate(scores):
         before, total = total, total + x
         if x <= 0:
             continue
-        new = [k, k, before, total]
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
-                break
-            new[0], new[2] = found[j][0], found[j][2]
-            del found[j:]
-    return [(a, b, right - left) for a, b, left, right in found]
+        start, j = k, len(first) - 1
+        while j >= 0 and left[j] >= before:
+            j = lower[j]
+        while j >= 0 and right[j] < total:  # a candidate and the token reach further together: they become one
+            start, before = first[j], left[j]
+            below = lower[j]
+            for held in (first, last, left, right, lower):
+                del held[j:]
+            j = below
+        for held, value in ((first, start), (last, k), (left, before), (right, total), (lower, j)):
+            held.append(value)
+    return [(a, b, r - l) for a, b, l, r in zip(first, last, left, right, strict=True)]
 
 
 class Model:
@@ -162,11 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         counts.unpersist()
         return Model({}, {}, curve=(-5.0, 0.0))
     seen = F.col("toxic") + F.col("clean")
-    top = counts.where(seen >= KNOWN).orderBy(seen.desc(), "word").limit(MAX_WORDS).collect()
+    top = counts.where(seen >= KNOWN).orderBy("word").collect()  # words of fit_rows texts at most
     pieces = F.explode(F.array_compact(F.array(*[F.when(F.length("word") >= p, F.substring("word", 1, p)) for p in PREFIXES]))).alias("prefix")
     rare = counts.select(pieces, "toxic", "clean").groupBy("prefix").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.lit(1)).alias("forms"))
-    share = F.col("toxic") / seen  # far from the share of all tokens, weighed by the count: the most telling first
-    ranked = rare.where((seen >= 2 * KNOWN) & (F.col("forms") > 1)).orderBy((F.abs(share - n1 / (n1 + n0)) * F.sqrt(seen)).desc(), "prefix").limit(MAX_PREFIXES).collect()
+    ranked = rare.where((seen >= 2 * KNOWN) & (F.col("forms") > 1)).orderBy("prefix").collect()  # prefixes of the same texts
     counts.unpersist()
     some = lambda rows, c, n: n - sum(r[c] for r in rows)
     words = _scores(top, "word", 0, 0, (max(some(top, "toxic", n1), 0), max(some(top, "clean", n0), 0)))
