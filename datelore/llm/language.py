@@ -2,7 +2,7 @@
 
 Known words are scored by their log frequency in each language; an unseen word falls back to its character
 n-grams, the longest that the model knows first. The model is counted by Spark over a bounded sample of labelled
-rows; scoring happens where the rows lie.
+rows and keeps every word and n-gram counted there; scoring happens where the rows lie.
 """
 
 from __future__ import annotations
@@ -10,52 +10,70 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from datelore.llm.common import read_table, with_columns_from
 
-#: Labelled rows that a model is fitted on, about; more labelled rows are thinned by a hash of their text.
+#: Labelled rows that a model is fitted on, about; more labelled rows are thinned by a hash of their text. It bounds the model.
 FIT_ROWS = 20_000
-#: Words, and n-grams of each length, that a model keeps: the most frequent. They bound what is sent to the tasks.
-MAX_WORDS, MAX_GRAMS = 60_000, 20_000
 #: Lengths of n-grams in characters, in the order they are tried. A word is framed by spaces.
 LENGTHS = (6, 5, 4, 3, 2, 1)
 #: Weight of one n-gram against one known word.
 GRAM_WEIGHT = 0.5
+#: Words whose numbers a task remembers: a cache, which is emptied when full.
+REMEMBERED = 100_000
 
 _WORD = r"\p{L}+"
 _HAS_LETTER = regex.compile(r"\p{L}")
 _SPLIT = regex.compile(_WORD)
+_SEED = 42  # of Spark's xxhash64
+
+
+class Table:
+    """Rows of numbers by a string's 64-bit hash: sorted keys beside a matrix, a few bytes for each entry."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def rows(self, items: list[str]) -> np.ndarray:
+        """The rows of those items that the table has."""
+        if not len(self.keys):
+            return self.values
+        wanted = np.fromiter((xxh64_intdigest(x.encode("utf-8", "surrogatepass"), _SEED) for x in items), np.uint64, len(items))
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = 0
+        return self.values[at[self.keys[at] == wanted]]
 
 
 class Model:
-    """Log frequencies: words and grams map to one number for each language, relative to their mean over the languages."""
+    """Log frequencies: words and n-grams as one number for each language, relative to their mean over the languages."""
 
-    def __init__(self, langs: list[str], words: dict[str, tuple[float, ...]], grams: dict[str, tuple[float, ...]]):
+    def __init__(self, langs: list[str], words: Table, grams: Table):
         self.langs, self.words, self.grams = langs, words, grams
         self._seen: dict[str, tuple[float, ...]] = {}
 
     def word(self, word: str) -> tuple[float, ...]:
         """A known word's numbers; of an unseen one, the sum over its n-grams of the first length of which any is known."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        known = self._seen.get(word)
-        if known is None:
-            known = self._backed_off(word)
-            if len(self._seen) >= 100_000:
+        found = self._seen.get(word)
+        if found is None:
+            known = self.words.rows([word])
+            found = tuple(known[0].tolist()) if len(known) else self._backed_off(word)
+            if len(self._seen) >= REMEMBERED:
                 self._seen.clear()
-            self._seen[word] = known
-        return known
+            self._seen[word] = found
+        return found
 
     def _backed_off(self, word: str) -> tuple[float, ...]:
         framed = f" {word} "
         for n in LENGTHS:
-            found = [g for k in range(len(framed) - n + 1) if (g := self.grams.get(framed[k : k + n])) is not None]
-            if found:
-                return tuple(GRAM_WEIGHT * sum(column) for column in zip(*found, strict=True))
+            found = self.grams.rows([framed[k : k + n] for k in range(len(framed) - n + 1)])
+            if len(found):
+                return tuple((GRAM_WEIGHT * found.sum(axis=0, dtype=float)).tolist())
         return (0.0,) * len(self.langs)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -80,45 +98,48 @@ def _bounded(rows: DataFrame, key: Column, fit_rows: int) -> DataFrame:
     return rows if n <= fit_rows else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
 
 
-def _log_frequencies(counts: DataFrame, item: str, langs: list[str], most: int) -> dict[str, tuple[float, ...]]:
-    """The most frequent items as log frequencies in each language (add-half), less their mean; one row for each item comes to the driver, most at most."""
-    per = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
-    wide = counts.groupBy(item).agg(*per, F.sum("n").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()
-    total = {r.lang: r.n for r in totals}
-    rows = wide.where("n > 1").orderBy(F.desc("n"), item).limit(most).collect()
-    out = {}
-    for r in rows:
-        logs = [math.log((r[f"n{k}"] + 0.5) / (total.get(lang, 0) + 1.0)) for k, lang in enumerate(langs)]
-        mean = sum(logs) / len(logs)
-        out[r[item]] = tuple(x - mean for x in logs)
-    return out
+def log_frequencies(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Counts (items by languages) as logarithms of their frequencies, half a count added to each, less their mean over the languages."""
+    logs = np.log((counts + 0.5) / (totals + 1.0))
+    return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def _gathered(counts: DataFrame, item: str, n_langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, lengths in characters, counts by language) of a table of counts, in Arrow: one entry for each item of the sample."""
+    found = counts.select(F.xxhash64(item).alias("key"), F.length(item).alias("size"), *[F.col(f"n{k}").cast("double") for k in range(n_langs)]).toArrow()
+    column = lambda name: found.column(name).to_numpy()
+    return column("key").view(np.uint64), column("size"), np.column_stack([column(f"n{k}") for k in range(n_langs)])
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
     """A model of (text, lang) rows; rows with a null in either teach nothing, and without rows it knows no language.
 
-    Words and n-grams are counted by Spark. Counts of a word within a text are capped at 5, so that one text that says
-    the same word over and over does not decide it.
+    Words and n-grams are counted by Spark, and all of them are kept: fit_rows bounds what comes to the driver and is sent to
+    the tasks, some tens of bytes for each different word and n-gram of that many texts.
     """
     rows = _bounded(labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), F.col("text"), fit_rows)
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    none = Table(np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32))
     if not langs:
-        return Model([], {}, {})
+        return Model([], none, none)
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("word")
-    per_text = rows.select("lang", F.xxhash64("text").alias("t"), word).groupBy("lang", "t", "word").agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("n"))
-    counts = per_text.groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    words = _log_frequencies(counts, "word", langs, max_words)
-    # Grams weigh each word by the logarithm of its count: they stand for words not seen yet, not for the frequent ones.
-    framed = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    weighted = counts.select("lang", framed.alias("w"), F.log2(F.col("n") + 1.0).alias("n"))
-    grams: dict[str, tuple[float, ...]] = {}
-    for n in LENGTHS:
-        pieces = F.explode(F.transform(F.when(F.length("w") >= n, F.sequence(F.lit(1), F.length("w") - (n - 1))).otherwise(F.array().cast("array<int>")), lambda p, n=n: F.substr("w", p, F.lit(n)))).alias("gram")
-        grams |= _log_frequencies(weighted.select("lang", pieces, "n"), "gram", langs, max_grams)
+    names = [f"n{k}" for k in range(len(langs))]
+    counts = rows.select("lang", word).groupBy("word").agg(*[F.count_if(F.col("lang") == lang).alias(n) for n, lang in zip(names, langs, strict=True)]).persist()
+    keys, _, seen = _gathered(counts, "word", len(langs))
+    words = Table(keys, log_frequencies(seen, seen.sum(axis=0)))
+    # n-grams weigh each word by the logarithm of its count: they stand for words not seen yet, not for the frequent ones
+    framed = counts.select(F.concat(F.lit(" "), F.col("word"), F.lit(" ")).alias("w"), *[F.log2(F.col(n) + 1.0).alias(n) for n in names])
+    starts = lambda n: F.when(F.length("w") >= n, F.sequence(F.lit(1), F.length("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+    pieces = F.flatten(F.array(*[F.transform(starts(n), lambda p, n=n: F.substr("w", p, F.lit(n))) for n in LENGTHS]))
+    keys, sizes, seen = _gathered(
+        framed.select(F.explode(pieces).alias("gram"), *names).where("gram <> ' '").groupBy("gram").agg(*[F.sum(n).alias(n) for n in names]), "gram", len(langs)
+    )
     counts.unpersist()
-    grams.pop(" ", None)
-    return Model(langs, words, grams)
+    values = np.zeros(seen.shape, np.float32)
+    for n in LENGTHS:
+        of_size = sizes == n
+        values[of_size] = log_frequencies(seen[of_size], seen[of_size].sum(axis=0))
+    return Model(langs, words, Table(keys, values))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -127,7 +148,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     Rows are judged one by one on their whole text, so equal texts get equal results, repeated rows and other columns
     pass through, and columns called lang_pred or score are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))  # bounded by MAX_WORDS and MAX_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))  # bounded by the rows that it was fitted on
 
     def make():
         return Model(*shared.value).predict
