@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datelore.llm.common import checkpointed, read_table
@@ -44,30 +44,56 @@ def curve_index(dims: list[np.ndarray], bits: int) -> np.ndarray:
     return index
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """A double that keeps the order of a column: numbers, dates and times as they are, other types by the first six bytes of their text."""
+def _as_number(df: DataFrame, name: str) -> Column | None:
+    """A double that keeps the order of a column of numbers, dates or times; none for other types."""
     kind = df.schema[name].dataType.typeName()
     if kind in ("byte", "short", "integer", "long", "float", "double") or kind.startswith("decimal"):
         return F.col(name).cast("double")
     if kind in ("date", "timestamp", "timestamp_ntz"):
         return F.unix_timestamp(F.col(name).cast("timestamp")).cast("double")
-    text = F.rpad(F.hex(F.substring(F.col(name).cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.conv(text, 16, 10).cast("double")
+    return None
+
+
+def _text_cuts(df: DataFrame, name: str, cells: int) -> list[str]:
+    """At most cells - 1 values in order, each the least of its cell: of few different values each has a cell, of more the cells hold like shares of the rows.
+
+    Rows are counted by value before anything moves; the values are sorted over tasks, and a count for each partition meets at the driver.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = df.select(F.col(name).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    placed = checkpointed(values.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
+    sums = placed.groupBy("part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")).orderBy("part").collect()
+    if sum(r.different for r in sums) <= cells:
+        return sorted((r.v for r in placed.collect()), key=str.encode)[1:]  # cells values at most
+    total, before, starts = sum(r.n for r in sums), 0, []
+    for r in sums:
+        starts.append((r.part, before))
+        before += r.n
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "part int, first long"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cell = F.floor((F.col("first") + F.col("earlier")) * cells / total)
+    found = placed.withColumn("earlier", earlier).join(first, "part").groupBy(cell.alias("cell")).agg(F.min("v").alias("v")).collect()  # cells rows at most
+    return sorted((r.v for r in found), key=str.encode)[1:]
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
-    """Each dimension as an integer below 2**bits: the number of quantile cuts below the value; null is 0.
+    """Each dimension as an integer below 2**bits: the number of cuts below the value; null is 0.
 
-    The cuts (2**bits - 1 numbers for each dimension) come from one pass over all rows by mergeable sketches.
+    The cuts (2**bits - 1 values at most for each dimension) are quantiles of all rows: of numbers and times from one pass by mergeable
+    sketches, of other types from the sorted different values of their whole text.
     """
     cells = 1 << bits
-    numbers = {d: _as_number(df, d) for d in dims}
+    numbers = {d: number for d in dims if (number := _as_number(df, d)) is not None}
     shares = F.array(*[F.lit(k / cells) for k in range(1, cells)])
-    cuts = df.agg(*[F.percentile_approx(numbers[d], shares, 1000).alias(f"_{k}") for k, d in enumerate(dims)]).first()
+    cuts = df.agg(F.count(F.lit(1)), *[F.percentile_approx(x, shares, 1000).alias(f"_{k}") for k, x in enumerate(numbers.values())]).first()
+    of_number = dict(zip(numbers, cuts[1:], strict=True))
     out = []
-    for k, d in enumerate(dims):
-        edges = sorted(set(cuts[k] or []))
-        out.append(F.coalesce(sum((F.when(numbers[d] > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0)), F.lit(0)).cast("int"))
+    for d in dims:
+        if d in numbers:
+            above = [F.when(numbers[d] > F.lit(e), 1).otherwise(0) for e in sorted(set(of_number[d] or []))]
+        else:
+            above = [F.when(F.col(d).cast("string") >= F.lit(e), 1).otherwise(0) for e in _text_cuts(df, d, cells)]
+        out.append(F.coalesce(sum(above, F.lit(0)), F.lit(0)).cast("int"))
     return out
 
 
@@ -108,8 +134,9 @@ def hilbert_shards(rows: DataFrame, dims: list[str], ties: list[str], shards: in
 
 
 def write_shards(rows: DataFrame, path: str, ties: list[str]) -> None:
-    """rows of hilbert_shards as Parquet, one folder a shard, each sorted along the curve."""
-    rows.repartition("shard").sortWithinPartitions("shard", "curve", *ties).write.partitionBy("shard").parquet(path)
+    """rows of hilbert_shards as Parquet, one folder a shard. Tasks take runs of the curve, so a shard of any size is several files, each of a small box."""
+    order = ["shard", "curve", *ties]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("shard").parquet(path)
 
 
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
