@@ -1,8 +1,8 @@
 """License scans by diagonal voting.
 
 All rolling word k-gram hashes of the documents are joined to their positions in license templates; matches vote
-for diagonals (document position minus template position), neighbouring diagonals are merged, and the spans
-that remain are verified word by word. All of it is DataFrame work: no Python runs on the executors.
+for diagonals (document position minus template position), neighbouring diagonals are merged, and the spans that remain are
+verified word by word, in the template's order. All of it is DataFrame work: no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from datelore.llm.common import WORD, read_table
+from datelore.llm.common import WORD, read_table, written
 
 #: Words in a k-gram.
 K = 4
@@ -45,9 +45,23 @@ TEMPLATES = (
 )
 
 
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def words(text: str | Column) -> Column:
-    """The words of a text; A-Z count as a-z. (lower() changes other letters too, but turns none into a letter that a phrase or template holds, nor does it move a word's bounds.)"""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text; A-Z count as a-z."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _CAPITALS, _CAPITALS.lower()), F.lit(WORD), F.lit(0))
+
+
+def in_order(found: Column) -> Column:
+    """The most pairs (at, t) of an array that can follow each other with both numbers rising.
+
+    found is sorted by at, then by falling t. ends[n] is the least t that n + 1 such pairs can end with; each pair replaces one, or adds one.
+    """
+    step = lambda ends, p: F.when(
+        (F.size(ends) == 0) | (F.try_element_at(ends, F.lit(-1)) < p["t"]), F.concat(ends, F.array(p["t"]))
+    ).otherwise(F.transform(ends, lambda e, n: F.when((e >= p["t"]) & ((n == 0) | (F.get(ends, n - 1) < p["t"])), p["t"]).otherwise(e)))
+    return F.aggregate(found, F.array().cast("array<int>"), step, F.size)
 
 
 def _grams(array: str | Column, k: int) -> Column:
@@ -77,51 +91,63 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, phrases=PHRASES, k: int
     """(doc_id, n_words, places, base_labels, spans) of every row of docs.
 
     places and base_labels are those of the phrases; spans (template, label, first, last, share) are verified
-    alignments: share is the part of the template's words that the span holds, coverage at least. templates are of fixed
-    size; the join sends them to every executor, within Spark's own limit for that. A document whose k-grams
-    meet no template's takes no part in join and vote. A null text is empty; equal rows get equal results, each its
-    own row; doc_id may be null or repeat with other texts; other columns are ignored; empty tables give no rows.
+    alignments: share is the part of the template's words that stand in the span along its diagonals and in the template's order, each
+    counted once, coverage at least. templates are of fixed size; the join sends them to every executor, within Spark's own limit for that.
+    Texts are cut into words once; what is kept of them is written to the shared folder: counts, and the words of documents whose
+    k-grams meet a template's. A null text is empty; equal rows get equal results, each its own row; doc_id may be null or repeat with
+    other texts; other columns are ignored; empty tables give no rows.
     """
     key = ["doc_id", "_text"]
+    spots = templates.where(F.size("words") >= k).select("template", F.posexplode(_grams("words", k)).alias("t_pos", "gram"))
+    grams = [r.gram for r in spots.select("gram").distinct().collect()]  # some hundreds: the templates are fixed
+    shared = F.arrays_overlap("grams", F.array(*map(F.lit, grams)) if grams else F.array().cast("array<bigint>"))
     # The one-element explodes keep the words and hashes of a row as values: without them the optimiser would write
     # the expressions into the lambdas, to be computed again for every word.
     base = docs.select("doc_id", F.xxhash64(text_col).alias("_text"), F.explode(F.array(words(text_col))).alias("words"))
     places, labels = phrase_places("words", phrases)
-    told = base.select(*key, F.size("words").cast("long").alias("n_words"), places.alias("places"), labels.alias("base_labels"))
-
-    spots = templates.where(F.size("words") >= k).select("template", F.posexplode(_grams("words", k)).alias("t_pos", "gram"))
-    grams = [r.gram for r in spots.select("gram").distinct().collect()]  # some hundreds: the templates are fixed
-    shared = F.arrays_overlap("grams", F.array(*map(F.lit, grams)) if grams else F.array().cast("array<bigint>"))
-    near = base.withColumn("grams", F.explode(F.array(_grams("words", k)))).where(shared)
+    told = written(
+        base.withColumn("grams", F.explode(F.array(_grams("words", k)))).select(
+            *key, F.size("words").cast("long").alias("n_words"), places.alias("places"), labels.alias("base_labels"), F.when(shared, F.col("words")).alias("words")
+        )
+    )
+    near = told.where("words is not null").select(*key, "words")
     votes = (
-        near.select(*key, F.posexplode("grams").alias("pos", "gram"))
+        near.select(*key, F.posexplode(_grams("words", k)).alias("pos", "gram"))
         .join(F.broadcast(spots), "gram")
         .groupBy(*key, "template", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
-        .agg(F.countDistinct("t_pos").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+        .agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     )
     along = Window.partitionBy(*key, "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(along) > gap) | (F.col("first") > F.lag("last").over(along) + 8 * k) | (F.col("last") < F.lag("first").over(along) - 8 * k)
     merged = (
         votes.withColumn("_run", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(along))
         .groupBy(*key, "template", "_run")
-        .agg(F.min("first").alias("first"), (F.max("last") + (k - 1)).alias("last"))
+        .agg(F.min("first").alias("first"), (F.max("last") + (k - 1)).alias("last"), F.array_sort(F.collect_set("diagonal")).alias("diagonals"))
+    )
+    # all words of the template that stand where a diagonal of the run says, within the span
+    along_one = lambda d: F.filter(
+        F.transform("t_words", lambda w, t: F.when((t + d).between(F.col("first"), F.col("last")) & (F.get("words", t + d) == w), F.struct((t + d).alias("at"), (-t).alias("back"), t.alias("t")))),
+        lambda p: p.isNotNull(),
     )
-    span_words = F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    same = F.array_sort(F.flatten(F.transform("diagonals", along_one)))
+    # a row of merged is one template's run; repeated rows of one document have one run each, whichever row its words come from
+    texts = near.select(*[F.col(c).alias(f"_{c}") for c in key], "words").dropDuplicates(["_doc_id", "__text"])
     verified = (
-        merged.join(near.select(*[F.col(c).alias(f"_{c}") for c in key], "words").distinct(), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text") == F.col("__text")))
+        merged.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text") == F.col("__text")))
         .join(F.broadcast(templates.withColumnRenamed("words", "t_words")), "template")
-        .withColumn("share", F.size(F.array_intersect("t_words", span_words)) / F.size(F.array_distinct("t_words")))
+        .withColumn("_same", F.explode(F.array(same)))
+        .withColumn("share", in_order(F.col("_same")) / F.size("t_words"))
         .where(F.col("share") >= coverage)
         .groupBy(*key)
         .agg(F.array_sort(F.collect_list(F.struct("template", "label", "first", "last", "share"))).alias("spans"))
     )
     right = verified.select(*[F.col(c).alias(f"_{c}") for c in key], "spans")
-    found = told.join(right, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text") == F.col("__text")), "left")
+    found = told.drop("words").join(right, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text") == F.col("__text")), "left")
     return found.select("doc_id", "n_words", "places", "base_labels", F.coalesce("spans", F.array().cast(right.schema["spans"].dataType)).alias("spans"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License phrases and aligned license notices of every document."""
+    """License phrases and aligned license notices of every document. Each place of a phrase halves the doubt that the score leaves; a notice has its share."""
     found = scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"), template_table(spark))
     by_method = F.transform("spans", lambda s: s["label"])
     return found.select(
@@ -129,7 +155,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base_labels", by_method)), ",").alias("labels"),
-        F.greatest(F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0)).alias("score"),
+        F.greatest(F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)), 1 - F.pow(F.lit(0.5), F.size("places"))).alias("score"),
     )
 
 
