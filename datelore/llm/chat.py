@@ -7,7 +7,7 @@ work: no Python runs on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datelore.llm.common import read_table
@@ -34,82 +34,91 @@ def unescaped(text: str | Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text): the final messages of a log (conv_id, seq, kind, message, turn, role, text).
 
-    "message" stands alone. The other kinds belong to the message they name: its text is what the last of its
-    start, edit and regenerate events says, followed by the deltas after that; a message whose last event is delete
-    is gone; deltas before any start count. turn and role come from the last event that states them. Events of
-    equal seq apply in the order of kind and text; null texts are empty; events of an unknown kind are ignored.
-    The fold runs for each message, not for each conversation, so a long conversation spreads over tasks.
+    The log is partitioned by conversation, once, and sorted by sequence within its messages; nothing moves after that. "message"
+    stands alone. The other kinds belong to the message they name: its text is what the last of its start, edit and regenerate
+    events says, followed by the deltas after that; a message whose last event is delete is gone; deltas before any start
+    count. turn and role come from the last event that states them. Events of equal seq apply in the order of kind and
+    text; null texts are empty; events of an unknown kind are ignored; a null conv_id is a conversation of its own.
     """
-    text = F.coalesce("text", F.lit(""))
-    whole = events.where("kind = 'message'").select("conv_id", "turn", "role", text.alias("text"))
-    parts = events.where(F.col("kind").isin(*KINDS[1:]))
-    event = F.struct("seq", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("order"), "kind", text.alias("text"))
-    stated = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("seq", "kind")))
-    logs = parts.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(event)).alias("log"), stated("turn").alias("turn"), stated("role").alias("role"))
-    begun = F.size("log") - F.coalesce(
-        F.array_position(F.transform(F.reverse("log"), lambda e: e["kind"].isin("start", "edit", "regenerate")), True), F.lit(0)
-    )  # index of the last such event; size where there is none
-    from_there = F.when(begun == F.size("log"), F.col("log")).otherwise(F.slice("log", begun.cast("int") + 1, F.size("log")))
-    kept = F.filter(from_there, lambda e: e["kind"] != "delete")
-    return whole.unionByName(
-        logs.where(F.element_at("log", -1)["kind"] != "delete").select("conv_id", "turn", "role", F.array_join(F.transform(kept, lambda e: e["text"]), "").alias("text"))
+    begins = ("start", "edit", "regenerate")
+    known = events.where(F.col("kind").isin(*KINDS)).select("conv_id", "seq", "kind", "message", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    whole = F.col("kind") == "message"
+    event = F.struct("seq", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("order"), "text", "kind", "turn", "role")
+    logs = known.repartition("conv_id").groupBy("conv_id", whole.alias("_whole"), F.when(~whole, F.col("message")).alias("_message")).agg(F.array_sort(F.collect_list(event)).alias("log"))
+    after = F.size("log") - F.array_position(F.transform(F.reverse("log"), lambda e: e["kind"].isin(*begins)), True)  # index of the last such event; size where there is none
+    kept = F.when(after == F.size("log"), F.col("log")).otherwise(F.slice("log", after.cast("int") + 1, F.size("log")))
+    stated = lambda name: F.element_at(F.concat(F.array(F.lit(None)), F.filter(F.transform("log", lambda e: e[name]), lambda x: x.isNotNull())), -1)
+    message = lambda turn, role, text: F.struct(turn.alias("turn"), role.alias("role"), text.alias("text"))
+    last_kind = F.element_at("log", -1)["kind"]
+    folded = F.when(F.col("_whole"), F.transform("log", lambda e: message(e["turn"], e["role"], e["text"]))).when(
+        last_kind != "delete", F.array(message(stated("turn"), stated("role"), F.array_join(F.transform(F.filter(kept, lambda e: e["kind"] != "delete"), lambda e: e["text"]), "")))
     )
+    return logs.select("conv_id", F.inline(folded))
 
 
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): each conversation's messages by turn (ties by role, then text) as one string.
 
-    loss is the mask: spans (start, length) in code points of formatted that hold the assistant's texts, as escaped.
-    Roles are written percent-encoded. A null role is written as an empty one, a null text is empty, a null conv_id
-    is a conversation of its own; repeated rows are turns of their own; without rows there are no conversations.
+    loss is the mask: spans (start, length, block, offset) that hold the assistant's texts, as escaped. start and length are in code
+    points of formatted; block and offset name the same place by the number of its turn, from 0, and the code point within it. Places
+    are a running sum over the sorted turns, so the work is linear in them. Roles are written percent-encoded. A null role is
+    written as an empty one, a null text is empty, a null conv_id is a conversation of its own; repeated rows are turns of their
+    own; without rows there are no conversations. A conversation is one row of the result, so its turns meet in one task.
     """
-    role = F.url_encode(F.coalesce("role", F.lit("")))
-    turn = F.struct("turn", role.alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
-    talks = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    said = lambda t: t["role"] == "assistant"
-    marked = lambda t: F.when(said(t), F.concat(F.lit("<s>"), t["role"], F.lit("\n"), t["text"], F.lit("</s>"))).otherwise(
-        F.concat(F.lit("[INST]"), t["role"], F.lit("\n"), t["text"], F.lit("[/INST]"))
-    )
-    length = lambda t: F.length(t["text"])
-    around = lambda t: F.length(t["role"]) + F.when(said(t), 1 + 3 + 4).otherwise(1 + 6 + 7)
-    # One pass over the turns: the place reached, and the spans so far.
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    span = lambda a, t: F.struct((a["at"] + 3 + F.length(t["role"]) + 1).cast("bigint").alias("start"), length(t).cast("bigint").alias("length"))
-    loss = F.aggregate(
-        "turns",
-        empty,
-        lambda a, t: F.struct((a["at"] + around(t) + length(t)).cast("bigint").alias("at"), F.when(said(t), F.concat(a["spans"], F.array(span(a, t)))).otherwise(a["spans"]).alias("spans")),
-        lambda a: a["spans"],
-    )
-    return talks.select("conv_id", F.array_join(F.transform("turns", marked), "").alias("formatted"), loss.alias("loss"))
+    said = F.coalesce(F.col("_role") == "assistant", F.lit(False))
+    told = messages.select("conv_id", "turn", F.url_encode(F.coalesce("role", F.lit(""))).alias("_role"), escaped(F.coalesce("text", F.lit(""))).alias("_text"))
+    marked = F.when(said, F.concat(F.lit("<s>"), "_role", F.lit("\n"), "_text", F.lit("</s>"))).otherwise(F.concat(F.lit("[INST]"), "_role", F.lit("\n"), "_text", F.lit("[/INST]")))
+    offset = F.when(said, F.length("_role") + 4)
+    order = Window.partitionBy("conv_id").orderBy("turn", "_role", "_text")
+    placed = told.select("conv_id", "turn", "_role", "_text", marked.alias("_marked"), offset.alias("_offset"), F.length("_text").alias("_length")).select(
+        "conv_id", "_marked", "_offset", "_length", (F.row_number().over(order) - 1).alias("_block"),
+        F.coalesce(F.sum(F.length("_marked").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"),
+    )
+    talks = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_block", "_at", "_offset", "_length", "_marked"))).alias("turns"))
+    span = lambda t: F.struct((t["_at"] + t["_offset"]).alias("start"), t["_length"].cast("bigint").alias("length"), t["_block"].alias("block"), t["_offset"].alias("offset"))
+    loss = F.transform(F.filter("turns", lambda t: t["_offset"].isNotNull()), span)
+    return talks.select("conv_id", F.array_join(F.transform("turns", lambda t: t["_marked"]), "").alias("formatted"), loss.alias("loss"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """rendered and turns, an array of (role, text) parsed from formatted, and loss_text, what is under the mask, unescaped."""
-    block = F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(0))
+    """rendered and turns, an array of (role, text) parsed from formatted, and loss_text, what is under the mask, unescaped.
+
+    formatted is cut into its blocks once; the mask is read by block and offset, so that no span is counted off from the start.
+    """
+    cut = rendered.withColumn("_blocks", F.explode(F.array(F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(0)))))
     inner = lambda b: F.when(F.startswith(b, F.lit("<s>")), F.substr(b, F.lit(4), F.length(b) - 7)).otherwise(F.substr(b, F.lit(7), F.length(b) - 13))
     turns = F.transform(
-        F.transform(block, inner),
+        F.transform("_blocks", inner),
         lambda b: F.struct(F.url_decode(F.substring_index(b, "\n", 1)).alias("role"), unescaped(F.substr(b, F.instr(b, "\n") + 1)).alias("text")),
     )
-    masked = F.transform("loss", lambda s: F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))
-    return rendered.withColumns({"turns": turns, "loss_text": F.array_join(F.transform(masked, unescaped), "")})
+    masked = F.transform("loss", lambda s: F.substr(F.get("_blocks", s["block"]), s["offset"] + 1, s["length"].cast("int")))
+    return cut.withColumns({"turns": turns, "loss_text": F.array_join(F.transform(masked, unescaped), "")}).drop("_blocks")
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The event log of a table of turns: assistant rows arrive as a start and a delta a line, other rows whole.
+    """An event log that tells a table of turns: whole messages, streamed ones, and such that were changed on the way.
 
-    Equal rows become messages of their own: they are counted, and each copy gets its number.
+    Rows are numbered within their conversation, and the number decides how a row's text comes about. Assistant rows arrive as a start
+    and a delta a line; of every third the first line is streamed, thrown away and all is generated anew. Other rows come whole, but
+    every third is first posted with its first eight characters and then edited; and after every fifth row a message is begun and deleted.
     """
-    rows = conversations.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    streamed = F.col("role") == "assistant"
-    lines = F.split(F.coalesce("text", F.lit("")), "(?<=\n)")
-    event = lambda seq, kind, text: F.struct(seq.cast("bigint").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
-    log = F.when(
-        streamed, F.concat(F.array(event(F.lit(0), "start", F.lit(""))), F.transform(lines, lambda x, k: event(k + 1, "delta", x)))
-    ).otherwise(F.array(event(F.lit(0), "message", F.col("text"))))
-    name = F.concat_ws(" ", "turn", "copy", F.sha2("text", 256))
-    return rows.select("conv_id", "turn", "role", name.alias("message"), F.inline(log))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = conversations.repartition("conv_id").select("conv_id", "turn", "role", "text", F.row_number().over(order).alias("_n"))
+    streamed, third = F.coalesce(F.col("role") == "assistant", F.lit(False)), F.col("_n") % 3 == 0
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "(?<=\n)")
+    event = lambda seq, kind, said, name=None: F.struct(
+        seq.cast("bigint").alias("seq"), F.lit(kind).alias("kind"), (F.col("_n").cast("string") if name is None else name).alias("message"), said.alias("text")
+    )
+    zero, none = F.lit(0), F.array().cast("array<struct<seq:bigint,kind:string,message:string,text:string>>")
+    begun = F.array(event(zero, "start", F.lit("")))
+    anew = F.when(third, F.array(event(F.lit(1), "delta", F.get(lines, F.lit(0))), event(F.lit(2), "regenerate", F.lit("")))).otherwise(none)
+    log = F.when(streamed, F.concat(begun, anew, F.transform(lines, lambda x, k: event(k + 3, "delta", x)))).otherwise(
+        F.when(third, F.array(event(zero, "start", F.substring(text, 1, 8)), event(F.lit(1), "edit", text))).otherwise(F.array(event(zero, "message", text)))
+    )
+    name = F.concat(F.lit("gone "), F.col("_n").cast("string"))
+    gone = F.when(F.col("_n") % 5 == 0, F.array(event(zero, "start", F.lit("draft"), name), event(F.lit(1), "delete", F.lit(""), name))).otherwise(none)
+    return rows.select("conv_id", "turn", "role", F.inline(F.concat(log, gone)))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
