@@ -21,10 +21,12 @@ from datelore.llm.components import connected_components
 
 #: Dimensions of a block.
 BLOCK_DIMS = 16
-#: Cells are told apart by at least so many dimensions of their block, and by more where labels hold many vectors.
-LEAST_CELL_DIMS, ROWS_FOR_EACH_CELL = 8, 256
-#: Rows of a cell that meet in one task; larger cells are cut into blocks of so many.
-CELL_ROWS = 1024
+#: Cells are told apart by so many dimensions of their block that one would hold about as many rows of the largest label if no row were in
+#: two. More cells copy each vector more often, and at a cosine of 0.93 compare hardly fewer pairs: in 64 dimensions 8 cells a block
+#: mean 12 copies, 256 cells 78 copies and as many comparisons.
+ROWS_FOR_EACH_CELL = 1024
+#: Rows of a cell that meet in one task, larger cells are cut into blocks of so many; rows compared with all of them at a time; pairs looked into at a time.
+CELL_ROWS, TILE_ROWS, PAIRS = 4096, 512, 1 << 16
 _SLACK = 1e-6  # of squared distances, for the rounding of rotated coordinates
 
 
@@ -101,31 +103,66 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
         return x / norm[:, None]
 
 
-def _links_in_cell(cell: int, dims: int, ids: np.ndarray, x: np.ndarray, sides: np.ndarray | None, threshold: float, cell_dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (i, j) of the pairs of a cell's rows that link, those only that belong to this cell.
+def _near_pairs(x: np.ndarray, sides: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of pairs of unit vectors with a cosine of threshold at least, some at a time: all pairs i < j, or those from side to side.
 
-    A pair belongs to the first block where it is within the budget, and there to the cell of its midpoint.
+    Single precision tells most pairs apart; those within its error of the threshold are decided by one and the same sum of
+    doubles, whichever rows lie beside them.
     """
-    cosine = x @ x.T
-    near = np.triu(cosine >= threshold - 1e-9, 1) if sides is None else (cosine >= threshold - 1e-9) & (sides[:, None] < sides[None, :])
-    i, j = np.nonzero(near)
-    exact = np.einsum("ij,ij->i", x[i], x[j])  # one and the same sum for a pair, whichever rows lie beside it
-    i, j = i[exact >= threshold], j[exact >= threshold]
-    if not len(i):
-        return i, j
-    turned = x @ rotation(dims)
+    small, slack = x.astype(np.float32), 1e-6 * (x.shape[1] + 10)
+    above = np.arange(len(x)) if sides is None else np.flatnonzero(sides == sides.min())
+    below = above if sides is None else np.flatnonzero(sides != sides.min())
+    for start in range(0, len(below), TILE_ROWS):
+        columns = below[start : start + TILE_ROWS]
+        rows = above[: start + len(columns)] if sides is None else above
+        cosine = small[rows] @ small[columns].T
+        i, j = np.nonzero(cosine >= threshold - slack)
+        sure = cosine[i, j] >= threshold + slack
+        i, j = rows[i], columns[j]
+        if sides is None:
+            i, j, sure = i[i < j], j[i < j], sure[i < j]
+        for k in range(0, len(i), PAIRS):
+            a, b, good = i[k : k + PAIRS], j[k : k + PAIRS], sure[k : k + PAIRS].copy()
+            open_ = ~good
+            good[open_] = np.einsum("ij,ij->i", x[a[open_]], x[b[open_]]) >= threshold
+            if good.any():
+                yield a[good], b[good]
+
+
+def _links_in_cell(cell: int, ids: np.ndarray, x: np.ndarray, sides: np.ndarray | None, threshold: float, cell_dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of the pairs of a cell's rows that link, those only that belong to this cell, some at a time.
+
+    A pair belongs to the first block where it is within the budget, and there to the cell of its midpoint. Coordinates are
+    summed row by row, so that every task finds the same ones for a vector.
+    """
+    dims = x.shape[1]
+    turned = np.concatenate([(x[k : k + 256, None, :] * rotation(dims).T).sum(axis=2) for k in range(0, len(x), 256)])
     near2 = 2 - 2 * threshold + _SLACK
-    parts = blocks_of(dims)
-    own = cell >> BLOCK_DIMS
-    part = parts[own]
-    for b, p in enumerate(parts[: own + 1]):
-        within = ((turned[i, p] - turned[j, p]) ** 2).sum(axis=1) <= near2 * (p.stop - p.start) / dims
-        keep = within if b == own else ~within
-        i, j = i[keep], j[keep]
-    low = slice(part.start, part.start + min(cell_dims, part.stop - part.start))
-    middle = ((turned[i, low] + turned[j, low] > 0) << np.arange(low.stop - low.start)).sum(axis=1)
-    mine = (middle == (cell & ((1 << BLOCK_DIMS) - 1))) & (ids[i] != ids[j])
-    return i[mine], j[mine]
+    parts, own = blocks_of(dims), cell >> BLOCK_DIMS
+    low = slice(parts[own].start, parts[own].start + min(cell_dims, parts[own].stop - parts[own].start))
+    weights = 1 << np.arange(low.stop - low.start)
+    for i, j in _near_pairs(x, sides, threshold):
+        for b, p in enumerate(parts[: own + 1]):
+            within = ((turned[i, p] - turned[j, p]) ** 2).sum(axis=1) <= near2 * (p.stop - p.start) / dims
+            keep = within if b == own else ~within
+            i, j = i[keep], j[keep]
+        middle = ((turned[i, low] + turned[j, low] > 0) * weights).sum(axis=1)
+        mine = (middle == (cell & ((1 << BLOCK_DIMS) - 1))) & (ids[i] != ids[j])
+        if mine.any():
+            yield i[mine], j[mine]
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row number that each of n rows reaches by the links (i, j)."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        np.minimum.at(new, j, root[i])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -137,41 +174,43 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     Links are counted where they are found, a cell or two blocks of one at a time, and never listed: a group
     of n equal vectors costs each task CELL_ROWS rows, and gives a row for each vector and task.
     The number of cells grows with the largest label, so that a cell's rows do not.
-    A vec_id on several rows is one node: its rows get the links of all of them, and none among themselves. A row with a
-    null vec_id keeps its place with no links and a null component. Other columns are ignored; an empty table gives no rows.
+    A vec_id on rows with different vectors is one node: its rows get the links of all of them, none among themselves, and another vec_id
+    that several of its vectors link with counts once (links of such ids are listed, to be told apart). A row with a null
+    vec_id keeps its place with no links and a null component. Other columns are ignored; an empty table gives no rows.
     """
     kind = _component(vectors)
     rows = vectors.where("vec_id is not null and label is not null and embedding is not null").select("vec_id", F.col("label").cast("bigint").alias("label"), "embedding").distinct()
     most = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    cell_dims = int(min(BLOCK_DIMS - 1, max(LEAST_CELL_DIMS, np.ceil(np.log2(most / ROWS_FOR_EACH_CELL)))))
+    cell_dims = int(min(BLOCK_DIMS - 1, max(0, np.ceil(np.log2(most / ROWS_FOR_EACH_CELL)))))
     found = checkpointed(_spread(rows.withColumn("rid", F.xxhash64("vec_id", "label", "embedding")), threshold, cell_dims))
+    again = found.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id", F.lit(True).alias("again"))
     keys = ["label", "dims", "cell"]
     dealt = dealt_in_blocks(found.select("label", "dims", F.explode("cells").alias("cell"), "rid", "vec_id"), keys, "rid", CELL_ROWS)
     group = [*keys, "lo", "hi"]
-    wide = dealt.join(found.select("rid", "vec_id", "vector"), ["rid", "vec_id"])
-    sorted_rows = wide.repartition(*group).sortWithinPartitions(*group).select(*group, "blk", "vec_id", "vector")
+    wide = dealt.join(found.select("rid", "vec_id", "vector").join(again, "vec_id", "left"), ["rid", "vec_id"])
+    sorted_rows = wide.repartition(*group).sortWithinPartitions(*group).select(*group, "blk", "vec_id", "vector", F.coalesce("again", F.lit(False)).alias("again"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, blk, ids, raw in grouped(batches, len(group)):
+        names = ["vec_id", "n", "root", "other"]
+        for key, blk, ids, raw, again in grouped(batches, len(group)):
             x = unit_rows(np.frombuffer(b"".join(raw), kind).reshape(len(raw), key[1]))
-            ids, sides = np.array(ids, np.int64), np.array(blk, np.int32)
-            i, j = _links_in_cell(key[2], key[1], ids, x, None if key[3] == key[4] else sides, threshold, cell_dims)
-            if len(i):
-                n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-                root = np.arange(len(ids))
-                while True:  # smallest row number that links reach within this group
-                    new = root.copy()
-                    np.minimum.at(new, i, root[j])
-                    np.minimum.at(new, j, root[i])
-                    new = new[new]
-                    if (new == root).all():
-                        break
-                    root = new
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at].astype(np.int64)), pa.array(ids[root[at]])], ["vec_id", "n", "root"])
-
-    links = checkpointed(sorted_rows.mapInArrow(linked, "vec_id bigint, n bigint, root bigint"))
-    counts = links.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+            ids, again, n, stars = np.array(ids, np.int64), np.array(again, bool), np.zeros(len(ids), np.int64), []
+            for i, j in _links_in_cell(key[2], ids, x, None if key[3] == key[4] else np.array(blk, np.int32), threshold, cell_dims):
+                root = _roots(len(ids), i, j)
+                at = np.flatnonzero(root != np.arange(len(ids)))
+                stars.append((at, root[at]))
+                told = again[i] | again[j]
+                if told.any():
+                    a, b = np.concatenate([ids[i[told]], ids[j[told]]]), np.concatenate([ids[j[told]], ids[i[told]]])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.zeros(len(a), np.int64)), pa.array(np.minimum(a, b)), pa.array(b)], names)
+                n += np.bincount(i[~told], minlength=len(ids)) + np.bincount(j[~told], minlength=len(ids))
+            if stars:
+                root = _roots(len(ids), *(np.concatenate(side) for side in zip(*stars, strict=True)))
+                at = np.flatnonzero((n > 0) | (root != np.arange(len(ids))))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at]), pa.array(ids[root[at]]), pa.nulls(len(at), pa.int64())], names)
+
+    links = checkpointed(sorted_rows.mapInArrow(linked, "vec_id bigint, n bigint, root bigint, other bigint"))
+    counts = links.groupBy("vec_id").agg((F.sum("n") + F.countDistinct("other")).alias("n_links"))
     parts = connected_components(links.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     out = vectors.select("vec_id").join(counts, "vec_id", "left").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     return out.select(
