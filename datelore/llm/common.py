@@ -51,6 +51,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a result of written() that nothing reads any more; files elsewhere stay."""
+    spark, own = df.sparkSession, f"{_shared_folder(df.sparkSession)}/stage-"
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if "/stage-" in name and path.getName() == name.rsplit("/", 1)[1] and path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(own).getParent().toUri().getPath():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _give_back() -> None:
     """Returns the memory that a task's caches and batches held: a worker process outlives its tasks and serves other stages."""
     gc.collect()
@@ -66,7 +75,7 @@ def with_columns_from(docs: DataFrame, text_col: str, ddl: str, make: Callable[[
     docs that bear a new name are replaced.
     """
     new = StructType.fromDDL(ddl)
-    docs = docs.select(*[c for c in docs.columns if c not in new.names or c == text_col])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new.names or c == text_col])
     kept = [c for c in docs.columns if c not in new.names]
     place, schema = docs.columns.index(text_col), StructType([*(docs.schema[c] for c in kept), *new.fields])
 
@@ -92,16 +101,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt_in_blocks(rows: DataFrame, keys: list[str], id_col: str, block_rows: int) -> DataFrame:
+def dealt_in_blocks(rows: DataFrame, keys: list[str], id_col: str, block_rows: int, bytes_col: str | None = None, block_bytes: int = 1) -> DataFrame:
     """rows of groups of two and more, dealt so that no task holds more than two blocks of a group.
 
-    A group of n rows is cut by the hash of id_col into k = ceil(n / block_rows) blocks; each row goes to the
+    A group of n rows is cut by the hash of id_col into k = ceil(n / block_rows) blocks, or into as many as its rows' bytes_col
+    fills with block_bytes each, where that is more; each row goes to the
     k pairs (lo, hi) of blocks that hold its own (blk), so every pair of rows of the group meets exactly once
     under (keys, lo, hi): within a block where lo = hi, else across the two. Groups of one row are left out,
     as nothing meets there.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    k = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
+    total = F.sum(bytes_col) if bytes_col else F.lit(0)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), total.alias("_bytes")).where("_n > 1")
+    # more blocks than rows would only copy them
+    k = F.greatest(F.ceil(F.col("_n") / F.lit(block_rows)), F.least("_n", F.ceil(F.col("_bytes") / F.lit(block_bytes)))).cast("int")
     return (
         rows.join(sizes, keys)
         .withColumn("_k", k)
@@ -109,7 +121,7 @@ def dealt_in_blocks(rows: DataFrame, keys: list[str], id_col: str, block_rows: i
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
         .withColumn("lo", F.least("blk", "_other"))
         .withColumn("hi", F.greatest("blk", "_other"))
-        .drop("_n", "_k", "_other")
+        .drop("_n", "_bytes", "_k", "_other")
     )
 
 

@@ -1,12 +1,15 @@
 """Benchmark decontamination by one Aho-Corasick automaton over normalised test texts.
 
-The patterns are the windows of the test items: runs of words, between single spaces. Every document is
-normalised the same way and scanned once; matches are mapped to word numbers and to character offsets of the
-original text. The document side is never shuffled.
+The patterns are the windows of the test items: runs of words, each word spelled by the digits of its number. Every
+document is normalised the same way and scanned once; matches are word numbers, mapped to character offsets of the original
+text. The document side is never shuffled, and a worker process builds the automaton once, for all of its tasks.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+from uuid import uuid4
+
 import ahocorasick
 import numpy as np
 import regex
@@ -16,11 +19,14 @@ from pyspark.sql import functions as F
 from datelore.llm.common import WORD, read_table, with_columns_from, words_of
 
 WINDOW_WORDS = 13
-#: UTF-8 bytes of test texts in one automaton; more texts are scanned for by further automata, one after another.
-AUTOMATON_BYTES = 4 << 20
+#: UTF-8 bytes of test texts in one automaton, which takes about 150 times as much memory in each worker; more texts are scanned for by
+#: further automata, one after another.
+AUTOMATON_BYTES = 8 << 20
+#: Digits that spell the number of a word; a node of the automaton has this many children at most.
+BASE = 256
 
 _SPANS = "array<struct<first_word:int,last_word:int,start:int,end:int>>"
-_FOUND = f"n_words bigint, n_hit bigint, item_ids array<string>, spans {_SPANS}"
+_NAMES = ("n_words", "n_hit", "item_ids", "spans")
 
 
 def windows_of(words: list[bytes], size: int) -> set[bytes]:
@@ -28,31 +34,40 @@ def windows_of(words: list[bytes], size: int) -> set[bytes]:
     return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def automaton_of(items: list[tuple[str, str | None]], size: int) -> ahocorasick.Automaton:
+class Windows:
     """An automaton over the windows of (item_id, text) rows; a window's value is (its words, ids of the items that hold it)."""
-    holders: dict[bytes, set[str]] = {}
-    for item_id, text in items:
-        for window in windows_of(words_of(text), size):
-            holders.setdefault(window, set()).add(item_id)
-    found = ahocorasick.Automaton()
-    for window, ids in holders.items():
-        # latin-1 makes a character of each UTF-8 byte, so that offsets are byte offsets
-        found.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, tuple(sorted(ids))))
-    if holders:
-        found.make_automaton()
-    return found
-
 
-def scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple[list[bytes], np.ndarray, set[str]]:
+    def __init__(self, items: list[tuple[str, str | None]], size: int):
+        holders: dict[bytes, set[str]] = {}
+        for item_id, text in items:
+            for window in windows_of(words_of(text), size):
+                holders.setdefault(window, set()).add(item_id)
+        known = sorted({w for window in holders for w in window.split(b" ")})
+        self.digits = 1
+        while BASE**self.digits < len(known):
+            self.digits += 1
+        # Digits of different places are different letters, so no match begins within a word; 0 stands for words that no window holds.
+        self.letters = {w: tuple(1 + d * BASE + k // BASE**d % BASE for d in range(self.digits)) for k, w in enumerate(known)}
+        self.unknown = (0,) * self.digits
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, ids in holders.items():
+            words = window.split(b" ")
+            self.automaton.add_word(self.spelled(words), (len(words), tuple(sorted(ids))))
+        if holders:
+            self.automaton.make_automaton()
+
+    def spelled(self, words: list[bytes]) -> tuple[int, ...]:
+        letters, unknown = self.letters, self.unknown
+        return tuple(chain.from_iterable([letters.get(w, unknown) for w in words]))
+
+
+def scan(text: str | None, windows: Windows) -> tuple[list[bytes], np.ndarray, set[str]]:
     """The words of text, whether each lies in an occurrence of a window, and the items that have occurring windows."""
     words = words_of(text)
     hit, items = np.zeros(len(words) + 1, np.int64), set()
-    if words and len(automaton):
-        ends = None
-        for at, (n, ids) in automaton.iter(f" {b' '.join(words).decode('latin-1')} "):
-            if ends is None:
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            last = int(np.searchsorted(ends, at))
+    if words and windows.letters:
+        for at, (n, ids) in windows.automaton.iter(windows.spelled(words)):
+            last = at // windows.digits
             hit[last - n + 1] += 1
             hit[last + 1] -= 1
             items.update(ids)
@@ -71,19 +86,27 @@ def _spans(text: str, hit: np.ndarray) -> list[tuple[int, int, int, int]]:
 _WORDS = regex.compile(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))  # A-Z are words before they become a-z
 
 
-def _scan_once(docs: DataFrame, items: list[tuple[str, str | None]], size: int, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+_BUILT: dict[str, Windows] = {}  # of a worker process: the automaton that its tasks used last
+
+
+def _scan_once(docs: DataFrame, items: list[tuple[str, str | None]], size: int, text_col: str, names: list[str]) -> DataFrame:
+    """docs and the four columns of _NAMES, called names."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid4().hex
 
     def make():
-        automaton = automaton_of(shared.value, size)
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = Windows(shared.value, size)
+        windows = _BUILT[key]
 
         def of(text: str | None) -> tuple:
-            words, hit, ids = scan(text, automaton)
+            words, hit, ids = scan(text, windows)
             return len(words), int(hit.sum()), sorted(ids), [dict(zip(("first_word", "last_word", "start", "end"), s, strict=True)) for s in _spans(text, hit)] if ids else []
 
         return of
 
-    return with_columns_from(docs, text_col, _FOUND, make)
+    ddl = ", ".join(f"`{name}` {kind}" for name, kind in zip(names, ("bigint", "bigint", "array<string>", _SPANS), strict=True))
+    return with_columns_from(docs, text_col, ddl, make)
 
 
 def mark_contamination(
@@ -91,33 +114,35 @@ def mark_contamination(
 ) -> DataFrame:
     """docs with n_words, n_hit, item_ids (sorted as strings), and spans of hit words with offsets in the original text.
 
-    benchmark holds item_id and text. Its rows are dealt to automata of automaton_bytes of text at most (a single
-    longer item gets its own), so what the driver gathers and sends at once is bounded by that figure however
-    large the table is; each further automaton means another scan of docs, whose hits are united row by row.
-    Columns of docs that bear a new name, or start with "_", are replaced.
+    benchmark holds item_id and text. All of it goes into one automaton; only where it has more than automaton_bytes of text is it
+    dealt to several (a single longer item gets its own), so that what the driver gathers and a worker holds is bounded
+    however large the table is; each further automaton means another scan of docs, whose hits are united row by row.
+    Columns of docs that bear a new name are replaced; all others pass through.
 
     A null or empty text has no words and no hits; items with null, empty or wordless texts match nothing; equal
     items are all named; an item id that several rows share counts once; null item ids count by the name "null".
-    Repeated rows and extra columns pass through. An empty benchmark hits nothing.
+    Repeated rows stay. An empty benchmark hits nothing.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids", "spans") and not c.startswith("_")])
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text", F.octet_length(F.coalesce("text", F.lit(""))).alias("_bytes"))
-    (total,) = items.agg(F.sum("_bytes")).first()
-    parts = max(1, -(-2 * (total or 0) // max(automaton_bytes, 1))) if (total or 0) > automaton_bytes else 1
+    docs = docs.select(*[c for c in docs.columns if c not in _NAMES])
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"))
+    total = items.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = max(1, -(-2 * total // max(automaton_bytes, 1))) if total > automaton_bytes else 1
     found = None
     for k in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         one = [(r.item_id, r.text) for r in part.select("item_id", "text").toLocalIterator()]
-        found = _scan_once(docs, one, window_words, text_col) if found is None else _united(_scan_once(found, one, window_words, text_col), docs.columns)
-        if parts > 1 and k < parts - 1:
-            found = found.withColumnsRenamed({"n_words": "_w", "n_hit": "_h", "item_ids": "_i", "spans": "_s"})
+        if found is None:
+            found = _scan_once(docs, one, window_words, text_col, list(_NAMES))
+        else:
+            new = [f"{name}-{uuid4().hex}" for name in _NAMES]
+            found = _united(_scan_once(found, one, window_words, text_col, new), docs.columns, new)
     return found
 
 
-def _united(both: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows that hold what one scan found and what those before it found (_w, _h, _i, _s), with the two united."""
+def _united(both: DataFrame, columns: list[str], new: list[str]) -> DataFrame:
+    """Rows that hold what one scan found (columns named new) and what those before it found, with the two united."""
     edge = lambda s: F.struct(s["first_word"].alias("first_word"), s["last_word"].alias("last_word"), s["start"].alias("start"), s["end"].alias("end"))
-    spans = F.array_sort(F.concat("_s", "spans"))
+    spans = F.array_sort(F.concat("spans", new[3]))
     last = lambda a: F.element_at(a, -1)
     merged = F.aggregate(
         spans,
@@ -125,8 +150,9 @@ def _united(both: DataFrame, columns: list[str]) -> DataFrame:
         lambda a, s: F.when((F.size(a) > 0) & (last(a)["last_word"] >= s["first_word"] - 1),
             F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["first_word"].alias("first_word"), F.greatest(last(a)["last_word"], s["last_word"]).alias("last_word"), last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(edge(s)))),
     )
-    return both.select(*columns, "n_words", F.array_sort(F.array_union("_i", "item_ids")).alias("item_ids"), merged.alias("spans")).select(
-        *columns, "n_words", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last_word"] - s["first_word"] + 1).alias("n_hit"), "item_ids", "spans"
+    quoted = [F.col(f"`{c}`") for c in columns]
+    return both.select(*quoted, "n_words", F.array_sort(F.array_union("item_ids", new[2])).alias("item_ids"), merged.alias("spans")).select(
+        *quoted, "n_words", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last_word"] - s["first_word"] + 1).alias("n_hit"), "item_ids", "spans"
     )
 
 

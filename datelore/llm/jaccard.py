@@ -28,8 +28,8 @@ THRESHOLD = 0.8
 HASHES, BAND = 128, 4
 #: Values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-7
-#: Documents of a group that meet in one task, while pruning and while verifying.
-PRUNE_ROWS, VERIFY_ROWS = 512, 128
+#: Documents of a group that meet in one task, while pruning and while verifying; there a block ends at so many bytes of shingle sets too.
+PRUNE_ROWS, VERIFY_ROWS, VERIFY_BYTES = 512, 1024, 4 << 20
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -161,19 +161,19 @@ _MET = "rep bigint, n bigint, root bigint"
 
 
 def _described(docs: DataFrame, text_col: str) -> DataFrame:
-    """(doc_id, fp, sign, bands): fp stands for the set of shingles, sign holds a byte of each MinHash value; null without words."""
+    """(doc_id, fp, sign, bands, bytes): fp stands for the set of shingles, sign holds a byte of each MinHash value, bytes is the set's size; null without words."""
 
     def make():
         def of(text: str | None) -> tuple:
             found = shingles(words_of(text))
             if not len(found):
-                return None, None, None
+                return None, None, None, None
             values = minhash(found)
-            return blake2b(found.tobytes(), digest_size=16).digest(), values.astype(np.uint8).tobytes(), bands(values).tolist()
+            return blake2b(found.tobytes(), digest_size=16).digest(), values.astype(np.uint8).tobytes(), bands(values).tolist(), found.nbytes
 
         return of
 
-    return with_columns_from(docs.select("doc_id", F.col(text_col).alias("text")), "text", "fp binary, sign binary, bands array<bigint>", make).drop("text")
+    return with_columns_from(docs.select("doc_id", F.col(text_col).alias("text")), "text", "fp binary, sign binary, bands array<bigint>, bytes bigint", make).drop("text")
 
 
 def with_shingle_set(docs: DataFrame, text_col: str, name: str) -> DataFrame:
@@ -209,7 +209,7 @@ def _candidate_groups(reps: DataFrame, threshold: float) -> DataFrame:
 
 def _verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, threshold: float, text_col: str) -> DataFrame:
     """(rep, n, root): links that the exact sets confirm, counted by task."""
-    members = checkpointed(groups.select(F.col("node").alias("rep"), "component").join(reps.select("rep", "fp"), "rep"))
+    members = checkpointed(groups.select(F.col("node").alias("rep"), "component").join(reps.select("rep", "fp", "bytes"), "rep"))
     texts = docs.select(F.col("doc_id").alias("rep"), F.col(text_col).alias("text")).join(members.select("rep", F.col("fp").alias("_fp")), "rep")
 
     def make():
@@ -221,7 +221,7 @@ def _verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, threshold: fl
 
     sets = with_columns_from(texts, "text", "fp binary, sign binary, hashes binary", make).where("fp = _fp").select("rep", "fp", "sign", "hashes").dropDuplicates(["rep", "fp"])
     group = ["component", "lo", "hi"]
-    dealt = dealt_in_blocks(members.select("component", "rep", "fp"), ["component"], "rep", VERIFY_ROWS)
+    dealt = dealt_in_blocks(members, ["component"], "rep", VERIFY_ROWS, "bytes", VERIFY_BYTES)
     rows = dealt.join(sets, ["rep", "fp"]).repartition(*group).sortWithinPartitions(*group).select(*group, "blk", "rep", "sign", "hashes")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD, text_col: str
     classes = told.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
     # Of a class any row will do for sign and bands, which are functions of the set; only its representative's are moved.
     reps = told.where("doc_id is not null").join(classes.where("rep is not null").withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("doc_id") == F.col("rep")))
-    reps = checkpointed(reps.select("rep", "fp", "sign", "bands").dropDuplicates(["rep", "fp"]))
+    reps = checkpointed(reps.select("rep", "fp", "sign", "bands", "bytes").dropDuplicates(["rep", "fp"]))
     links = checkpointed(_verified(docs, reps, _candidate_groups(reps, threshold), threshold, text_col))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n_links"))
     parts = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")

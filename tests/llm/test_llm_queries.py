@@ -88,7 +88,7 @@ def test_pipeline(spark, sf_dir, documents):
                 parent[max(u, v)] = min(u, v)
     frame = frame[[find(k) == k for k in frame.doc_id]]
     items = [(str(r.item_id), r.text) for r in pd.read_parquet(f"{sf_dir}/benchmark.parquet").itertuples()]
-    automaton = decontaminate.automaton_of(items, 13)
+    automaton = decontaminate.Windows(items, 13)
     clean = []
     for t in frame.text:
         words, hit, _ = decontaminate.scan(t, automaton)
