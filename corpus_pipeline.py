@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datelore.llm import bpe, decontaminate, jaccard, language, toxicity
-from datelore.llm.common import read_table, written
+from datelore.llm.common import discard, read_table, written
 
 #: A text whose best language has no more than this share of the evidence is in none that the model knows.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -19,42 +19,68 @@ LEAST_LANGUAGE_SCORE = 0.3
 MEMO_ENTRIES = 200_000
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """text, and the other columns in one, so that no column of an operator can meet one of theirs."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("kept"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col("kept").getField(c).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below one half, by a model of the labelled ones among them."""
+    """Documents whose toxicity is below one half, by a model of the labelled ones among them.
+
+    A null or empty text has no toxic passage and stays; repeated rows are judged alike; an empty table stays empty, and without
+    labelled documents of both kinds all stay. All columns pass through as they are, whatever they are called.
+    """
     model = toxicity.fit_documents(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where("score < 0.5").select(*docs.columns)
+    return _unpacked(toxicity.score_toxicity(_packed(docs), model).where("score < 0.5"), docs)
 
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones among them teach; texts without letters or without evidence go."""
-    found = language.identify(docs, language.fit_documents(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents in a language that the labelled ones among them teach; texts without letters or without evidence go.
+
+    Null and empty texts have no letter and go; repeated rows are judged alike; a document whose own lang is null is judged like
+    any other; where no document has a lang, none stays. All columns pass through as they are.
+    """
+    found = language.identify(_packed(docs), language.fit_documents(docs))
+    return _unpacked(found.where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_LANGUAGE_SCORE)), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal and near texts, the one with the smallest doc_id.
 
     Rows that repeat a doc_id with the same set of shingles are one document: one of them stays. Rows without a doc_id, for
-    which no other can stand, stay too.
+    which no other can stand, stay too, and so do null, empty and wordless texts of different doc_ids. All columns pass through as they are.
     """
-    found = jaccard.near_documents(docs)
-    kept = docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    found = written(jaccard.near_documents(docs.select("doc_id", "text")))
+    kept = docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:
-        told = jaccard.with_shingle_set(kept, "text", "_set")
-        kept = told.withColumn("_set", F.coalesce("_set", F.col("text").cast("binary"))).dropDuplicates(["doc_id", "_set"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+        told = jaccard.with_shingle_set(_packed(kept), "text", "shingles")
+        alike = F.coalesce("shingles", F.col("text").cast("binary"))
+        kept = _unpacked(told.withColumns({"shingles": alike, "doc_id": F.col("kept.doc_id")}).dropDuplicates(["doc_id", "shingles"]), docs)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold test passages in a twentieth of their words."""
-    found = decontaminate.mark_contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return found.where(~decontaminate.is_contaminated()).select(*docs.columns)
+    """Documents that do not hold test passages in a twentieth of their words.
+
+    Null, empty and wordless texts hold none and stay; repeated rows are judged alike; an empty benchmark drops nothing.
+    All columns pass through as they are.
+    """
+    found = decontaminate.mark_contamination(_packed(docs), read_table(spark, sf_dir, "benchmark"))
+    return _unpacked(found.where(~decontaminate.is_contaminated()), docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) of every text, and whether they decode to it."""
+    """Token ids (little-endian unsigned 32-bit integers) of every text, and whether they decode to it.
+
+    A null or empty text has no tokens; each row has its own result; of the columns of docs, doc_id, lang and source stay.
+    """
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = docs.select("doc_id", "lang", "source", "text")
     ids = bpe.decode_documents(bpe.encode_documents(docs, path, tokenizers.PATTERN, memo_entries=MEMO_ENTRIES), path)
     return ids.select(
         "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
@@ -74,9 +100,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder and read again."""
+    """All stages over documents, each but the last written to the shared folder and read again; what a stage has read is removed once its result is written."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = written(docs) if k + 1 < len(STAGES) else docs
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs)
+            if k:
+                discard(before)
     return docs
