@@ -24,7 +24,7 @@ FIT_ROWS = 20_000
 LENGTHS = (6, 5, 4, 3, 2, 1)
 #: Weight of one n-gram against one known word.
 GRAM_WEIGHT = 0.5
-#: Words whose numbers a task remembers: a cache, which is emptied when full.
+#: Words whose numbers a task remembers, about: a cache, which is emptied between texts when full.
 REMEMBERED = 100_000
 
 _WORD = r"\p{L}+"
@@ -40,14 +40,15 @@ class Table:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
 
-    def rows(self, items: list[str]) -> np.ndarray:
-        """The rows of those items that the table has."""
-        if not len(self.keys):
-            return self.values
+    def find(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the items the table has, their rows)."""
+        if not len(self.keys) or not items:
+            return np.zeros(len(items), bool), self.values[:0]
         wanted = np.fromiter((xxh64_intdigest(x.encode("utf-8", "surrogatepass"), _SEED) for x in items), np.uint64, len(items))
         at = np.searchsorted(self.keys, wanted)
         at[at == len(self.keys)] = 0
-        return self.values[at[self.keys[at] == wanted]]
+        known = self.keys[at] == wanted
+        return known, self.values[at[known]]
 
 
 class Model:
@@ -55,35 +56,40 @@ class Model:
 
     def __init__(self, langs: list[str], words: Table, grams: Table):
         self.langs, self.words, self.grams = langs, words, grams
-        self._seen: dict[str, tuple[float, ...]] = {}
-
-    def word(self, word: str) -> tuple[float, ...]:
-        """A known word's numbers; of an unseen one, the sum over its n-grams of the first length of which any is known."""
-        found = self._seen.get(word)
-        if found is None:
-            known = self.words.rows([word])
-            found = tuple(known[0].tolist()) if len(known) else self._backed_off(word)
-            if len(self._seen) >= REMEMBERED:
-                self._seen.clear()
-            self._seen[word] = found
-        return found
-
-    def _backed_off(self, word: str) -> tuple[float, ...]:
-        framed = f" {word} "
+        self._seen: dict[str, list[float]] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Remembers the numbers of words: a known word's own; of an unseen one, the sum over its n-grams of the first length of which any is known."""
+        known, rows = self.words.find(words)
+        self._seen.update(zip((w for w, k in zip(words, known.tolist(), strict=True) if k), rows.tolist(), strict=True))
+        left = [w for w, k in zip(words, known.tolist(), strict=True) if not k]
         for n in LENGTHS:
-            found = self.grams.rows([framed[k : k + n] for k in range(len(framed) - n + 1)])
-            if len(found):
-                return tuple((GRAM_WEIGHT * found.sum(axis=0, dtype=float)).tolist())
-        return (0.0,) * len(self.langs)
+            if not left:
+                return
+            grams = [[f" {w} "[k : k + n] for k in range(len(w) + 3 - n)] for w in left]
+            owner = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            known, rows = self.grams.find([g for of_word in grams for g in of_word])
+            total = np.zeros((len(left), len(self.langs)))
+            np.add.at(total, owner[known], rows)
+            found = np.zeros(len(left), bool)
+            found[owner[known]] = True
+            self._seen.update((left[k], (GRAM_WEIGHT * total[k]).tolist()) for k in np.flatnonzero(found).tolist())
+            left = [w for w, f in zip(left, found.tolist(), strict=True) if not f]
+        self._seen.update((w, [0.0] * len(self.langs)) for w in left)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): und and 0 without a letter (or a language to choose), else the best and its share of the mean evidence, 0 to 1."""
         if not text or not self.langs or not _HAS_LETTER.search(text):
             return "und", 0.0
-        total, words = [0.0] * len(self.langs), 0
-        for word, n in Counter(_SPLIT.findall(text.lower())).items():
+        counts = Counter(_SPLIT.findall(text.lower()))
+        if len(self._seen) >= REMEMBERED:
+            self._seen.clear()
+        seen, total, words = self._seen, [0.0] * len(self.langs), 0
+        if new := [w for w in counts if w not in seen]:
+            self.learn(new)
+        for word, n in counts.items():
             words += n
-            for k, x in enumerate(self.word(word)):
+            for k, x in enumerate(seen[word]):
                 total[k] += n * x
         # the evidence of a word, on average, counted at most ten times: long texts do not all end up at exactly 1
         scale = min(words, 10) / max(words, 1)
