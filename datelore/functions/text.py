@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -9,8 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Legal forms that issuer names drop at their end, one word each after normalising.
-LEGAL_SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "llc", "lp", "nv", "sa", "ag", "se")
+#: Legal forms that issuer names drop at their end, as words after punctuation became blanks.
+LEGAL_FORMS = (
+    "public limited company", "limited partnership", "incorporated", "corporation", "company", "limited", "inc", "corp", "co", "plc", "ltd", "llc", "llp", "lp", "n v", "s a", "a g",
+    "p l c", "l p", "s e",
+)
+#: IPv4 networks that are not public, as (first address, bits of the network).
+PRIVATE_NETWORKS = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16),
+    ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4),
+)
 
 
 @F.pandas_udf(StringType())
@@ -32,10 +41,14 @@ def company_name(name: Column) -> Column:
 
 
 def issuer_name(name: Column) -> Column:
-    """A name with "&" as "and", without a leading "the", punctuation, and any legal forms at its end (but never empty)."""
-    words = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), "&", " and "), r"[^\p{L}\p{N}_]+", " "))
-    words = F.regexp_replace(words, r"^the (?=.)", "")
-    return F.regexp_replace(words, rf"(?<=\S)(?: (?:{'|'.join(LEGAL_SUFFIXES)}))+$", "")
+    """A name with "&" as "and", without a share class in brackets, a leading "the", punctuation, and any legal forms at its end (but never empty).
+
+    Pass it through nfkc first where it may hold compatibility characters.
+    """
+    bare = F.regexp_replace(name, r"(?i)\s*\(\s*class\s+[a-z0-9]+\s*\)\s*$", "")
+    words = F.trim(F.regexp_replace(F.replace(F.lower(bare), F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}_]+", " "))
+    words = F.when(F.startswith(words, F.lit("the ")), F.substr(words, F.lit(5))).otherwise(words)
+    return F.regexp_replace(words, rf"(?<=\S)(?: (?:{'|'.join(LEGAL_FORMS)}))+$", "")
 
 
 def ticker(value: Column) -> Column:
@@ -50,14 +63,29 @@ def whole_id(value: Column) -> Column:
     return F.coalesce(F.when(number.isNotNull(), whole).otherwise(text), F.lit(""))
 
 
-_NUMBER = r"^\s*[$€£¥]?\s*(-?\d[\d,\s]*(?:\.\d+)?)(?:\s*(?:%|[xX]|[-–—]?[A-Za-z][A-Za-z ._/-]*))?\s*$"
+def _only(text: Column, allowed: str) -> Column:
+    """Whether a text has characters, and none but those allowed."""
+    return (text != "") & (F.translate(text, allowed, "") == "")
 
 
 def reported_number(raw: Column) -> Column:
-    """The number of one copied token: a currency sign before and a unit after are allowed, digit groups must be of three; else null."""
-    compact = F.regexp_replace(F.regexp_extract(raw, _NUMBER, 1), r"\s+", "")
-    ok = (F.length(raw) <= 100) & compact.rlike(r"^-?(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?$")
-    return F.when(ok, F.replace(compact, F.lit(","), F.lit("")).try_cast("double"))
+    """The number of one copied token: a currency sign before and a unit after are allowed, digit groups must be of three; else null.
+
+    The token is cut where its unit begins, at the first letter or percent sign; what is left is a sign, groups of digits, and a fraction.
+    """
+    token = F.trim(F.translate(raw, "\t\n\r\u00a0", "    "))
+    amount = F.regexp_extract(token, "^[^A-Za-z%]*", 0)
+    unit = F.substr(token, F.length(amount) + 1)
+    amount = F.translate(F.when(unit.rlike("^[A-Za-z]"), F.rtrim(F.regexp_replace(amount, "[-–—]$", ""))).otherwise(amount), " ", "")
+    amount = F.when(F.substring(amount, 1, 1).isin("$", "€", "£", "¥"), F.substr(amount, F.lit(2))).otherwise(amount)
+    size = F.when(F.startswith(amount, F.lit("-")), F.substr(amount, F.lit(2))).otherwise(amount)
+    parts = F.split(size, "[.]")
+    groups, fraction = F.split(F.get(parts, F.lit(0)), ","), F.get(parts, F.lit(1))
+    digits = "0123456789"
+    grouped = (F.size(groups) == 1) | ((F.length(F.get(groups, F.lit(0))) <= 3) & F.forall(F.slice(groups, F.lit(2), F.size(groups)), lambda g: F.length(g) == 3))
+    plain_unit = (unit == "") | (unit == "%") | (F.translate(F.lower(unit), "abcdefghijklmnopqrstuvwxyz ._/-", "") == "")
+    ok = (F.length(raw) <= 100) & F.forall(groups, lambda g: _only(g, digits)) & grouped & (fraction.isNull() | _only(fraction, digits)) & (F.size(parts) <= 2) & plain_unit
+    return F.when(ok, F.translate(amount, ",", "").try_cast("double"))
 
 
 def numbers_in(text: Column) -> Column:
@@ -67,19 +95,44 @@ def numbers_in(text: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(F.length(F.regexp_replace(t, "[^0-9]", "")) == 0, F.lit(0).cast("decimal(38,6)")).when(t.rlike(r"^[(-]"), -value(t)).otherwise(value(t)))
 
 
-def source_text(text: Column) -> Column:
-    """Text without tags, digit-group commas and layout around "%" and "|", in small letters."""
-    bare = F.regexp_replace(text, r"<[^>]+>", " ")
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(plain))
-    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
-    bare = F.regexp_replace(bare, r"(?<=\d),(?=\d{3}(?:\D|$))", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(bare, r"\s*%", "%"), r"\s*\|\s*", " | "))
+def _without_tags(text: str) -> str:
+    """What stands outside of <...>; a "<" that nothing closes is text."""
+    first, *rest = text.split("<")
+    return first + "".join(f" {r.partition('>')[2]}" if r.find(">") > 0 else f"<{r}" for r in rest)
+
+
+def _ungrouped(word: str) -> str:
+    """A word without the commas between groups of three digits."""
+    pieces = word.split(",")
+    out = pieces[0]
+    for piece in pieces[1:]:
+        three = piece[:3].isdigit() and len(piece[:3]) == 3 and not piece[3:4].isdigit()
+        out += piece if out[-1:].isdigit() and three else f",{piece}"
+    return out
+
+
+def _plain(text: str) -> str:
+    cells = []
+    for cell in html.unescape(_without_tags(text)).split("|"):
+        words: list[str] = []
+        for word in map(_ungrouped, cell.split()):
+            if word.startswith("%") and words:
+                words[-1] += word
+            else:
+                words.append(word)
+        cells.append(" ".join(words))
+    return " | ".join(cells).strip().lower()
+
+
+@F.pandas_udf(StringType())
+def source_text(texts: pd.Series) -> pd.Series:
+    """Text without tags, entities (named or numeric), digit-group commas and layout around "%" and "|", in small letters; null stays null."""
+    return texts.map(lambda x: None if x is None else _plain(x))
 
 
 def column_gaps(text: Column) -> Column:
-    """Runs of two and more blanks within a line as column separators."""
-    return F.regexp_replace(text, r"[^\S\n]{2,}", " | ")
+    """Each line cut at its runs of two and more blanks, the pieces joined by bars."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.array_join(F.split(line, r"\s\s+"), " | ")), "\n")
 
 
 def iso_date(text: Column) -> Column:
@@ -93,11 +146,31 @@ def zoned_time(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(text))
 
 
+def _ipv4(address: str) -> int:
+    return int.from_bytes(bytes(map(int, address.split("."))), "big")
+
+
 def public_url(url: Column) -> Column:
-    """Whether a url is http(s) and names a public host: no address of a private range, no local name, no user part."""
-    host = F.lower(F.regexp_extract(url, r"^https?://([^/?#:]+)", 1))
-    private = host.rlike(r"^(?:localhost|.*\.local|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(?:1[6-9]|2\d|3[01])\..*|0\..*)$")
-    return F.coalesce((host != "") & host.contains(".") & ~private & ~host.contains("@"), F.lit(False))
+    """Whether a url is http(s) and names a public host: no user part, no port but the scheme's own, no address of a private range, no local name.
+
+    A url of more than 2,048 characters is none; of addresses in brackets only 2000::/3 is public.
+    """
+    scheme = F.lower(F.substring_index(url, "://", 1))
+    rest = F.substr(url, F.length(scheme) + 4)
+    authority = F.regexp_extract(rest, r"^[^/?#\\]*", 0)
+    bracket = F.startswith(authority, F.lit("["))
+    host = F.lower(F.when(bracket, F.substring_index(authority, "]", 1)).otherwise(F.substring_index(authority, ":", 1)))
+    port = F.when(bracket, F.substring_index(authority, "]", -1)).otherwise(F.substr(authority, F.length(host) + 1))
+    octets = F.transform(F.split(host, "[.]"), lambda o: F.when(o.rlike("^[0-9]{1,3}$"), o.cast("int")))
+    is_address = (F.size(octets) == 4) & F.forall(octets, lambda o: F.coalesce(o <= 255, F.lit(False)))
+    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda n, o: n * 256 + F.coalesce(o, F.lit(0)))
+    private = F.lit(False)
+    for first, bits in PRIVATE_NETWORKS:
+        private = private | number.between(_ipv4(first), _ipv4(first) + (1 << 32 - bits) - 1)
+    named = host.contains(".") & ~F.endswith(host, F.lit(".local")) & ~F.endswith(host, F.lit(".localhost"))
+    good_host = F.when(bracket, F.substring(host, 2, 1).isin("2", "3")).when(is_address, ~private).otherwise(named)
+    good_port = (port == "") | (port == ":") | ((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443"))
+    return F.coalesce(scheme.isin("http", "https") & url.contains("://") & (F.length(url) <= 2048) & ~authority.contains("@") & good_port & good_host, F.lit(False))
 
 
 def years_in(text: Column) -> Column:

@@ -31,25 +31,52 @@ def candidates(rows: DataFrame, observations: DataFrame, registry_unit: str = "u
     return both.withColumn("reason", reason)
 
 
-def select_as_of(judged: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(selected, quarantined) of candidates.
+#: Columns that hold the values of typed observations, and the data types of a registry that each is for.
+TYPED = {"value": ("number", "integer"), "flag": ("boolean",), "said": ("text",)}
+
+
+def typed_candidates(rows: DataFrame, observations: DataFrame, registry: DataFrame, fallback: bool = False) -> DataFrame:
+    """candidates() of observations with a value, a flag or a text (said), judged by a registry (feature_name, data_type, unit) of fixed size.
+
+    The unit is the feature's own. A value of another type than the registry's, an integer with a fraction, a number that is
+    not finite and a blank text are type mismatches; nothing is coerced. Features that the registry lacks are unregistered.
+    """
+    date, basis = availability(fallback)
+    known = F.broadcast(registry.select("feature_name", "data_type", F.col("unit").alias("_unit"), F.lit(True).alias("_known")))
+    both = rows.join(observations.withColumns({"available": date, "basis": basis}), "company_cik").join(known, "feature_name", "left")
+    wrong = F.isnan("value") | (F.abs("value") == float("inf")) | ((F.col("data_type") == "integer") & (F.col("value") != F.floor("value"))) | (F.trim("said") == "")
+    wrong = F.coalesce(wrong, F.lit(False))
+    for column, kinds in TYPED.items():
+        wrong = wrong | (F.col(column).isNotNull() & ~F.col("data_type").isin(*kinds))
+    reason = (
+        F.when(F.col("_known").isNull(), "unregistered").when(F.col("available").isNull(), "undated").when(F.col("available") > F.col("as_of"), "after_cutoff")
+        .when(~F.col("unit").eqNullSafe(F.col("_unit")), "unit_mismatch").when(wrong, "type_mismatch")
+    )
+    return both.withColumn("reason", reason).drop("_unit", "_known")
+
+
+def select_as_of(judged: DataFrame, keys: list[str], values: tuple[str, ...] = ("value",)) -> tuple[DataFrame, DataFrame]:
+    """(selected, quarantined) of candidates; values are the columns that may hold a value.
 
     selected has one row for each key and feature with an eligible observation: the newest by availability, year and document. Where the newest
-    (availability, year) holds two different values the value is null and the status conflicting, and all of that group are quarantined
+    (availability, year) holds two different values they are null and the status conflicting, and all of that group are quarantined
     besides those with a reason; a null among them is no conflict.
     """
     group = Window.partitionBy(*keys, "feature_name")
     newest = group.orderBy(F.col("available").desc(), F.coalesce("reporting_year", F.lit(0)).desc())
     eligible = judged.where("reason is null").withColumn("_rank", F.rank().over(newest)).where("_rank = 1").drop("_rank")
-    spread = eligible.withColumns({"_low": F.min("value").over(group), "_high": F.max("value").over(group)})
-    torn = F.coalesce(F.col("_low") != F.col("_high"), F.lit(False))
+    torn = F.lit(False)
+    for v in values:
+        torn = torn | F.coalesce(F.min(v).over(group) != F.max(v).over(group), F.lit(False))
+    spread = eligible.withColumn("_torn", torn)
     first = F.row_number().over(group.orderBy(F.col("document_id").desc()))
+    empty = F.coalesce(*[F.col(v).cast("string") for v in values]).isNull()
     selected = (
         spread.withColumn("_n", first).where("_n = 1")
-        .withColumn("status", F.when(torn, "conflicting").when(F.col("value").isNull(), "missing").otherwise("observed"))
-        .withColumn("value", F.when(~torn, F.col("value"))).drop("_low", "_high", "_n", "reason")
+        .withColumn("status", F.when(F.col("_torn"), "conflicting").when(empty, "missing").otherwise("observed"))
+        .withColumns({v: F.when(~F.col("_torn"), F.col(v)) for v in values}).drop("_torn", "_n", "reason")
     )
-    quarantined = judged.where("reason is not null").unionByName(spread.where(torn).withColumn("reason", F.lit("conflict")).drop("_low", "_high"))
+    quarantined = judged.where("reason is not null").unionByName(spread.where("_torn").withColumn("reason", F.lit("conflict")).drop("_torn"))
     return selected, quarantined
 
 
@@ -66,22 +93,32 @@ def ratio(numerator: str, denominator: str) -> Column:
     return F.when(F.col(denominator) > 0, F.try_divide(F.col(numerator), F.col(denominator)))
 
 
-def derived_ratios(long: DataFrame, keys: list[str], ratios: list[tuple[str, str, str]]) -> DataFrame:
-    """Rows (keys, feature_name, value, status, reporting_year, available) of ratios (name, numerator, denominator) of a long table.
+def derived_ratios(long: DataFrame, keys: list[str], ratios: list[tuple[str, str, str]], units: tuple[str, str] | None = None) -> DataFrame:
+    """Rows (keys, feature_name, value, status, reporting_year, available, basis, confidence, boundary) of ratios (name, numerator, denominator) of a long table.
 
-    Both inputs have to be there, of one reporting year, with a positive denominator; otherwise the value is null and the status says
-    why. The ratio is available when the later of its inputs is.
+    Both inputs have to be there, with a positive denominator, the units asked for, one known reporting year, and no more than one stated
+    boundary; otherwise the value is null and the status says which test failed first. The ratio is available when the later of its inputs is;
+    its basis is acquisition where either is, its confidence the lower one. long may lack unit, basis, confidence and boundary.
     """
+    kinds = {"value": "double", "reporting_year": "int", "available": "date", "unit": "string", "basis": "string", "confidence": "double", "boundary": "string"}
     pairs = long.sparkSession.createDataFrame(ratios, "ratio string, numerator string, denominator string")
-    side = lambda name: long.join(F.broadcast(pairs), F.col("feature_name") == F.col(name))  # noqa: E731  the ratios are a fixed list
-    top = side("numerator").select(*keys, "ratio", F.col("value").alias("n"), F.col("reporting_year").alias("ny"), F.col("available").alias("na"))
-    bottom = side("denominator").select(*keys, "ratio", F.col("value").alias("d"), F.col("reporting_year").alias("dy"), F.col("available").alias("da"))
-    both = top.join(bottom, [*keys, "ratio"], "full_outer")
+    fields = {c: F.col(c) if c in long.columns else F.lit(None).cast(kind) for c, kind in kinds.items()}
+    side = lambda name, mark: long.join(F.broadcast(pairs), F.col("feature_name") == F.col(name)).select(*keys, "ratio", *[x.alias(f"{mark}_{c}") for c, x in fields.items()])  # noqa: E731  the ratios are a fixed list
+    both = side("numerator", "n").join(side("denominator", "d"), [*keys, "ratio"], "full_outer")
+    n, d = (lambda c: F.col(f"n_{c}")), (lambda c: F.col(f"d_{c}"))
+    plain = lambda c: F.nullif(F.lower(F.regexp_replace(F.trim(c), r"\s+", " ")), F.lit(""))
+    wrong_unit = F.lit(False) if units is None else ~(n("unit").eqNullSafe(F.lit(units[0])) & d("unit").eqNullSafe(F.lit(units[1])))
     status = (
-        F.when(F.col("n").isNull() | F.col("d").isNull(), "missing_input").when(~F.col("ny").eqNullSafe(F.col("dy")), "different_years")
-        .when(F.col("d") <= 0, "denominator_not_positive").otherwise("derived")
-    )
-    return both.withColumn("status", status).select(
-        *keys, F.col("ratio").alias("feature_name"), F.when(F.col("status") == "derived", F.try_divide("n", "d")).alias("value"), "status",
-        F.when(F.col("status") == "derived", F.col("ny")).alias("reporting_year"), F.when(F.col("status") == "derived", F.greatest("na", "da")).alias("available"),
+        F.when(n("value").isNull() | d("value").isNull(), "missing_input").when(d("value") <= 0, "denominator_not_positive").when(wrong_unit, "different_units")
+        .when(~F.coalesce(n("reporting_year") == d("reporting_year"), F.lit(False)), "different_years").when(plain(n("boundary")) != plain(d("boundary")), "different_boundaries").otherwise("derived")
     )
+    acquired = (n("basis") == ACQUIRED) | (d("basis") == ACQUIRED)
+    basis = F.when(acquired, f"derived_from_{ACQUIRED}").when((n("basis") == PUBLISHER) & (d("basis") == PUBLISHER), PUBLISHER).otherwise(UNAVAILABLE)
+    later = F.when(n("available").isNotNull() & d("available").isNotNull(), F.greatest(n("available"), d("available")))
+    told = {
+        "value": F.try_divide(n("value"), d("value")), "reporting_year": n("reporting_year"), "available": later, "basis": basis,
+        "confidence": F.least(n("confidence"), d("confidence")), "boundary": F.coalesce(n("boundary"), d("boundary")),
+    }
+    made = both.withColumn("status", status)
+    out = {c: F.when(F.col("status") == "derived", x).alias(c) for c, x in told.items()}
+    return made.select(*keys, F.col("ratio").alias("feature_name"), out["value"], "status", *[out[c] for c in ("reporting_year", "available", "basis", "confidence", "boundary")])

@@ -15,10 +15,10 @@ def review_window_ok(checked: str, until: str, days: int = 30) -> Column:
 
 
 def freshness(checked: str, until: str, reviewed_hash: str, served_hash: str, now: Column) -> Column:
-    """What a review says at a time: invalid, changed (other bytes are served), expired, or verified, in that order; none without a review."""
+    """What a review says at a time: invalid, changed (other bytes are served), expired (from the instant it is valid until), or verified, in that order; none without a review."""
     return (
         F.when(F.col(checked).isNull(), "none").when(~F.coalesce(review_window_ok(checked, until), F.lit(False)), "invalid")
-        .when(~F.col(reviewed_hash).eqNullSafe(F.col(served_hash)), "changed").when(F.col(until) < now, "expired").otherwise("verified")
+        .when(~F.col(reviewed_hash).eqNullSafe(F.col(served_hash)), "changed").when(F.col(until) <= now, "expired").otherwise("verified")
     )
 
 

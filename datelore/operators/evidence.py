@@ -52,15 +52,15 @@ def endpoints(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def trend_scores(rows: DataFrame, key: str, year: str, value: str, latest: int) -> DataFrame:
-    """(key, current, base_year, rate, score) for keys with a value in the latest year: the nearest earlier year with a positive value is the base.
+    """(key, current, base_year, rate, score) for keys with a value in the latest year: the nearest earlier year with a value is the base, and if that value is zero there is no trend.
 
     rate is the annualised reduction in percent, 100 * (1 - (current / base) ** (1 / years)), and the score 50 + 5 * rate from 0 to 100. Negative values count as missing.
     """
     known = rows.where(F.col(value).isNotNull() & (F.col(value) >= 0))
     now = known.where(F.col(year) == latest).select(key, F.col(value).alias("current"))
-    base = known.where((F.col(year) < latest) & (F.col(value) > 0)).groupBy(key).agg(F.max(F.struct(F.col(year).alias("y"), F.col(value).alias("v"))).alias("b"))
+    base = known.where(F.col(year) < latest).groupBy(key).agg(F.max(F.struct(F.col(year).alias("y"), F.col(value).alias("v"))).alias("b"))
     both = now.join(base, key, "left").select(key, "current", F.col("b.y").alias("base_year"), F.col("b.v").alias("_base"))
-    rate = 100 * (1 - F.pow(F.try_divide(F.col("current"), F.col("_base")), F.lit(1.0) / (F.lit(latest) - F.col("base_year"))))
+    rate = 100 * (1 - F.pow(F.try_divide(F.col("current"), F.when(F.col("_base") > 0, F.col("_base"))), F.lit(1.0) / (F.lit(latest) - F.col("base_year"))))
     score = F.when(F.col("rate").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + 5 * F.col("rate"))))  # least and greatest pass nulls over
     return both.withColumn("rate", rate).withColumn("score", score).drop("_base")
 

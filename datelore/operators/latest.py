@@ -12,22 +12,30 @@ def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-def period_kind(form: str, start: str, end: str) -> Column:
-    """annual (an annual form over 300 to 430 days), quarter (60 to 120 days), instant (no start), else null; both ends count."""
+#: Forms that report a whole year, and forms that report a quarter; an amendment adds "/A". Instants may stand in any of them.
+ANNUAL_FORMS = ("10-K", "20-F", "40-F")
+QUARTER_FORMS = ("10-Q", "10-K", "8-K", "20-F", "6-K")
+
+
+def period_kind(form: str, start: str, end: str, fp: str) -> Column:
+    """annual (an annual form of fiscal period FY over 300 to 430 days), quarter (60 to 120 days), instant (no start), else null; both ends count.
+
+    Facts of other forms, and periods of other lengths, such as those from the year's start, are none of them.
+    """
     days = F.date_diff(F.col(end), F.col(start)) + 1
-    return (
-        F.when(F.col(start).isNull(), "instant").when(F.col(form).startswith("10-K") & days.between(300, 430), "annual").when(days.between(60, 120), "quarter")
-    )
+    of = F.regexp_replace(F.col(form), "/A$", "")
+    annual, quarter = of.isin(*ANNUAL_FORMS), of.isin(*QUARTER_FORMS)
+    return F.when(F.col(start).isNull() & (annual | quarter), "instant").when(annual & (F.col(fp) == "FY") & days.between(300, 430), "annual").when(quarter & days.between(60, 120), "quarter")
 
 
 def select_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """One fact for each key: newest period end, then concept priority, then newest accession; with the number of different
-    values published for the selected period and concept, and whether they differ."""
-    chosen = first_by(facts, keys, [F.col("period_end").desc_nulls_last(), F.col("priority"), F.col("accession").desc(), F.col("value").desc()])
-    same = [*keys, "period_end", "priority"]
+    """One fact for each key: newest period end, then concept priority, then newest filing date, then accession (then value); whether it is an amendment;
+    with the number of different values published for the selected period (start and end) and concept, and whether they differ."""
+    chosen = first_by(facts, keys, [F.col("period_end").desc_nulls_last(), F.col("priority"), F.col("filed").desc_nulls_last(), F.col("accession").desc(), F.col("value").desc()])
+    same = [*keys, "period_start", "period_end", "priority"]
     told = facts.groupBy(*same).agg(F.countDistinct("value").alias("n_values"), F.count(F.lit(1)).alias("n_published"))
     matches = [chosen[c].eqNullSafe(told[c]) for c in same]
-    return chosen.join(told, matches).select(*[chosen[c] for c in chosen.columns], "n_values", "n_published", (F.col("n_values") > 1).alias("is_disputed"))
+    return chosen.join(told, matches).select(*[chosen[c] for c in chosen.columns], "n_values", "n_published", (F.col("n_values") > 1).alias("is_disputed"), F.endswith(chosen["form"], F.lit("/A")).alias("is_amendment"))
 
 
 def merged_values(rows: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

@@ -69,7 +69,7 @@ QUERIES = {
 
 _S = f"""WITH s AS (SELECT o_orderkey, o_custkey, o_orderpriority, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS checked, CASE WHEN o_orderkey % 11 = 0 THEN 45 ELSE o_orderkey % 31 END AS days, o_orderdate,
     o_orderkey % 7 = 0 AND o_orderstatus <> 'P' AS changed FROM orders),
-    j AS (SELECT *, CASE WHEN checked IS NULL THEN 'none' WHEN days > 30 THEN 'invalid' WHEN changed THEN 'changed' WHEN o_orderdate + to_days(CAST(days AS INTEGER)) < TIMESTAMP '{NOW}' THEN 'expired' ELSE 'verified' END AS status FROM s)"""
+    j AS (SELECT *, CASE WHEN checked IS NULL THEN 'none' WHEN days > 30 THEN 'invalid' WHEN changed THEN 'changed' WHEN o_orderdate + to_days(CAST(days AS INTEGER)) <= TIMESTAMP '{NOW}' THEN 'expired' ELSE 'verified' END AS status FROM s)"""
 ORACLE_SQL = {
     "b16_freshness": _S + " SELECT o_orderpriority, status, count(*) AS n, min(o_orderkey) AS first_source FROM j GROUP BY ALL",
     "d29_catalog_rollup": _S + """ SELECT o_custkey, o_orderpriority, count(*) AS n, count(*) FILTER (status = 'verified') AS n_verified, count(*) FILTER (status = 'expired') AS n_open,

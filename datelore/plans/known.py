@@ -59,7 +59,7 @@ def previous_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     selected, _ = asof.select_as_of(_judged(spark, sf_dir), _KEYS)
     found = asof.derived_ratios(selected, _KEYS, [("urgent_high", "1-URGENT", "2-HIGH"), ("low_medium", "5-LOW", "3-MEDIUM")])
-    return found.select(*_KEYS, "feature_name", F.round("value", 6).alias("value"), "status", "reporting_year", "available")
+    return found.select(*_KEYS, "feature_name", F.round("value", 6).alias("value"), "status", "reporting_year", "available", "basis")
 
 
 def availability_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +107,14 @@ ORACLE_SQL = {
     "d02_row_coverage": _CELLS + """, k AS (SELECT *, CASE WHEN feature_name IN ('f1', 'f2') THEN 'urgent' ELSE 'normal' END AS category FROM c),
         a AS (SELECT company_cik, as_of, category, count(*) AS n_cells, count(value) AS n_values FROM k GROUP BY GROUPING SETS ((company_cik, as_of, category), (company_cik, as_of)))
         SELECT *, round(n_values / n_cells, 6) AS share, CASE WHEN n_values = 0 THEN 'none' WHEN n_values / n_cells < .33 THEN 'low' WHEN n_values / n_cells < .67 THEN 'medium' ELSE 'high' END AS level FROM a""",
-    "d08_feature_support": _CELLS + """, a AS (SELECT as_of, feature_name, count(value) AS n_values, count(DISTINCT value) AS n_distinct, count(*) FILTER (value = 0) AS n_zero, count(*) FILTER (value IS NULL) AS n_missing FROM c GROUP BY ALL)
-        SELECT *, concat_ws(',', CASE WHEN n_values < 40 THEN 'observed_count_below_minimum' END, CASE WHEN n_distinct < 5 THEN 'distinct_values_below_minimum' END) AS reasons, n_values >= 40 AND n_distinct >= 5 AS is_eligible FROM a""",
+    "d08_feature_support": _CELLS + """, a AS (SELECT as_of, feature_name, greatest(20, CAST(ceil(count(*) / 10) AS BIGINT)) AS bar, count(value) AS n_values, count(DISTINCT value) AS n_distinct, count(*) FILTER (value = 0) AS n_zero, count(*) FILTER (value IS NULL) AS n_missing FROM c GROUP BY ALL)
+        SELECT * EXCLUDE (bar), concat_ws(',', CASE WHEN n_values < bar THEN 'observed_count_below_minimum' END, CASE WHEN n_distinct < 5 THEN 'distinct_values_below_minimum' END) AS reasons, n_values >= bar AND n_distinct >= 5 AS is_eligible FROM a""",
     "c15_previous_score": views.with_views("v_label") + """ SELECT company_cik, as_of, score, (SELECT max_by(p.score, p.published_date) FROM v_label p WHERE p.company_cik = v_label.company_cik AND p.published_date <= v_label.as_of) AS previous_score FROM v_label""",
     "h24_ratios": _judged_sql() + """, r(feature_name, nf, df) AS (VALUES ('urgent_high', '1-URGENT', '2-HIGH'), ('low_medium', '5-LOW', '3-MEDIUM')),
-        n AS (SELECT company_cik, as_of, r.feature_name, value AS n, reporting_year AS ny, available AS na FROM s JOIN r ON s.feature_name = nf),
-        d AS (SELECT company_cik, as_of, r.feature_name, value AS d, reporting_year AS dy, available AS da FROM s JOIN r ON s.feature_name = df),
-        b AS (SELECT *, CASE WHEN n IS NULL OR d IS NULL THEN 'missing_input' WHEN ny IS DISTINCT FROM dy THEN 'different_years' WHEN d <= 0 THEN 'denominator_not_positive' ELSE 'derived' END AS status FROM n FULL JOIN d USING (company_cik, as_of, feature_name))
-        SELECT company_cik, as_of, feature_name, CASE WHEN status = 'derived' THEN round(n / d, 6) END AS value, status, CASE WHEN status = 'derived' THEN ny END AS reporting_year, CASE WHEN status = 'derived' THEN greatest(na, da) END AS available FROM b""",
+        n AS (SELECT company_cik, as_of, r.feature_name, value AS n, reporting_year AS ny, available AS na, basis AS nb FROM s JOIN r ON s.feature_name = nf),
+        d AS (SELECT company_cik, as_of, r.feature_name, value AS d, reporting_year AS dy, available AS da, basis AS db FROM s JOIN r ON s.feature_name = df),
+        b AS (SELECT *, CASE WHEN n IS NULL OR d IS NULL THEN 'missing_input' WHEN d <= 0 THEN 'denominator_not_positive' WHEN ny IS NULL OR ny IS DISTINCT FROM dy THEN 'different_years' ELSE 'derived' END AS status FROM n FULL JOIN d USING (company_cik, as_of, feature_name))
+        SELECT company_cik, as_of, feature_name, CASE WHEN status = 'derived' THEN round(n / d, 6) END AS value, status, CASE WHEN status = 'derived' THEN ny END AS reporting_year, CASE WHEN status = 'derived' THEN greatest(na, da) END AS available, CASE WHEN status = 'derived' THEN nb END AS basis FROM b""",
     "d07_availability_audit": views.with_views("v_observation") + """ SELECT feature_name, count(*) FILTER (publication_date <= DATE '1999-06-30') AS n_publisher,
         count(*) FILTER (publication_date IS NULL AND acquired_date <= DATE '1999-06-30') AS n_acquired, count(*) FILTER (coalesce(publication_date, acquired_date) > DATE '1999-06-30') AS n_after_cutoff,
         count(*) FILTER (coalesce(publication_date, acquired_date) IS NULL) AS n_undated FROM v_observation GROUP BY 1""",

@@ -31,7 +31,7 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
 def endpoint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = views.table(spark, sf_dir, "lineitem")
     bound = F.when(F.col("l_linenumber") == 7, "point").when(F.col("l_linenumber") % 2 == 0, "min").otherwise("max")
-    return evidence.endpoints(items.where("l_quantity > 10").select("l_orderkey", bound.alias("bound"), F.col("l_quantity").alias("value")), ["l_orderkey"])
+    return evidence.endpoints(items.select("l_orderkey", bound.alias("bound"), F.col("l_quantity").alias("value")), ["l_orderkey"])
 
 
 def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,15 +47,15 @@ def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"b34_evidence_checked": evidence_checked, "b37_families": families, "b53_endpoints": endpoint_rows, "h26_trend_scores": trends}
 
 ORACLE_SQL = {
-    "b34_evidence_checked": views.with_views("v_lines") + r""", v AS (SELECT doc_id || '/' || line_no AS value_id, doc_id, line_no, line, doc_id % 7 AS k, regexp_extract(line, '(\d+(?:\.\d+)?)', 1) AS raw FROM v_lines WHERE contains(lower(line), 'license') AND length(line) < 200),
+    "b34_evidence_checked": views.with_views("v_lines") + r""", v AS (SELECT doc_id || '/' || line_no AS value_id, doc_id, line_no, line, doc_id % 7 AS k, regexp_extract(line, '(\d+(?:\.\d+)?)', 1) AS raw FROM v_lines WHERE contains(lower(line), 'license')),
         o AS (SELECT *, CASE WHEN k = 1 THEN 'unknown_line' WHEN k = 2 THEN 'no_citation' WHEN k = 3 THEN 'quote_not_in_lines' WHEN k = 4 OR raw = '' THEN 'number_not_in_quote' WHEN k = 5 THEN 'value_differs' END AS r,
               row_number() OVER (PARTITION BY doc_id, CASE WHEN k = 3 THEN line || ' more' ELSE upper(line) END, CASE WHEN k = 4 THEN '77' ELSE raw END ORDER BY value_id) AS n FROM v)
         SELECT value_id, coalesce(r, CASE WHEN n > 1 THEN 'duplicate' ELSE 'accepted' END) AS outcome FROM o""",
     "b37_families": """SELECT o_custkey, count(*) FILTER (NOT bad) AS n_valid, count(*) FILTER (bad) AS n_invalid FROM (SELECT o_custkey, bool_or(o_totalprice > 480000) OVER (PARTITION BY o_custkey, o_orderpriority) AS bad FROM orders) GROUP BY 1""",
-    "b53_endpoints": """WITH w AS (SELECT l_orderkey, max(l_quantity) FILTER (l_linenumber = 7) AS p, max(l_quantity) FILTER (l_linenumber <> 7 AND l_linenumber % 2 = 0) AS mn, max(l_quantity) FILTER (l_linenumber <> 7 AND l_linenumber % 2 = 1) AS mx FROM lineitem WHERE l_quantity > 10 GROUP BY 1)
+    "b53_endpoints": """WITH w AS (SELECT l_orderkey, max(l_quantity) FILTER (l_linenumber = 7) AS p, max(l_quantity) FILTER (l_linenumber <> 7 AND l_linenumber % 2 = 0) AS mn, max(l_quantity) FILTER (l_linenumber <> 7 AND l_linenumber % 2 = 1) AS mx FROM lineitem GROUP BY 1)
         SELECT l_orderkey, coalesce(p, mn) AS low, coalesce(p, mx) AS high, CASE WHEN coalesce(p, mn) > coalesce(p, mx) THEN 'out_of_order' ELSE 'ok' END AS status FROM w""",
     "h26_trend_scores": """WITH y AS (SELECT l_suppkey, year(l_shipdate) AS y, l_returnflag AS f, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
-        b AS (SELECT l_suppkey, f, max(y) AS y, max_by(v, y) AS v FROM y WHERE y < 2000 AND v > 0 GROUP BY ALL),
-        s AS (SELECT l_suppkey, f, CASE WHEN b.v IS NOT NULL THEN greatest(0.0, least(100.0, 50 + 5 * (100 * (1 - pow(n.v / b.v, 1.0 / (2000 - b.y)))))) END AS score FROM (SELECT * FROM y WHERE y = 2000) n LEFT JOIN b USING (l_suppkey, f))
+        b AS (SELECT l_suppkey, f, max(y) AS y, max_by(v, y) AS v FROM y WHERE y < 2000 AND v >= 0 GROUP BY ALL),
+        s AS (SELECT l_suppkey, f, CASE WHEN b.v > 0 THEN greatest(0.0, least(100.0, 50 + 5 * (100 * (1 - pow(n.v / b.v, 1.0 / (2000 - b.y)))))) END AS score FROM (SELECT * FROM y WHERE y = 2000) n LEFT JOIN b USING (l_suppkey, f))
         SELECT l_suppkey, round(avg(CASE WHEN score IS NOT NULL THEN score END), 4) AS score, count(score) AS n_topics FROM s GROUP BY 1""",
 }

@@ -20,12 +20,12 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def selected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = views.facts(spark, sf_dir).where(latest.period_kind("form", "period_start", "period_end") == "annual")
-    return latest.select_facts(facts.select("company", "metric", "period_end", "priority", "accession", "value"), ["company", "metric"])
+    facts = views.facts(spark, sf_dir).where(latest.period_kind("form", "period_start", "period_end", "fp") == "annual")
+    return latest.select_facts(facts.select("company", "metric", "form", "period_start", "period_end", "priority", "filed", "accession", "value"), ["company", "metric"])
 
 
 def period_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.coalesce(latest.period_kind("form", "period_start", "period_end"), F.lit("other"))
+    kind = F.coalesce(latest.period_kind("form", "period_start", "period_end", "fp"), F.lit("other"))
     return views.facts(spark, sf_dir).groupBy("form", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
@@ -65,8 +65,9 @@ def classes_agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def universe_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     companies = views.companies(spark, sf_dir)
-    orders = views.observations(spark, sf_dir).where("document_id % 7 = 0").groupBy("company_cik").agg((F.min("document_id") % 300).alias("provider_id"))
-    return matching.coverage_of(companies.where("sub_class < 20"), orders, "company_cik", "provider_id")
+    verified = views.observations(spark, sf_dir).where("publication_date is not null").groupBy("company_cik").agg((F.min("document_id") % 300).alias("provider_id"))
+    strangers = verified.withColumn("company_cik", F.when(F.col("provider_id") % 9 == 0, F.concat(F.lit("X"), "company_cik")).otherwise(F.col("company_cik")))
+    return matching.coverage_of(companies, strangers, "company_cik", "provider_id")
 
 
 def range_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +117,8 @@ QUERIES = {
 }
 
 _FACT = views.with_views("v_fact")
-_KIND = "CASE WHEN starts_with(form, '10-K') AND period_end - period_start + 1 BETWEEN 300 AND 430 THEN 'annual' WHEN period_end - period_start + 1 BETWEEN 60 AND 120 THEN 'quarter' ELSE 'other' END"
+_KIND = """CASE WHEN form NOT IN ('10-K', '10-Q', '8-K', '20-F/A') THEN 'other' WHEN period_start IS NULL THEN 'instant'
+    WHEN form IN ('10-K', '20-F/A') AND fp = 'FY' AND period_end - period_start BETWEEN 299 AND 429 THEN 'annual' WHEN period_end - period_start BETWEEN 59 AND 119 THEN 'quarter' ELSE 'other' END"""
 _FOLDS = views.with_views("v_label") + """, c AS (SELECT cycle AS fold, min(as_of) AS cutoff, row_number() OVER (ORDER BY cycle DESC) AS back FROM v_label GROUP BY cycle QUALIFY back <= 2),
     f AS (SELECT fold, CASE WHEN back = 1 THEN 'test' ELSE 'validation' END AS role, company_cik, cycle, as_of FROM v_label JOIN c ON cycle = fold
     UNION ALL SELECT fold, 'train', company_cik, cycle, as_of FROM v_label JOIN c ON cycle < fold AND published_date <= cutoff)"""
@@ -125,10 +127,10 @@ ORACLE_SQL = {
     "e01_latest_observations": views.dated(views.with_views("v_observation") + """ SELECT company_cik, feature_name, value, publication_date, document_id FROM v_observation
         QUALIFY row_number() OVER (PARTITION BY company_cik, feature_name ORDER BY publication_date DESC NULLS LAST, document_id DESC) = 1""", "publication_date"),
     "e02_latest_events": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
-    "e05_selected_facts": views.dated(_FACT + f""", a AS (SELECT company, metric, period_end, priority, accession, value FROM v_fact WHERE {_KIND} = 'annual'),
-        t AS (SELECT company, metric, period_end, priority, count(DISTINCT value) AS n_values, count(*) AS n_published FROM a GROUP BY ALL)
-        SELECT a.*, n_values, n_published, n_values > 1 AS is_disputed FROM a JOIN t USING (company, metric, period_end, priority)
-        QUALIFY row_number() OVER (PARTITION BY company, metric ORDER BY period_end DESC, priority, accession DESC, value DESC) = 1""", "period_end"),
+    "e05_selected_facts": views.dated(_FACT + f""", a AS (SELECT company, metric, form, period_start, period_end, priority, filed, accession, value FROM v_fact WHERE {_KIND} = 'annual'),
+        t AS (SELECT company, metric, period_start, period_end, priority, count(DISTINCT value) AS n_values, count(*) AS n_published FROM a GROUP BY ALL)
+        SELECT a.*, n_values, n_published, n_values > 1 AS is_disputed, ends_with(form, '/A') AS is_amendment FROM a JOIN t USING (company, metric, period_start, period_end, priority)
+        QUALIFY row_number() OVER (PARTITION BY company, metric ORDER BY period_end DESC, priority, filed DESC, accession DESC, value DESC) = 1""", "period_end", "period_start", "filed"),
     "b11_period_kinds": _FACT + f" SELECT form, {_KIND} AS kind, count(*) AS n, round(sum(value), 2) AS total FROM v_fact GROUP BY ALL",
     "d32_merged_values": _FACT + """ SELECT company, metric, CASE WHEN max(value) - min(value) <= 1e-5 THEN min(value) END AS value, CASE WHEN max(value) - min(value) > 1e-5 THEN 'conflicting' ELSE 'agreed' END AS status,
         count(*) AS n, CAST(CASE WHEN max(value) - min(value) > 1e-5 THEN count(DISTINCT value) ELSE 0 END AS INTEGER) AS n_candidates FROM v_fact GROUP BY ALL""",
@@ -146,9 +148,10 @@ ORACLE_SQL = {
         SELECT left_id, CASE outcome WHEN 'matched_by_override' THEN ex WHEN 'matched' THEN rid END AS right_id, outcome FROM j""",
     "c09_classes_agreed": """SELECT l_orderkey, CASE WHEN min(p_type) = max(p_type) THEN min(p_type) END AS p_type, CASE WHEN min(p_type) IS NULL THEN 'missing' WHEN min(p_type) <> max(p_type) THEN 'ambiguous' ELSE 'agreed' END AS status,
         count(*) AS n_members FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey GROUP BY 1""",
-    "c07_universe_covered": views.with_views("v_company", "v_observation") + """, v AS (SELECT company_cik, min(document_id) % 300 AS provider_id FROM v_observation WHERE document_id % 7 = 0 GROUP BY 1), u AS (SELECT *, count(*) OVER (PARTITION BY provider_id) AS uses FROM v)
+    "c07_universe_covered": views.with_views("v_company", "v_observation") + """, v0 AS (SELECT company_cik, min(document_id) % 300 AS provider_id FROM v_observation WHERE publication_date IS NOT NULL GROUP BY 1),
+        v AS (SELECT CASE WHEN provider_id % 9 = 0 THEN 'X' || company_cik ELSE company_cik END AS company_cik, provider_id FROM v0), u AS (SELECT *, count(*) OVER (PARTITION BY provider_id) AS uses FROM v)
         SELECT company_cik, provider_id, CASE WHEN c.company_name IS NULL THEN 'outside_universe' WHEN provider_id IS NULL THEN 'missing' WHEN uses > 1 THEN 'reused_id' ELSE 'covered' END AS status
-        FROM (SELECT * FROM v_company WHERE sub_class < 20) c FULL JOIN u USING (company_cik)""",
+        FROM v_company c FULL JOIN u USING (company_cik)""",
     "c12_range_filters": views.with_views("v_financials") + " SELECT company_cik FROM v_financials WHERE revenue BETWEEN 1e7 AND 3e7 AND balance BETWEEN 0 AND 6000",
     "c10_either_key": """WITH s AS (SELECT p_partkey AS source, p_name || '/' || p_brand AS u FROM part), d AS (SELECT p_partkey, p_size, p_name || '/' || p_brand AS u FROM part WHERE p_partkey % 3 = 0)
         SELECT source, max(struct_pack(a := p_size, b := p_partkey)).b AS document_id FROM s LEFT JOIN d USING (u) GROUP BY source""",

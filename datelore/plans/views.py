@@ -56,12 +56,15 @@ def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as filing facts: part as metric, ship date as period end, supplier as accession, quantity and price as two concepts of one metric."""
+    """Lines as filing facts: part as metric, ship date as period end (every tenth part is an instant), supplier as accession, return flag as concept, line number as form."""
+    end, n = F.col("l_shipdate").cast("date"), F.col("l_linenumber")
+    form = F.when(F.col("l_linestatus") == "F", F.when(n % 3 == 0, "20-F/A").otherwise("10-K")).otherwise(F.when(n % 3 == 0, "8-K").when(n % 5 == 0, "S-1").otherwise("10-Q"))
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("company"), F.col("l_linenumber").alias("metric"), F.col("l_shipdate").cast("date").alias("period_end"),
-        F.date_sub(F.col("l_shipdate").cast("date"), F.expr("cast(l_quantity as int) * 10")).alias("period_start"), F.col("l_suppkey").alias("accession"),
+        F.col("l_orderkey").alias("company"), n.alias("metric"), end.alias("period_end"),
+        F.when(F.col("l_partkey") % 10 != 0, F.date_sub(end, F.expr("cast(l_quantity as int) * 10"))).alias("period_start"), F.col("l_suppkey").alias("accession"),
+        F.date_add(end, (F.col("l_suppkey") % 60).cast("int")).alias("filed"), F.when(F.col("l_partkey") % 4 == 0, "Q4").otherwise("FY").alias("fp"),
         F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("priority"),
-        F.col("l_extendedprice").alias("value"), F.when(F.col("l_linestatus") == "F", "10-K").otherwise("10-Q").alias("form"), F.col("l_partkey").alias("part"),
+        F.col("l_extendedprice").alias("value"), form.alias("form"), F.col("l_partkey").alias("part"),
     )
 
 
@@ -85,9 +88,12 @@ CTE = {
         revenue, cost, units, s_acctbal AS balance FROM supplier
         LEFT JOIN (SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(sum(l_extendedprice * l_discount), 2) AS cost, sum(l_quantity) AS units
                    FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
-    "v_fact": """v_fact AS (SELECT l_orderkey AS company, l_linenumber AS metric, CAST(l_shipdate AS DATE) AS period_end, CAST(CAST(l_shipdate AS DATE) - CAST(l_quantity AS INTEGER) * 10 AS DATE) AS period_start,
-        l_suppkey AS accession, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS priority, l_extendedprice AS value,
-        CASE WHEN l_linestatus = 'F' THEN '10-K' ELSE '10-Q' END AS form, l_partkey AS part FROM lineitem)""",
+    "v_fact": """v_fact AS (SELECT l_orderkey AS company, l_linenumber AS metric, CAST(l_shipdate AS DATE) AS period_end,
+        CASE WHEN l_partkey % 10 <> 0 THEN CAST(CAST(l_shipdate AS DATE) - CAST(l_quantity AS INTEGER) * 10 AS DATE) END AS period_start,
+        l_suppkey AS accession, CAST(CAST(l_shipdate AS DATE) + CAST(l_suppkey % 60 AS INTEGER) AS DATE) AS filed, CASE WHEN l_partkey % 4 = 0 THEN 'Q4' ELSE 'FY' END AS fp,
+        CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS priority, l_extendedprice AS value,
+        CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_linenumber % 3 = 0 THEN '20-F/A' ELSE '10-K' END WHEN l_linenumber % 3 = 0 THEN '8-K' WHEN l_linenumber % 5 = 0 THEN 'S-1' ELSE '10-Q' END AS form,
+        l_partkey AS part FROM lineitem)""",
     "v_lines": """v_lines AS (SELECT doc_id, lang, source, CAST(k AS INTEGER) AS line_no, l[k] AS line FROM (SELECT doc_id, lang, source, l, unnest(range(1, len(l) + 1)) AS k
         FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)))""",
 }
