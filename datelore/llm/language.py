@@ -136,7 +136,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
     # n-grams weigh each word by the logarithm of its count: they stand for words not seen yet, not for the frequent ones
     framed = counts.select(F.concat(F.lit(" "), F.col("word"), F.lit(" ")).alias("w"), *[F.log2(F.col(n) + 1.0).alias(n) for n in names])
     starts = lambda n: F.when(F.length("w") >= n, F.sequence(F.lit(1), F.length("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-    pieces = F.flatten(F.array(*[F.transform(starts(n), lambda p, n=n: F.substr("w", p, F.lit(n))) for n in LENGTHS]))
+    cut = lambda n: F.transform(starts(n), lambda p: F.substr("w", p, F.lit(n)))
+    pieces = F.flatten(F.array(*[cut(n) for n in LENGTHS]))
     keys, sizes, seen = _gathered(
         framed.select(F.explode(pieces).alias("gram"), *names).where("gram <> ' '").groupBy("gram").agg(*[F.sum(n).alias(n) for n in names]), "gram", len(langs)
     )

@@ -67,6 +67,12 @@ def test_vectors_repeated_and_null_ids(spark):
     assert got == [(-1, 0, None, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
 
 
+def test_links_of_an_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.001], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.02], 1), (4, [0.0, 1.0], 1)]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -138,6 +144,22 @@ def test_shards(spark, n, parts):
         assert [r.curve for r in own] == sorted(r.curve for r in own)
 
 
+@pytest.mark.parametrize("n", [3, 200])
+def test_text_dimensions_are_cut_by_their_whole_values(spark, n):
+    """Values that share a long prefix get cells of their own while there are enough, else like shares of the rows."""
+    rng = random.Random(n)
+    values = [f"a_long_common_source_{min(int(rng.expovariate(0.03)), n - 1):03}" for _ in range(2000)]
+    cell = shards.quantised(df := spark.createDataFrame([(v,) for v in values] + [(None,)], "source string"), ["source"], 5)[0]
+    got = {r.source: r.cell for r in df.select("source", cell.alias("cell")).distinct().collect()}
+    every = sorted(set(values))
+    if len(every) <= 32:
+        want = {v: k for k, v in enumerate(every)}
+    else:
+        filled = sorted({32 * sum(x < v for x in values) // len(values) for v in every})
+        want = {v: filled.index(32 * sum(x < v for x in values) // len(values)) for v in every}
+    assert got == want | {None: 0}
+
+
 @pytest.mark.parametrize("n,bits", [(2, 3), (3, 3), (4, 2)])
 def test_curve_is_continuous(n, bits):
     grid = np.array(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij")).reshape(n, -1)
@@ -163,6 +185,29 @@ def test_language(spark):
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_language_model_is_what_a_recount_gives(spark):
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choices(["aa", "ab", "éa", "b", "zzz", f"w{'xyz'[k % 3]}"], k=rng.randrange(1, 9))), "en" if k % 3 else "de") for k in range(40)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    seen = {lang: [w for t, x in rows if x == lang for w in t.split()] for lang in ("de", "en")}
+    known = sorted({w for ws in seen.values() for w in ws})
+    for w in known:  # every word is kept, those seen once too
+        logs = [math.log((ws.count(w) + 0.5) / (len(ws) + 1)) for ws in seen.values()]
+        _, found = model.words.find([w])
+        assert found[0].tolist() == pytest.approx([x - sum(logs) / 2 for x in logs], abs=1e-5)
+    for n in language.LENGTHS:
+        weight = {lang: {} for lang in seen}
+        for lang, ws in seen.items():
+            for w in set(ws):
+                f = f" {w} "
+                for k in range(len(f) - n + 1):
+                    if f[k : k + n] != " ":
+                        weight[lang][f[k : k + n]] = weight[lang].get(f[k : k + n], 0) + math.log2(ws.count(w) + 1)
+        for gram in {g for by in weight.values() for g in by}:
+            logs = [math.log((by.get(gram, 0) + 0.5) / (sum(by.values()) + 1)) for by in weight.values()]
+            assert model.grams.find([gram])[1][0].tolist() == pytest.approx([x - sum(logs) / 2 for x in logs], abs=1e-5)
+
+
 def test_held_out_is_crc32(spark):
     got = spark.range(50).select("id", language.held_out("id", 4, 2).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
@@ -184,6 +229,30 @@ def test_segments_are_maximal():
         assert got == [(a, b, round(s, 6)) for a, b, s in brute(x)]
 
 
+def test_segments_take_linear_time():
+    import time
+
+    for scores in ([1.0, -2.0] * 500_000, [1.0, -0.5] * 500_000, [2.0] * 1000 + [-1.0, 0.5] * 499_500):
+        began = time.process_time()
+        found = toxicity.maximal_segments(scores)
+        assert time.process_time() - began < 20 and all(a <= b for a, b, _ in found)
+
+
+def test_toxicity_words_are_what_a_recount_gives(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["bad", "vile", "calm", "tree", "sky", "sea"], weights=[4, 3, 1, 1, 1, 1] if k % 2 else [1, 1, 4, 4, 4, 4], k=12)) for k in range(60)]
+    model = toxicity.fit(docs_of(spark, texts), spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"))
+    count = {w: [sum(w in t.split() for t in texts[c::2]) for c in (1, 0)] for w in ("bad", "vile", "calm", "tree", "sky", "sea")}
+    n1, n0 = (sum(c[k] for c in count.values()) for k in (0, 1))
+    prior = {w: toxicity.PRIOR * sum(c) / (n1 + n0) + 0.01 for w, c in count.items()}
+    total = sum(prior.values()) + 0.01  # and the prior of what is not known
+    for w, (y1, y0) in count.items():
+        a = prior[w]
+        odds = math.log((y1 + a) / (n1 + total - y1 - a)) - math.log((y0 + a) / (n0 + total - y0 - a))
+        z = odds / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
+        assert model.words[w] == pytest.approx(odds if abs(z) >= toxicity.TELLING else 0.0, abs=1e-3)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     words = [f"word{chr(97 + a)}{chr(97 + b)}" for a in range(20) for b in range(20)]
@@ -252,12 +321,12 @@ def test_contamination(spark):
     items = [(1, text(20)), (2, text(5)), (10, text(13)), (3, ""), (4, None), (5, "?!"), (6, text(5))]
     items.append((7, items[0][1]))
     texts = [None, "", "...", items[0][1], f"{text(300)}, {items[2][1].upper()}!{items[1][1]}", text(2000), items[1][1] * 2, "a" * 100_000, f"é {items[5][1]}é"]
-    df = docs_of(spark, [*texts, texts[4]]).withColumn("spans", F.lit("clash"))
+    df = docs_of(spark, [*texts, texts[4]]).withColumns({"spans": F.lit("clash"), "_own": F.lit("stays")})
     bench = spark.createDataFrame(items, "item_id long, text string")
     for size in (4 << 20, 30):  # one automaton, and several
         got = {r.doc_id: r for r in decontaminate.mark_contamination(df, bench, automaton_bytes=size).collect()}
         for k, t in enumerate([*texts, texts[4]]):
-            assert (got[k].n_words, got[k].n_hit, list(got[k].item_ids)) == brute_contamination(t, items), (size, k)
+            assert (got[k].n_words, got[k].n_hit, list(got[k].item_ids)) == brute_contamination(t, items) and got[k]._own == "stays", (size, k)
             for s in got[k].spans:
                 assert words_of(t[s.start : s.end]) == words_of(t)[s.first_word : s.last_word + 1]
     assert decontaminate.mark_contamination(df.limit(0), bench).count() == 0
@@ -280,6 +349,20 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0), licenses.template_table(spark)).count() == 0
 
 
+def test_license_words_count_in_order(spark):
+    notice = licenses.TEMPLATES[7][1].split()
+    rng = random.Random(6)
+    shuffled = [" ".join(notice[:5] + rng.sample(notice[5:-5], len(notice) - 10) + notice[-5:]) for _ in range(10)]
+    twice = " ".join(notice[:20]) + " and again " + " ".join(notice[:20])  # one half, twice: counted once
+    texts = [*shuffled, twice, " ".join(notice), " ".join(notice).replace("binary", "any").replace("met:", "met, as told:"), "wor\u212a is licensed"]
+    got = {r.doc_id: [(s.label, round(s.share, 2)) for s in r.spans] for r in licenses.scan_licenses(docs_of(spark, texts), licenses.template_table(spark)).collect()}
+    assert all(got[k] == [] for k in range(11)) and got[11] == [("bsd", 1.0)] and got[12][0][0] == "bsd" and 0.9 < got[12][0][1] < 1
+    pairs = [(rng.randrange(9), rng.randrange(9)) for _ in range(14)]
+    most = lambda left, at, t: max((1 + most(left, a, b) for a, b in left if a > at and b > t), default=0)
+    made = spark.createDataFrame([([{"at": a, "back": -t, "t": t} for a, t in sorted(pairs, key=lambda p: (p[0], -p[1]))],)], "p array<struct<at:int,back:int,t:int>>")
+    assert made.select(licenses.in_order(F.col("p"))).first()[0] == most(sorted(set(pairs)), -1, -1)
+
+
 # op9
 
 
@@ -340,6 +423,22 @@ def test_pipeline_keeps_one_of_equal_sets(spark):
     assert sorted(got) == ["one", "som"]
 
 
+def test_stages_keep_columns_and_define_edge_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    texts = [None, "", "...", "the water of the house and the garden is here today", "the water of the house and the garden is here today"]
+    taken = {c: F.lit("own") for c in ("score", "passages", "lang_pred", "_src", "spans", "n_words", "_set", "kept", "ids", "a.b")}
+    docs = docs_of(spark, texts, 900_000).withColumns(taken)
+    expected = {"toxicity": 5, "language": None, "near_copies": 4, "decontamination": 5, "tokens": 5}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, sf_dir)
+        rows = found.collect()
+        if name != "tokens":
+            assert found.columns == docs.columns and all(r[c] == "own" for r in rows for c in taken), name
+        assert expected[name] is None or len(rows) == expected[name], name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     need = jaccard.least_matches(0.8)
     for step, m in enumerate(need):
