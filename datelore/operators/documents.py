@@ -186,21 +186,26 @@ def nearest_before(hits: DataFrame, headers: DataFrame, key: str, within: int) -
 def packed(lines: DataFrame, key: str, limit: int) -> DataFrame:
     """(key, line_no, chunk): consecutive lines packed into chunks of at most limit characters; a longer line is a chunk of its own.
 
-    Where a chunk ends decides where the next begins, so a document is packed in sequence, one at a time, by Arrow batches of its line lengths.
+    Where a chunk ends decides where the next begins, so a document is packed in sequence, by the lengths of its lines; a batch of documents at a time goes through Arrow.
     """
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line_no")
+    def pack(sizes) -> list[int]:
         chunk, used, out = 0, 0, []
-        for n in frame["n_chars"]:
+        for n in sizes:
             if used and used + n > limit:
                 chunk, used = chunk + 1, 0
             out.append(chunk)
             used += n
-        return frame.assign(chunk=out)[[key, "line_no", "chunk"]]
+        return out
 
-    kind = lines.schema[key].dataType.simpleString()
-    return lines.select(key, "line_no", F.length("line").alias("n_chars")).groupBy(key).applyInPandas(pack, f"{key} {kind}, line_no int, chunk int")
+    @F.pandas_udf("array<int>")
+    def chunks(sizes: pd.Series) -> pd.Series:
+        return sizes.map(pack)
+
+    line = F.struct("line_no", F.coalesce(F.length("line"), F.lit(0)).alias("n_chars"))
+    docs = lines.groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("rows"))
+    both = docs.select(key, F.col("rows.line_no").alias("line_no"), chunks(F.col("rows.n_chars")).alias("chunk"))
+    return both.select(key, F.inline(F.arrays_zip("line_no", "chunk")))
 
 
 def greedy_cover(lines: DataFrame, key: str, groups: dict[str, list[str]], budget: int) -> DataFrame:
@@ -217,19 +222,23 @@ def greedy_cover(lines: DataFrame, key: str, groups: dict[str, list[str]], budge
     scored = lines.select(key, "line_no", F.length("line").alias("n_chars"), served.alias("served"), digits.alias("digits")).where("size(served) > 0")
     names = list(groups)
 
-    def cover(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(frame.itertuples(index=False), key=lambda r: (-len(r.served), -r.digits, r.line_no))
+    def cover(rows: str) -> list[int]:
+        rows = sorted(json.loads(rows), key=lambda r: (-len(r["served"]), -r["digits"], r["line_no"]))
         chosen, used = {}, 0
         for g in names:
-            best = next((r for r in rows if g in r.served and r.line_no not in chosen and used + r.n_chars <= budget), None)
+            best = next((r for r in rows if g in r["served"] and r["line_no"] not in chosen and used + r["n_chars"] <= budget), None)
             if best is not None and not any(g in s for s in chosen.values()):
-                chosen[best.line_no] = set(best.served)
-                used += best.n_chars
+                chosen[best["line_no"]] = set(best["served"])
+                used += best["n_chars"]
         for r in rows:
-            if r.line_no not in chosen and used + r.n_chars <= budget:
-                chosen[r.line_no] = set(r.served)
-                used += r.n_chars
-        return pd.DataFrame({key: [frame[key].iloc[0]] * len(chosen), "line_no": sorted(chosen)})
+            if r["line_no"] not in chosen and used + r["n_chars"] <= budget:
+                chosen[r["line_no"]] = set(r["served"])
+                used += r["n_chars"]
+        return sorted(chosen)
+
+    @F.pandas_udf("array<int>")
+    def covers(rows: pd.Series) -> pd.Series:
+        return rows.map(cover)
 
-    kind = lines.schema[key].dataType.simpleString()
-    return scored.groupBy(key).applyInPandas(cover, f"{key} {kind}, line_no int")
+    docs = scored.groupBy(key).agg(F.to_json(F.collect_list(F.struct("line_no", "n_chars", "served", "digits"))).alias("rows"))
+    return docs.select(key, F.explode(covers("rows")).alias("line_no"))
