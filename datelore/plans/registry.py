@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from datelore.plans import audits, catalogs, decide, fits, flows, known, proofs, records, texts
+from datelore.plans import audits, catalogs, choices, decide, fits, flows, known, proofs, records, texts, wordings
 from datelore.plans.views import plain
 
-_MODULES = (known, records, decide, catalogs, audits, proofs, texts, flows, fits)
+_MODULES = (known, records, decide, catalogs, audits, proofs, choices, texts, wordings, flows, fits)
 
 
 def _plain(query):
