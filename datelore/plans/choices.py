@@ -12,7 +12,6 @@ from datelore.plans.wordings import _one_of
 FAMILIES = {"license": ("license", "copyright"), "contact": ("@", "http"), "figures": ("%", "0")}
 AMBIGUOUS = ("unknown", "unspecified_null")
 KINDS = (("1-URGENT", "number"), ("2-HIGH", "integer"), ("3-MEDIUM", "boolean"), ("4-NOT SPECIFIED", "number"), ("5-LOW", "boolean"))
-K = F.col("o_orderkey")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +23,10 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    family = _one_of(K, ["sec_annual_filing", "sec_proxy_statement", "sec_other", "issuer_report", None])
+    family = _one_of(F.col("o_orderkey"), ["sec_annual_filing", "sec_proxy_statement", "sec_other", "issuer_report", None])
     category = _one_of(F.col("o_custkey"), ["financial_report", "social_employee", "climate_targets"])
-    assessed = F.when(K % 7 < 3, F.array(category)).when(K % 7 < 5, F.array(F.lit("elsewhere")))
-    told = choices.category_freshness(F.when(K % 11 != 0, "latest_verified"), family, category, assessed, F.when(K % 2 == 0, "current"))
+    assessed = F.when(F.col("o_orderkey") % 7 < 3, F.array(category)).when(F.col("o_orderkey") % 7 < 5, F.array(F.lit("elsewhere")))
+    told = choices.category_freshness(F.when(F.col("o_orderkey") % 11 != 0, "latest_verified"), family, category, assessed, F.when(F.col("o_orderkey") % 2 == 0, "current"))
     return _orders(spark, sf_dir).groupBy(family.alias("family"), category.alias("category"), told.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -61,8 +60,8 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir).select(
-        "o_custkey", (K % 3 == 0).alias("models_agree"), (K % 4 == 0).alias("reaches_target"), (F.col("o_totalprice") - 250000).alias("remaining_gap"),
-        F.when(K % 5 != 0, (K % 41 - 20).cast("double")).alias("relative_change"), F.concat(F.lit("order "), K.cast("string")).alias("label"),
+        "o_custkey", (F.col("o_orderkey") % 3 == 0).alias("models_agree"), (F.col("o_orderkey") % 4 == 0).alias("reaches_target"), (F.col("o_totalprice") - 250000).alias("remaining_gap"),
+        F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 41 - 20).cast("double")).alias("relative_change"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("label"),
     )
     return choices.suggestions(rows, ["o_custkey"], 3).select("o_custkey", "label", "place")
 
@@ -76,7 +75,7 @@ def chunks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _orders(spark, sf_dir).where("o_custkey is not null").select("o_custkey", F.col("o_orderpriority").alias("symbol"), F.when(K % 2 == 0, F.col("o_orderstatus")).alias("sector"))
+    rows = _orders(spark, sf_dir).where("o_custkey is not null").select("o_custkey", F.col("o_orderpriority").alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("sector"))
     return choices.memberships(rows, "o_custkey").withColumn("symbols", F.array_join("symbols", ","))
 
 
@@ -101,8 +100,8 @@ def documents_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir)
-    docs = rows.select(K.alias("document_id"), (F.col("o_custkey") % 50).alias("company"), F.col("o_orderpriority").alias("accession"), (K % 40).alias("url"))
-    links = rows.select((-K).alias("wrapper_id"), (F.col("o_custkey") % 50).alias("company"), F.col("o_orderpriority").alias("accession"), (K * 7 % 90).alias("url"), F.concat(F.lit("Report "), K.cast("string")).alias("link_text"))
+    docs = rows.select(F.col("o_orderkey").alias("document_id"), (F.col("o_custkey") % 50).alias("company"), F.col("o_orderpriority").alias("accession"), (F.col("o_orderkey") % 40).alias("url"))
+    links = rows.select((-F.col("o_orderkey")).alias("wrapper_id"), (F.col("o_custkey") % 50).alias("company"), F.col("o_orderpriority").alias("accession"), (F.col("o_orderkey") * 7 % 90).alias("url"), F.concat(F.lit("Report "), F.col("o_orderkey").cast("string")).alias("link_text"))
     return choices.attached(docs, links)
 
 
@@ -113,8 +112,8 @@ def pairs_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     feature, price = F.col("o_orderpriority"), F.col("o_totalprice")
-    value = F.when(feature.isin("3-MEDIUM", "5-LOW"), F.when(K % 9 == 0, 1.0).otherwise(0.0)).when(feature == "2-HIGH", (K % 3).cast("double")).otherwise(price)
-    status = F.when(price >= 300000, _one_of(K, ["unknown", "not_disclosed", None, "not_applicable"]))
+    value = F.when(feature.isin("3-MEDIUM", "5-LOW"), F.when(F.col("o_orderkey") % 9 == 0, 1.0).otherwise(0.0)).when(feature == "2-HIGH", (F.col("o_orderkey") % 3).cast("double")).otherwise(price)
+    status = F.when(price >= 300000, _one_of(F.col("o_orderkey"), ["unknown", "not_disclosed", None, "not_applicable"]))
     return _orders(spark, sf_dir).select(
         F.year("o_orderdate").alias("fold"), F.col("o_custkey").alias("company"), feature.alias("feature_name"), F.when(feature < "3", "urgent").otherwise("normal").alias("category"),
         F.when(price < 300000, value).alias("value"), status.alias("status"), F.year("o_orderdate").alias("reporting_year"),
@@ -138,10 +137,10 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     provider = F.col("o_custkey").cast("string")
-    outcome = _one_of(K, ["matched", "matched", "ambiguous", "unmatched", "access_blocked", "not_checked", "blocked"])
-    score = F.when(outcome == "blocked", F.when(K % 2 == 0, 5.0)).otherwise(F.round(F.col("o_totalprice") / 4000, 1))
-    url = F.concat(F.lit("https://scores.example.org/results?cid="), F.when(K % 13 != 0, provider).otherwise(F.lit("0")))
-    dated = F.when(K % 17 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.lit("1.5.1998"))
+    outcome = _one_of(F.col("o_orderkey"), ["matched", "matched", "ambiguous", "unmatched", "access_blocked", "not_checked", "blocked"])
+    score = F.when(outcome == "blocked", F.when(F.col("o_orderkey") % 2 == 0, 5.0)).otherwise(F.round(F.col("o_totalprice") / 4000, 1))
+    url = F.concat(F.lit("https://scores.example.org/results?cid="), F.when(F.col("o_orderkey") % 13 != 0, provider).otherwise(F.lit("0")))
+    dated = F.when(F.col("o_orderkey") % 17 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.lit("1.5.1998"))
     state = choices.score_state(F.lit("matched"), F.lit("succeeded"), outcome, F.when(outcome == "blocked", "premium_only").otherwise("available"), score, dated, url, provider)
     return _orders(spark, sf_dir).select("o_orderkey", state.alias("state"), score.alias("score"), dated.alias("dated"))
 

@@ -11,7 +11,6 @@ from datelore.plans import views
 #: Some units of quantities, and topics to look for.
 QUANTITIES = {"gwh": ("MWh", "1000"), "kwh": ("MWh", "0.001"), "m3": ("m3", "1"), "metric tons": ("t", "1"), "percent": ("%", "1")}
 TOPICS = {"license": "license", "link": "https?://", "address": "@[a-z]", "number": "[0-9]{3}"}
-K, S, Q, P = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
 
 
 def _one_of(number: Column, values: list) -> Column:
@@ -20,42 +19,42 @@ def _one_of(number: Column, values: list) -> Column:
 
 
 def hedged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.format_number(Q * 1000, 0)
-    raw = _one_of(K, [F.concat(F.lit("about "), whole), F.concat(F.lit("FY"), F.lpad((S % 100).cast("string"), 2, "0")), "Zero", F.concat(F.lit("More than "), whole), "overall 5", F.concat(F.lit("≈ "), F.format_number(P, 2))])
+    whole = F.format_number(F.col("l_quantity") * 1000, 0)
+    raw = _one_of(F.col("l_partkey"), [F.concat(F.lit("about "), whole), F.concat(F.lit("FY"), F.lpad((F.col("l_suppkey") % 100).cast("string"), 2, "0")), "Zero", F.concat(F.lit("More than "), whole), "overall 5", F.concat(F.lit("≈ "), F.format_number(F.col("l_extendedprice"), 2))])
     return views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", wording.hedged_number(raw).alias("number"))
 
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _one_of(K, ["5 million", "7k", "3 bn", "12", "9 Thousand"])
-    of_unit = _one_of(S, [1.0, 1000.0, 1e6])
+    raw = _one_of(F.col("l_partkey"), ["5 million", "7k", "3 bn", "12", "9 Thousand"])
+    of_unit = _one_of(F.col("l_suppkey"), [1.0, 1000.0, 1e6])
     found = views.table(spark, sf_dir, "lineitem").select(raw.alias("raw"), of_unit.alias("of_unit"))
     return found.withColumn("factor", wording.agreed_factor(F.col("of_unit"), wording.magnitude(F.col("raw")))).groupBy("raw", "of_unit", "factor").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, unit = _one_of(K, ["1,234.5", "12,34", "-7", "x", "1.2.3"]), _one_of(S, ["GWh", "m3", "Metric  tons", "furlong"])
+    raw, unit = _one_of(F.col("l_partkey"), ["1,234.5", "12,34", "-7", "x", "1.2.3"]), _one_of(F.col("l_suppkey"), ["GWh", "m3", "Metric  tons", "furlong"])
     found = views.table(spark, sf_dir, "lineitem").select(raw.alias("raw"), unit.alias("of"), wording.quantity(raw, unit, QUANTITIES).alias("q"))
     return found.groupBy("raw", "of", F.col("q.value").cast("double").alias("value"), "q.unit", "q.status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    block = _one_of(K, ["Amounts in $ millions", "(Dollars in thousands)", "Net sales", "in millions and in billions", "In millions, except shares in thousands"])
-    context = _one_of(S, ["All figures in billions", ""])
+    block = _one_of(F.col("l_partkey"), ["Amounts in $ millions", "(Dollars in thousands)", "Net sales", "in millions and in billions", "In millions, except shares in thousands"])
+    context = _one_of(F.col("l_suppkey"), ["All figures in billions", ""])
     found = views.table(spark, sf_dir, "lineitem").select(block.alias("block"), context.alias("context"), wording.currency_scale(block, context).alias("c"))
     return found.groupBy("block", "context", "c.scale", "c.status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def supported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    printed = F.format_number(P, 2)
-    quote = F.concat(F.lit("Net | "), _one_of(K, [printed, F.concat(F.lit("("), printed, F.lit(")")), "—"]), F.lit(" | n/a"))
-    value = _one_of(S, [P, -P, F.lit(0.0), F.round(P * 1000, 2)])
-    held = wording.row_supports(quote, value, _one_of(S, [1, 1, 1, 1000]), F.col("l_linenumber") == 1)
-    return views.table(spark, sf_dir, "lineitem").groupBy((K % 3).alias("printed_as"), (S % 4).alias("claimed"), (F.col("l_linenumber") == 1).alias("is_outflow"), held.alias("is_supported")).agg(F.count(F.lit(1)).alias("n"))
+    printed = F.format_number(F.col("l_extendedprice"), 2)
+    quote = F.concat(F.lit("Net | "), _one_of(F.col("l_partkey"), [printed, F.concat(F.lit("("), printed, F.lit(")")), "—"]), F.lit(" | n/a"))
+    value = _one_of(F.col("l_suppkey"), [F.col("l_extendedprice"), -F.col("l_extendedprice"), F.lit(0.0), F.round(F.col("l_extendedprice") * 1000, 2)])
+    held = wording.row_supports(quote, value, _one_of(F.col("l_suppkey"), [1, 1, 1, 1000]), F.col("l_linenumber") == 1)
+    return views.table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 3).alias("printed_as"), (F.col("l_suppkey") % 4).alias("claimed"), (F.col("l_linenumber") == 1).alias("is_outflow"), held.alias("is_supported")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.format_number(P, 2)
-    quote, raw = F.concat(F.lit("Total "), shown, F.lit(" of v1.99 at 12 %")), _one_of(K, [F.translate(shown, ",", ""), "12%", "99", "n/a"])
+    shown = F.format_number(F.col("l_extendedprice"), 2)
+    quote, raw = F.concat(F.lit("Total "), shown, F.lit(" of v1.99 at 12 %")), _one_of(F.col("l_partkey"), [F.translate(shown, ",", ""), "12%", "99", "n/a"])
     return views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", wording.printed_token(quote, raw).alias("token"))
 
 
@@ -65,16 +64,16 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decreases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quote = _one_of(K, ["Emissions fell 1,200 t", "Reduced by 12.5 %", "It rose by 1,200", "decreased 7 and 7", "4 ↓"])
-    raw, size = _one_of(K, ["1200", "-12.5", "1200", "7", "4"]), _one_of(K, [1200.0, 12.5, 1200.0, 7.0, 5.0])
-    found = views.table(spark, sf_dir, "lineitem").select((K % 5).alias("kind"), (S % 2).alias("sign"), wording.decrease(quote, raw, F.when(S % 2 == 0, -size).otherwise(size)).alias("d"))
+    quote = _one_of(F.col("l_partkey"), ["Emissions fell 1,200 t", "Reduced by 12.5 %", "It rose by 1,200", "decreased 7 and 7", "4 ↓"])
+    raw, size = _one_of(F.col("l_partkey"), ["1200", "-12.5", "1200", "7", "4"]), _one_of(F.col("l_partkey"), [1200.0, 12.5, 1200.0, 7.0, 5.0])
+    found = views.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 5).alias("kind"), (F.col("l_suppkey") % 2).alias("sign"), wording.decrease(quote, raw, F.when(F.col("l_suppkey") % 2 == 0, -size).otherwise(size)).alias("d"))
     return found.groupBy("kind", "sign", F.col("d.raw").alias("raw"), F.col("d.scale").alias("scale")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quote = _one_of(K, ["Use\nat least 1,200 t", "1,200 t\nless than 5", "> 1200 t", "1,200 and\nmore than 1,200", "about 1,200"])
-    held = wording.is_bound(quote, _one_of(S, ["1200", "77"]))
-    return views.table(spark, sf_dir, "lineitem").groupBy((K % 5).alias("kind"), (S % 2).alias("of"), held.alias("is_bound")).agg(F.count(F.lit(1)).alias("n"))
+    quote = _one_of(F.col("l_partkey"), ["Use\nat least 1,200 t", "1,200 t\nless than 5", "> 1200 t", "1,200 and\nmore than 1,200", "about 1,200"])
+    held = wording.is_bound(quote, _one_of(F.col("l_suppkey"), ["1200", "77"]))
+    return views.table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 5).alias("kind"), (F.col("l_suppkey") % 2).alias("of"), held.alias("is_bound")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fiscal_years(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Every core query runs, and equals its SQL where it has one."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from datelore.plans import registry
@@ -25,3 +29,8 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_is_imported_without_a_session():
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
+    assert told.returncode == 0, told.stderr
