@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from datelore.plans import audits, catalogs, choices, claims, decide, fits, flows, known, proofs, records, reviews, texts, wordings
+from datelore.plans import audits, catalogs, choices, claims, decide, endpoints, fits, flows, known, proofs, records, reviews, texts, wordings
 from datelore.plans.views import plain
 
-_MODULES = (known, records, decide, catalogs, audits, proofs, choices, reviews, claims, texts, wordings, flows, fits)
+_MODULES = (known, records, decide, catalogs, audits, proofs, choices, reviews, claims, endpoints, texts, wordings, flows, fits)
 
 
 def _plain(query):
