@@ -60,7 +60,7 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns the memory that a task's caches and batches held: a worker process outlives its tasks and serves other stages."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -92,7 +92,7 @@ def with_columns_from(docs: DataFrame, text_col: str, ddl: str, make: Callable[[
                     yield pa.RecordBatch.from_arrays([*(part.column(part.schema.names.index(c)) for c in kept), *made], [*kept, *new.names])
         finally:
             of = None
-            _give_back()
+            give_back()
 
     return docs.mapInArrow(mapped, schema)
 
