@@ -99,7 +99,7 @@ class Model:
 
 
 def _bounded(rows: DataFrame, key: Column, fit_rows: int) -> DataFrame:
-    """rows, thinned by a hash to about fit_rows where there are more."""
+    """rows, thinned by a hash to about fit_rows where there are more; key has to tell rows apart, as rows of one key stay or go together."""
     n = rows.count()
     return rows if n <= fit_rows else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
 
@@ -117,13 +117,14 @@ def _gathered(counts: DataFrame, item: str, n_langs: int) -> tuple[np.ndarray, n
     return column("key").view(np.uint64), column("size"), np.column_stack([column(f"n{k}") for k in range(n_langs)])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
-    """A model of (text, lang) rows; rows with a null in either teach nothing, and without rows it knows no language.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, id_col: str | None = None) -> Model:
+    """A model of (text, lang) rows; rows with a null text or lang teach nothing, and without rows it knows no language.
 
+    Where there are more than fit_rows, a hash of text and id (where id_col names one) picks those that teach, so that copies of one text are thinned like other rows.
     Words and n-grams are counted by Spark, and all of them are kept: fit_rows bounds what comes to the driver and is sent to
     the tasks, some tens of bytes for each different word and n-gram of that many texts.
     """
-    rows = _bounded(labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), F.col("text"), fit_rows)
+    rows = _bounded(labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.col(id_col) if id_col else F.lit(None)).alias("id")), F.xxhash64("id", "text"), fit_rows)
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
     none = Table(np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32))
     if not langs:
@@ -170,7 +171,7 @@ def held_out(doc_id: str | Column, folds: int, fold: int) -> Column:
 
 def fit_documents(docs: DataFrame) -> Model:
     """A model of the rows of documents that the contract lets it learn from."""
-    return fit(docs.where(~held_out("doc_id", 4, 2)).select("text", "lang"))
+    return fit(docs.where(~held_out("doc_id", 4, 2)).select("doc_id", "text", "lang"), id_col="doc_id")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

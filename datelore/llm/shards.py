@@ -77,7 +77,8 @@ def _text_cuts(df: DataFrame, name: str, cells: int) -> list[str]:
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
-    """Each dimension as an integer below 2**bits: the number of cuts below the value; null is 0.
+    """Each dimension as an integer below 2**bits: the number of cuts below the value, spread evenly over the cells where a dimension has
+    fewer cuts than these, so that few values (as of a language) differ in the highest bits, which the curve follows first; null is 0.
 
     The cuts (2**bits - 1 values at most for each dimension) are quantiles of all rows: of numbers and times from one pass by mergeable
     sketches, of other types from the sorted different values of their whole text.
@@ -93,7 +94,7 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
             above = [F.when(numbers[d] > F.lit(e), 1).otherwise(0) for e in sorted(set(of_number[d] or []))]
         else:
             above = [F.when(F.col(d).cast("string") >= F.lit(e), 1).otherwise(0) for e in _text_cuts(df, d, cells)]
-        out.append(F.coalesce(sum(above, F.lit(0)), F.lit(0)).cast("int"))
+        out.append(F.floor(F.coalesce(sum(above, F.lit(0)), F.lit(0)) * cells / (len(above) + 1)).cast("int"))
     return out
 
 

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datelore.llm.common import checkpointed, dealt_in_blocks, grouped, read_table
@@ -80,11 +80,11 @@ def _spread(vectors: DataFrame, threshold: float, cell_dims: int) -> DataFrame:
                     share = near2 * (part.stop - part.start) / dims
                     for r, c in zip(*(a.tolist() for a in _cells(turned[:, part], share / 4, cell_dims)), strict=True):
                         cells[r].append(b << BLOCK_DIMS | c)
-                columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
                 columns += [pa.array([dims] * len(rows), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(cells, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, ["rid", "vec_id", "label", "dims", "vector", "cells"])
 
-    return vectors.select("rid", "vec_id", "label", "embedding").mapInArrow(mapped, "rid bigint, vec_id bigint, label bigint, dims int, vector binary, cells array<int>")
+    return vectors.select("rid", "vec_id", "label", "embedding").mapInArrow(mapped, "rid bigint, vec_id bigint, label string, dims int, vector binary, cells array<int>")
 
 
 def _component(vectors: DataFrame) -> str:
@@ -165,10 +165,18 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _spelt_label(vectors: DataFrame) -> Column:
+    """The label as a string, equal exactly where the labels are: numbers as they print in full, a negative zero as zero."""
+    kind, label = vectors.schema["label"].dataType.typeName(), F.col("label")
+    if kind in ("float", "double"):
+        return (label + F.lit(0).cast(kind)).cast("string")
+    return F.hex(label) if kind == "binary" else label.cast("string")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
 
-    Two vectors link when their labels are equal and not null, their lengths are equal, and their cosine (in doubles) is
+    Two vectors link when their labels, of any simple type, are equal and not null (NaN equals itself), their lengths are equal, and their cosine (in doubles) is
     threshold at least. n_links counts the links of a vector, component_id is the smallest vec_id that links reach,
     and kept is true for it. Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing.
     Links are counted where they are found, a cell or two blocks of one at a time, and never listed: a group
@@ -179,7 +187,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     vec_id keeps its place with no links and a null component. Other columns are ignored; an empty table gives no rows.
     """
     kind = _component(vectors)
-    rows = vectors.where("vec_id is not null and label is not null and embedding is not null").select("vec_id", F.col("label").cast("bigint").alias("label"), "embedding").distinct()
+    told = vectors.where("vec_id is not null and label is not null and embedding is not null")
+    rows = told.select("vec_id", _spelt_label(vectors).alias("label"), "embedding").distinct()
     most = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     cell_dims = int(min(BLOCK_DIMS - 1, max(0, np.ceil(np.log2(most / ROWS_FOR_EACH_CELL)))))
     found = checkpointed(_spread(rows.withColumn("rid", F.xxhash64("vec_id", "label", "embedding")), threshold, cell_dims))
