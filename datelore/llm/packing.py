@@ -18,6 +18,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from datelore.llm.common import checkpointed, give_back, read_table
 SHARD_PIECES, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 4, 3, 4, 30
 #: Of each shard so many of the least filled sequences are packed again with those of other shards, if they hold no more than a sixteenth of its pieces.
 POOLED = 4
-#: Strings between blanks, and pre-tokens, whose ids a worker process remembers; texts are cut at blanks after so many characters.
-MEMO_ENTRIES, SEGMENT = 600_000, 1 << 20
+#: Strings between blanks, and pre-tokens, whose ids a worker process remembers; bytes of text that are encoded at a time.
+MEMO_ENTRIES, SLICE = 600_000, 32 << 20
 
 # In a string of these characters only, lower case and composed form change no character's class, so pre-tokens can be found first.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
@@ -71,8 +72,14 @@ class WordIds:
         return found
 
     def _of_string(self, x: str) -> bytes:
-        if _PLAIN.fullmatch(x):
-            found = b"".join([self._of_pre_token(t) for t in _PRE_TOKEN.findall(x.lower())])
+        if x.isascii() or _PLAIN.fullmatch(x):
+            small, of = x.lower(), self._of_pre_token
+            if small.isalpha():
+                found = of(small)
+            elif small[:-1].isalpha():
+                found = of(small[:-1]) + of(small[-1])
+            else:
+                found = b"".join([of(t) for t in _PRE_TOKEN.findall(small)])
         else:
             found = array("I", self.whole.encode(x, add_special_tokens=False).ids).tobytes()
         if len(x) <= 64:
@@ -81,16 +88,16 @@ class WordIds:
             self.strings[x] = found
         return found
 
-    def __call__(self, text: str) -> bytes:
-        out, start, known = [], 0, self.strings.get
-        while start < len(text):
-            end = text.find(" ", start + SEGMENT) if len(text) - start > SEGMENT else -1
-            part = text[start:] if end < 0 else text[start:end]
-            for x in part.replace("\n", " ").split(" "):
-                ids = known(x)
-                out.append(self._of_string(x) if ids is None else ids)
-            start = len(text) if end < 0 else end
-        return b"".join(out)
+    def __call__(self, texts: pa.Array) -> list[memoryview]:
+        """The ids of each text; of null none. The different strings of all texts are looked up once."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        strings = lists.flatten().dictionary_encode()
+        known = self.strings.get
+        ids = [self._of_string(x) if (found := known(x)) is None else found for x in strings.dictionary.to_pylist()]
+        placed = pa.array(ids, pa.large_binary()).take(strings.indices)
+        ends = np.frombuffer(placed.buffers()[1], np.int64)[np.asarray(lists.offsets)].tolist()
+        every = memoryview(placed.buffers()[2] or b"")
+        return [every[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 @lru_cache(1)
@@ -98,6 +105,17 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about SLICE bytes of text, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def encode_pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each row of docs (doc_id, text) as its ids and end_id, cut after every so many tokens.
 
@@ -111,18 +129,14 @@ def encode_pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, last = _word_ids(path), array("I", [end_id]).tobytes()
         try:
-            for batch in batches:
+            for part in _by_bytes(batches):
                 rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = ids_of(text.as_py() or "") + last
+                for doc_id, ids in zip(part.column(0).to_pylist(), ids_of(part.column(1)), strict=True):
+                    ids = bytes(ids) + last
                     for k in range(0, len(ids), size):
-                        part = ids[k : k + size]
-                        rows.append((doc_id, k // size, k // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-                    if len(rows) >= 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+                        piece = ids[k : k + size]
+                        rows.append((doc_id, k // size, k // 4, len(piece) // 4, zlib.crc32(piece), *([piece] if with_ids else [])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
         finally:
             give_back()
 
@@ -150,86 +164,92 @@ def longest_first(pieces: Iterable[int], sizes: list[int]) -> list[int]:
     return sorted(pieces, key=lambda k: (-sizes[k], k))
 
 
-def best_fit(pieces: Iterable[int], sizes: list[int], capacity: int, bins: list[list[int]]) -> list[list[int]]:
-    """bins with each of pieces put, in turn, where it leaves the least room; a new bin where it fits nowhere."""
-    room = [capacity - sum([sizes[k] for k in b]) for b in bins]
+class Packing:
+    """Bins (lists of pieces) and what each holds in all."""
+
+    def __init__(self, bins: list[list[int]], fills: list[int]):
+        self.bins, self.fills = bins, fills
+
+    def fitness(self, capacity: int) -> tuple[int, float]:
+        """Falkenauer's: fewer bins first, then full ones beside open ones before evenly filled ones. Larger is better."""
+        return -len(self.bins), float(np.square(np.array(self.fills) / capacity).sum())
+
+
+def best_fit(pieces: Iterable[int], sizes: list[int], capacity: int, start: Packing | None = None) -> Packing:
+    """start with each of pieces put, in turn, where it leaves the least room; a new bin where it fits nowhere."""
+    bins, fills = ([], []) if start is None else ([list(b) for b in start.bins], list(start.fills))
     by_room: dict[int, list[int]] = {}
     mask = 0
-    for k, r in enumerate(room):
-        by_room.setdefault(r, []).append(k)
-        mask |= 1 << r
+    for k, f in enumerate(fills):
+        by_room.setdefault(capacity - f, []).append(k)
+        mask |= 1 << capacity - f
     for k in pieces:
         size = sizes[k]
         fits = mask >> size
         if fits:
             r = size + (fits & -fits).bit_length() - 1
-            into = by_room[r].pop()
-            if not by_room[r]:
+            same = by_room[r]
+            into = same.pop()
+            if not same:
                 mask ^= 1 << r
             bins[into].append(k)
+            fills[into] += size
         else:
             r, into = capacity, len(bins)
             bins.append([k])
+            fills.append(size)
         if r > size:
-            left = by_room.setdefault(r - size, [])
-            left.append(into)
+            by_room.setdefault(r - size, []).append(into)
             mask |= 1 << (r - size)
-    return bins
-
-
-def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
-    """Falkenauer's: fewer bins first, then full ones beside open ones before evenly filled ones. Larger is better."""
-    return -len(bins), sum([(sum([sizes[k] for k in b]) / capacity) ** 2 for b in bins])
+    return Packing(bins, fills)
 
 
-def crossover(one: list[list[int]], two: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
+def crossover(one: Packing, two: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
     """A packing from whole bins: well-filled ones of two are injected, those of one that share a piece with them dissolve, as do a few of the least
     filled; what is displaced goes where it fits best."""
-    filled = sorted(range(len(two)), key=lambda k: -sum([sizes[x] for x in two[k]]))
-    good = filled[: max(1, (len(two) + 1) // 2)]
-    take = rng.choice(len(good), rng.integers(1, len(good) + 1), replace=False)
-    injected = [two[good[k]] for k in take]
-    inside = {x for b in injected for x in b}
-    kept, displaced = [], []
-    for b in one:
-        if any(x in inside for x in b):
+    good = np.argsort(np.array(two.fills), kind="stable")[len(two.bins) // 2 :]
+    take = rng.choice(good, rng.integers(1, len(good) + 1), replace=False).tolist()
+    bins, fills = [two.bins[k] for k in take], [two.fills[k] for k in take]
+    inside = {x for b in bins for x in b}
+    loose = set(np.argsort(np.array(one.fills), kind="stable")[: int(rng.integers(0, 4))].tolist())
+    displaced = []
+    for k, b in enumerate(one.bins):
+        if k in loose or not inside.isdisjoint(b):
             displaced += [x for x in b if x not in inside]
         else:
-            kept.append(b)
-    kept.sort(key=lambda b: sum([sizes[x] for x in b]))
-    loose = min(len(kept), int(rng.integers(0, 4)))
-    displaced += [x for b in kept[:loose] for x in b]
-    return best_fit(longest_first(displaced, sizes), sizes, capacity, [list(b) for b in [*kept[loose:], *injected]])
+            bins.append(b)
+            fills.append(one.fills[k])
+    return best_fit(longest_first(displaced, sizes), sizes, capacity, Packing(bins, fills))
 
 
-def evolve(population: list[list[list[int]]], sizes: list[int], capacity: int, bound: int, children: int, rng: np.random.Generator) -> list[list[list[int]]]:
+def evolve(population: list[Packing], sizes: list[int], capacity: int, bound: int, children: int, rng: np.random.Generator) -> list[Packing]:
     """population, best first, after so many children: each takes the place of the worst if it is better. It ends at once where the bound is reached."""
-    ranked = sorted([(fitness(b, sizes, capacity), b) for b in population], key=lambda x: x[0], reverse=True)
+    ranked = sorted([(p.fitness(capacity), p) for p in population], key=lambda x: x[0], reverse=True)
     for _ in range(children):
-        if len(ranked[0][1]) <= bound:
+        if len(ranked[0][1].bins) <= bound:
             break
         a, b = rng.integers(0, len(ranked), 2), rng.integers(0, len(ranked), 2)
         child = crossover(ranked[min(a)][1], ranked[min(b)][1], sizes, capacity, rng)
-        fit = fitness(child, sizes, capacity)
+        fit = child.fitness(capacity)
         if fit > ranked[-1][0] and all(fit != f for f, _ in ranked):
             ranked[-1] = (fit, child)
             ranked.sort(key=lambda x: x[0], reverse=True)
-    return [b for _, b in ranked]
+    return [p for _, p in ranked]
 
 
-def _coded(bins: list[list[int]], n: int) -> bytes:
+def _coded(packing: Packing, n: int) -> bytes:
     owner = np.empty(n, np.int32)
-    for k, b in enumerate(bins):
+    for k, b in enumerate(packing.bins):
         owner[b] = k
     return owner.tobytes()
 
 
-def _bins(code: bytes) -> list[list[int]]:
+def _packing(code: bytes, sizes: list[int]) -> Packing:
     owner = np.frombuffer(code, np.int32)
-    out: list[list[int]] = [[] for _ in range(int(owner.max(initial=-1)) + 1)]
+    bins: list[list[int]] = [[] for _ in range(int(owner.max(initial=-1)) + 1)]
     for k, b in enumerate(owner.tolist()):
-        out[b].append(k)
-    return out
+        bins[b].append(k)
+    return Packing(bins, np.bincount(owner, sizes).astype(int).tolist())
 
 
 _STATE = "shard long, island int, pieces array<long>, sizes array<long>, packings array<binary>, n_bins int, bound int, filled double"
@@ -260,15 +280,14 @@ def _islands(states: DataFrame, capacity: int, epoch: int, children: int) -> Dat
         rng = np.random.default_rng([r["shard"], r["island"], epoch])
         sizes, n = r["sizes"], len(r["sizes"])
         bound = r["bound"] or lower_bound(np.array(sizes), capacity)
-        population = [_bins(p) for p in r["packings"]]
+        population = [_packing(p, sizes) for p in r["packings"]]
         while len(population) < POPULATION:  # a part of the pieces, in any order, is put before the others
             order = rng.permutation(n)
             early = order[: int(rng.integers(1, n + 1))].tolist()
-            first = best_fit(early, sizes, capacity, [])
-            population.append(best_fit(longest_first(order[len(early) :].tolist(), sizes), sizes, capacity, first))
+            population.append(best_fit(longest_first(order[len(early) :].tolist(), sizes), sizes, capacity, best_fit(early, sizes, capacity)))
         population = evolve(population[:POPULATION], sizes, capacity, bound, children, rng)
-        fit = fitness(population[0], sizes, capacity)
-        return [(r["shard"], r["island"], r["pieces"], sizes, [_coded(p, n) for p in population], len(population[0]), bound, fit[1])]
+        fewest, filled = population[0].fitness(capacity)
+        return [(r["shard"], r["island"], r["pieces"], sizes, [_coded(p, n) for p in population], -fewest, bound, filled)]
 
     return _mapped(states, _STATE, of)
 
@@ -277,7 +296,7 @@ def _packed_level(items: DataFrame, capacity: int, shards: int, level: int, isla
     """(shard, pieces, sizes, packings): the best packing found for each shard of items (item, length)."""
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)))
     held = dealt.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("item", "length"))).alias("held"))  # a shard's pieces are bounded by design
-    tasks = max(1, min(shards * islands, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(1, min(shards * islands, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     open_ = held.select(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("held.item").alias("pieces"),
         F.col("held.length").alias("sizes"), F.array().cast("array<binary>").alias("packings"), F.lit(0).alias("bound"),
@@ -310,8 +329,9 @@ def pack(items: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES, isla
 
     def spread(last: bool):
         def of(r: dict) -> list[tuple]:
-            sizes, bins = r["sizes"], _bins(r["packings"][0])
-            order = sorted(range(len(bins)), key=lambda k: sum([sizes[x] for x in bins[k]]))
+            sizes = r["sizes"]
+            best = _packing(r["packings"][0], sizes)
+            bins, order = best.bins, np.argsort(np.array(best.fills), kind="stable").tolist()
             loose, held = set(), 0
             for k in order[: 0 if last else POOLED]:
                 held += len(bins[k])
