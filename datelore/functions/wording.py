@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from datelore.functions import text
+from datelore.functions import phrases, text
 
 #: Words and marks before a number that say it is not exact; numbers written as words; magnitudes and the signs that stand for them; words of a bound; words of a decrease.
 HEDGES = ("approximately", "approx.", "approx", "about", "around", "roughly", "nearly", "over", "more than", "at least", "~", "≈", "<", ">", "≤", "≥")
@@ -71,21 +71,29 @@ def quantity(raw: Column, unit: Column, factors: dict[str, tuple[str, str]]) ->
     return F.struct(F.when(ok, found).alias("value"), F.when(ok, target).alias("unit"), F.when(ok, "source_linked").otherwise("needs_review").alias("status"))
 
 
+def _declarations(found: Column) -> Column:
+    """The places (from 0) in an array of tokens where a magnitude is declared for the numbers of a text: right after "in", or a bracket, or a currency sign after "in"."""
+    at = lambda k: F.get(found, k)
+    names = [form for word in MAGNITUDES for form in (word, f"{word}s")]
+    declared = lambda k: at(k - 1).isin("in", "(") | at(k - 1).isin("$", "€", "£", "¥") & (k > 1) & (at(k - 2) == "in")
+    return F.filter(F.transform(found, lambda t, k: F.when(t.isin(*names) & F.coalesce((k > 0) & declared(k), F.lit(False)), k)), lambda k: k.isNotNull())
+
+
 def declared_scales(source: Column) -> Column:
     """The different magnitudes that a text declares for its numbers, as "in millions" or "(millions"."""
-    words = F.regexp_extract_all(F.lower(source), F.lit(r"(?:\bin\s+(?:[$€£¥]\s*)?|\(\s*(?:dollars?\s+in\s+)?)(thousand|million|billion)s?\b"), F.lit(1))
-    return F.array_distinct(words)
+    return _once(phrases.tokens(source), lambda found: F.array_distinct(F.transform(_declarations(found), lambda k: F.regexp_replace(F.get(found, k), "s$", ""))))
 
 
 def currency_scale(block: Column, context: Column) -> Column:
     """(scale, status): the scale that a block declares, else its context's, else 1. Several scales are an error, but for "in millions, except ...", where the first holds."""
-    told = [F.struct(source.alias("source"), declared_scales(F.coalesce(source, F.lit(""))).alias("words")) for source in (block, context)]
+    told = [F.struct(source.alias("source"), declared_scales(source).alias("words")) for source in (block, context)]
     return _once(F.coalesce(F.get(F.filter(F.array(*told), lambda t: F.size(t.words) > 0), F.lit(0)), told[1]), _scale)
 
 
 def _scale(told: Column) -> Column:
-    words, source = told["words"], told["source"]
-    excepted = F.lower(source).rlike(r"\bin\s+\w+\b.{0,100}\bexcept\b")
+    words = told["words"]
+    # an exception is one that follows the first declaration within the next tokens, before a sentence could be over
+    excepted = _once(phrases.tokens(told["source"]), lambda found: F.array_contains(F.slice(found, F.get(_declarations(found), F.lit(0)) + 2, F.lit(20)), "except"))
     factor = F.lit(1.0)
     for word, (of, _) in MAGNITUDES.items():
         factor = F.when(F.get(words, F.lit(0)) == word, F.lit(of)).otherwise(factor)
@@ -136,17 +144,21 @@ def is_bound(quote: Column, raw: Column) -> Column:
 
 def decrease(quote: Column, raw: Column, value: Column) -> Column:
     """(raw, scale) for a negative change whose quote words it as a decrease: the token as printed, and -1; null where the quote does not hold it once."""
-    size = F.translate(F.regexp_replace(F.trim(raw), "^-", ""), ",", "")
-    tokens = F.regexp_extract_all(quote, F.lit(r"\d+(?:,\d{3})*(?:\.\d+)?"), F.lit(0))
-    same = F.filter(tokens, lambda t: F.translate(t, ",", "") == size)
-    falls = F.lower(quote).rlike("|".join(DECREASES))
+    bare = lambda t: F.translate(t, ",", "")
+    size = bare(F.regexp_replace(F.trim(raw), "^-", ""))
+    same = F.filter(phrases.tokens(quote), lambda t: bare(t) == size)
+    falls = F.exists(F.array(*map(F.lit, DECREASES)), lambda word: F.contains(F.lower(quote), word))
     ok = (value < 0) & falls & (F.size(same) == 1) & (F.abs(size.try_cast("double") + value) < 1e-6)
     return F.when(ok, F.struct(F.get(same, F.lit(0)).alias("raw"), F.lit(-1.0).alias("scale")))
 
 
 def fiscal_year(line: Column) -> Column:
-    """The year of a cover line "For the fiscal year ended [month day,] year", else null."""
-    return F.regexp_extract(line, r"(?i)\bfor the fiscal year ended\s+(?:[a-z]+\s+\d{1,2},\s+)?((?:19|20)\d\d)\b", 1).try_cast("int")
+    """The year of a cover line "For the fiscal year ended [month day,] year", else null: one of 1900 to 2099 that comes at once, or behind a month and a day."""
+    after = F.split(F.trim(F.call_function("substring_index", phrases.spoken(line), F.lit(" for the fiscal year ended "), F.lit(-1))), " ")
+    year = lambda k: F.when(F.get(after, F.lit(k)).rlike("^[0-9]{4}$"), F.get(after, F.lit(k)).cast("int"))
+    dated = F.get(after, F.lit(0)).rlike("^[a-z]+$") & F.get(after, F.lit(1)).rlike("^[0-9]{1,2}$") & (F.get(after, F.lit(2)) == ",")
+    found = F.coalesce(year(0), F.when(dated, year(3)))
+    return F.when(phrases.says(phrases.spoken(line), ["for the fiscal year ended"]) & found.between(1900, 2099), found)
 
 
 def topics(source: Column, patterns: dict[str, str]) -> Column:

@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from datelore.functions import phrases, text
 from datelore.functions.text import broken_rules
 
-#: The emission scopes that a field's line has to name, and the word of its basis; phrases for a part of scope 3.
+#: The emission scopes that a field's line has to name, and the word of its basis.
 SCOPES = {"scope_1": ("1", ""), "scope_2_market": ("2", "market"), "scope_2_location": ("2", "location"), "scope_1_2_market": ("1&2", "market"), "scope_3_total": ("3", "")}
-PART_OF_SCOPE_3 = "(?:other|selected|partial) scope 3|scope 3 categor(?:y|ies)|category [1-9]"
-#: For each energy field, words that speak of something else, the words that settle it all the same, and the reason.
-BOUNDARIES = {
-    "total_energy": (("office energy", "total energy", "office_is_not_total"),),
-    "renewable_energy": (("renewable electricity", "renewable energy", "electricity_is_not_energy"),),
-    "renewable_electricity": (
-        ("renewable energy", "renewable electricity", "energy_is_not_electricity"),
-        (r"\bon[ -]?site\b|(?:purchased|acquired) renewable electricity|renewable (?:energy|electricity) certificate|\brecs?\b",
-         "(?:total|global) renewable electricity|renewable electricity consum(?:ed|ption)", "part_is_not_total"),
-    ),
-}
+#: How two scopes are joined, and what names a part of scope 3.
+JOINED = ("&", "+", "and")
+PARTS_OF_SCOPE_3 = ("other scope 3", "selected scope 3", "partial scope 3", "scope 3 category", "scope 3 categories", *(f"category {n}" for n in range(1, 16)))
+#: Each energy field's own quantity, the one that it is mistaken for, and the reason.
+RIVALS = {
+    "total_energy": ("total energy", "office energy", "office_is_not_total"),
+    "renewable_energy": ("renewable energy", "renewable electricity", "electricity_is_not_energy"),
+    "renewable_electricity": ("renewable electricity", "renewable energy", "energy_is_not_electricity"),
+}
+#: What names a part of renewable electricity, and what names the whole of it.
+PARTS_OF_ELECTRICITY = (
+    "on site", "onsite", "purchased renewable electricity", "acquired renewable electricity", "renewable energy certificate", "renewable energy certificates",
+    "renewable electricity certificate", "renewable electricity certificates", "rec", "recs",
+)
+WHOLE_ELECTRICITY = ("total renewable electricity", "global renewable electricity", "renewable electricity consumed", "renewable electricity consumption")
+#: What stands before a number that is a bound.
+BOUND_BEFORE = ("<", ">", "≤", "≥", "at least", "at most", "more than", "less than", "greater than")
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value as a variable, so that the plan computes it once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _plain(text: Column) -> Column:
@@ -34,34 +48,48 @@ def line_of(quote: Column, raw: Column) -> Column:
     return F.when(F.size(held) == 1, F.get(held, F.lit(0))).otherwise(_plain(quote))
 
 
+def scopes_named(said: Column) -> Column:
+    """(joint, one, two, three): which scopes a spoken text names: the first two as one total, and each by itself."""
+    joint = phrases.says(said, [f"scope 1 {sign} {second}" for sign in JOINED for second in ("2", "scope 2")])
+    return F.struct(joint.alias("joint"), *[phrases.says(said, [f"scope {n}"]).alias(name) for n, name in ((1, "one"), (2, "two"), (3, "three"))])
+
+
 def scope_issue(field: Column, quote: Column, raw: Column) -> Column:
     """Why a line does not establish an emission field, or null: another scope beside or instead of its own, another basis, or a part of scope 3. Other fields have no such rule."""
-    line = line_of(quote, raw)
-    both = line.rlike(r"\bscope\s*1\s*(?:&|\+|and)\s*(?:scope\s*)?2\b")
-    one, two, three = (line.rlike(rf"\bscope\s*{n}\b") for n in (1, 2, 3))
-    named = F.when(both, "1&2").when(one & two, "1,2").when(one, "1").when(two, "2").otherwise("")
-    issue = None
-    for name, (scope, basis) in SCOPES.items():
-        if scope == "3":
-            found = F.when(~three, "other_scope").when(line.rlike(PART_OF_SCOPE_3), "part_of_scope")
-        else:
-            found = F.when(named != scope, "other_scope").when(~F.contains(line, F.lit(basis)), "other_basis")
-        issue = F.when(field == name, found) if issue is None else issue.when(field == name, found)
-    return issue
+
+    def judged(said: Column) -> Column:
+        of = scopes_named(said)
+        named = F.when(of.joint, "1&2").otherwise(F.concat_ws(",", F.when(of.one, "1"), F.when(of.two, "2")))
+        issue = F.when(~field.isin(*SCOPES), None)
+        for name, (scope, basis) in SCOPES.items():
+            if scope == "3":
+                found = F.when(~of.three, "other_scope").when(phrases.says(said, PARTS_OF_SCOPE_3), "part_of_scope")
+            else:
+                found = F.when(named != scope, "other_scope").when(~F.contains(said, F.lit(basis)), "other_basis")
+            issue = issue.when(field == name, found)
+        return issue
+
+    return _bound(phrases.spoken(line_of(quote, raw)), judged)
 
 
 def boundary_issue(field: Column, quote: Column, note: Column, raw: Column) -> Column:
-    """Why a quote (with its note) does not establish a point value of an energy field, or null: it speaks of another quantity, of a part, or gives a bound."""
-    said = F.concat_ws(" ", _plain(quote), _plain(note))
-    number = F.replace(_plain(raw), F.lit(","), F.lit(""))
-    printed = F.replace(_plain(quote), F.lit(","), F.lit(""))
-    ahead = F.rtrim(F.call_function("substring_index", printed, number, F.lit(1)))
-    bound = (number != "") & F.contains(printed, number) & ahead.rlike("(?:[<>≤≥]|at least|at most|more than|less than|greater than)$")
-    issue = F.when(bound, "bound_is_not_a_point")
-    for name, rules in BOUNDARIES.items():
-        for other, settled, reason in rules:
-            issue = issue.when((field == name) & said.rlike(other) & ~said.rlike(settled), reason)
-    return issue
+    """Why a quote (with its note) does not establish a point value of an energy field, or null: it gives a bound, speaks of another quantity only, or of a part."""
+    printed, number = phrases.spoken(quote), phrases.spoken(raw)
+    bare = lambda c: F.replace(c, F.lit(","), F.lit(""))
+    ahead = F.concat(F.call_function("substring_index", bare(printed), bare(number), F.lit(1)), F.lit(" "))
+    is_bound = F.lit(False)
+    for words in BOUND_BEFORE:
+        is_bound = is_bound | F.endswith(ahead, F.lit(f" {words} "))
+    is_bound = (F.trim(number) != "") & F.contains(bare(printed), bare(number)) & is_bound
+
+    def judged(said: Column) -> Column:
+        issue = F.when(is_bound, "bound_is_not_a_point")
+        for name, (own, rival, reason) in RIVALS.items():
+            issue = issue.when((field == name) & phrases.says(said, [rival]) & ~phrases.says(said, [own]), reason)
+        part = phrases.says(said, PARTS_OF_ELECTRICITY) & ~phrases.says(said, WHOLE_ELECTRICITY)
+        return issue.when((field == "renewable_electricity") & part, "part_is_not_total")
+
+    return _bound(phrases.spoken(F.concat_ws(" ", quote, note)), judged)
 
 
 def physical_issue(value: Column, unit: Column, year: Column, common_year: Column, status: Column) -> Column:
@@ -107,11 +135,11 @@ def record_issues(year: Column, currency: Column, metrics: Column, counts: tuple
 
 
 def seeds_checked(seeds: DataFrame, companies: DataFrame, key: str, providers: tuple[str, ...]) -> DataFrame:
-    """seeds (key, url, provider, document_id, context) with the rules that they break: a known company, named once, a plain web address without user part or odd port, a known provider, evidence."""
+    """seeds (key, url, provider, document_id, context) with the rules that they break: a known company, named once, a public web address (text.public_url), a known provider, evidence."""
     known = companies.select(key, F.lit(True).alias("_known")).distinct()
     times = seeds.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     rules = {
-        "company": F.col("_known"), "repeated": F.col("_n") == 1, "url": F.col("url").rlike(r"^https?://[A-Za-z0-9.-]+(?::(?:80|443))?(?:[/?#].*)?$"),
+        "company": F.col("_known"), "repeated": F.col("_n") == 1, "url": text.public_url(F.col("url")),
         "provider": F.col("provider").isin(*providers), "evidence": (F.col("document_id") > 0) & (F.trim("context") != ""),
     }
     return seeds.join(known, key, "left").join(times, key, "left").withColumn("issues", broken_rules(rules)).drop("_known", "_n")

@@ -31,7 +31,7 @@ def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field, line = _one_of(F.col("l_suppkey"), [*claims.BOUNDARIES, "other"]), _one_of(F.col("l_partkey"), ENERGY_LINES)
+    field, line = _one_of(F.col("l_suppkey"), [*claims.RIVALS, "other"]), _one_of(F.col("l_partkey"), ENERGY_LINES)
     issue = claims.boundary_issue(field, line, F.lit(None).cast("string"), F.lit("12"))
     return _lines(spark, sf_dir).groupBy(field.alias("field"), line.alias("line"), issue.alias("issue")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -74,7 +74,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     rows = views.table(spark, sf_dir, "orders").where("o_custkey is not null").select(
-        k.alias("seed_id"), F.when(k % 6 == 0, -k).otherwise(k).alias("c_custkey"), _one_of(k, ["https://a.example.org", "http://a.example.org:443/x", "http://u:p@a.example.org/", "http://a.example.org:9999/", "ftp://a.example.org"]).alias("url"),
+        k.alias("seed_id"), F.when(k % 6 == 0, -k).otherwise(k).alias("c_custkey"), _one_of(k, ["https://a.example.org", "http://a.example.org:443/x", "http://u:p@a.example.org/", "http://a.example.org:9999/", "ftp://a.example.org", "http://127.0.0.1/", "http://10.0.0.1:80/", "http://a.example.org:80/"]).alias("url"),
         _one_of(k, ["filing", "hub", "other", None]).alias("provider"), F.when(k % 7 != 0, k + 1).alias("document_id"), F.when(k % 9 != 0, "seen").otherwise(" ").alias("context"),
     )
     twice = rows.unionByName(rows.where("seed_id % 10 = 1").withColumn("seed_id", -F.col("seed_id")))
@@ -125,7 +125,7 @@ ORACLE_SQL = {
         SELECT o_orderkey, concat_ws(',', CASE WHEN NOT usd THEN 'currency' END, CASE WHEN k % 5 = 0 THEN 'fiscal_year' END, CASE WHEN k % 7 = 0 OR unit IS NOT NULL AND NOT (usd AND unit = 'USD') THEN 'unit' END,
         CASE WHEN k % 2 = 0 AND k % 3 <> 1 OR k % 2 = 1 AND k % 3 <> 0 THEN 'value' END) AS issues FROM o""",
     "b58_seeds_checked": """WITH s AS (SELECT o_orderkey AS seed_id, o_orderkey AS k FROM orders WHERE o_custkey IS NOT NULL UNION ALL SELECT -o_orderkey, o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 10 = 1)
-        SELECT seed_id, concat_ws(',', CASE WHEN CASE WHEN k % 6 = 0 THEN -k ELSE k END NOT IN (SELECT c_custkey FROM customer) THEN 'company' END, CASE WHEN k % 10 = 1 THEN 'repeated' END, CASE WHEN k % 5 >= 2 THEN 'url' END,
+        SELECT seed_id, concat_ws(',', CASE WHEN CASE WHEN k % 6 = 0 THEN -k ELSE k END NOT IN (SELECT c_custkey FROM customer) THEN 'company' END, CASE WHEN k % 10 = 1 THEN 'repeated' END, CASE WHEN k % 8 BETWEEN 1 AND 6 THEN 'url' END,
         CASE WHEN k % 4 >= 2 THEN 'provider' END, CASE WHEN k % 7 = 0 OR k % 9 = 0 THEN 'evidence' END) AS issues FROM s""",
     "c29_newest_verified": """SELECT source, lang, doc_id AS document_id, sha256(text) AS sha256, CAST(strlen(text) AS INTEGER) AS n_bytes FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0 AND doc_id % 5 <> 0
         QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) = 1""",

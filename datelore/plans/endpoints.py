@@ -11,6 +11,7 @@ from datelore.plans.wordings import _one_of
 
 TARGETS = ["revenue", "operating_margin", "eps"]
 QUOTES = ["USD 5 at least", "up to USD 5", "USD 5", "about 5", "50 bps, USD"]
+FORMS = [*(f"USD 5: {w} 5" for w in ("≥", ">=", ">", "at least", "more than", "greater than", "minimum of", "≤", "<=", "<", "at most", "up to", "no more than", "less than", "maximum of")), "5% + US $", "$ US 5", "United States dollars 5", "U.S. dollars 5", "tusd 5", "USD/share 5", "between at least USD 4 and at most USD 6"]
 PATHS = ["income.revenue", "income.tax", "balance.assets", "balance.tax", "staff"]
 CITED = ["income.revenue", "data.revenue", "tax", "assets", "other", "data.balance.assets", "staff"]
 
@@ -48,7 +49,33 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endpoints.canonical_paths(cited, schema, "l_orderkey").groupBy("l_orderkey", "path", "canonical", "issue").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"b39_endpoints_normalised": normalised, "b22_endpoint_columns": columns, "b44_direct_facts": facts, "b49_canonical_paths": paths}
+CLAIM_WORDS = [
+    "guidance was raised, eps growth", "unchanged eps growth", "withdrawn sales growth", "still active", "revenue growth from 2019", "operating margin, baseline of 2020", "operating margin baseline, 50 bps",
+    "base fee cagr compared to plan", "nothing", "EPS  CAGR", "no-change", "in effect",
+]
+ATTRIBUTES = ["is_revised", "is_withdrawn", "target_year", "baseline_year", "value"]
+
+
+def flags_and_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims about targets, quoted from real lines with some words set behind them, against the whole texts that these stand in."""
+    k = F.col("doc_id")
+    docs = views.table(spark, sf_dir, "documents").where("text is not null")
+    quote = F.concat(F.substring_index("text", "\n", 1), F.lit(" "), _one_of(k, CLAIM_WORDS))
+    value = F.when(k % 13 != 0, _one_of(k + 1, [1, 0])).cast("int")
+    rows = docs.select("doc_id", _one_of((k / 3).cast("long"), [*endpoints.LABELS]).alias("target"), _one_of((k / 7).cast("long"), ATTRIBUTES).alias("attribute"), value.alias("value"),
+                       quote.alias("quote"), F.concat(F.lit("About it: "), quote, F.lit("\n"), F.col("text")).alias("block"), F.lit(None).cast("string").alias("raw_value"))
+    return endpoints.target_claims(rows).select("doc_id", "target", "attribute", "value", "issue")
+
+
+def bound_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each form of words says, behind the flag of a line and before a year."""
+    form = _one_of(F.col("l_partkey"), FORMS)
+    quote = F.concat("l_returnflag", F.lit(" "), form, F.lit(" in "), F.year("l_shipdate").cast("string"))
+    said = views.table(spark, sf_dir, "lineitem").select(form.alias("form"), endpoints.bounds_said(quote).alias("b"), endpoints.names_dollars(quote).alias("names_dollars"))
+    return said.groupBy("form", F.col("b.low").alias("low"), F.col("b.high").alias("high"), "names_dollars").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {"b39_bound_forms": bound_forms, "b39_flags_and_years": flags_and_years, "b39_endpoints_normalised": normalised, "b22_endpoint_columns": columns, "b44_direct_facts": facts, "b49_canonical_paths": paths}
 
 _ENDS = """WITH r AS (SELECT o_orderkey AS k, 'min' AS e, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS v, o_orderkey % 5 AS i FROM orders UNION ALL
         SELECT o_orderkey, 'max', CASE WHEN o_orderkey % 4 <> 1 THEN o_totalprice + 1 END, (o_orderkey + 1) % 5 FROM orders),
@@ -58,7 +85,22 @@ _ENDS = """WITH r AS (SELECT o_orderkey AS k, 'min' AS e, CASE WHEN o_orderkey %
     y AS (SELECT *, ['revenue', 'operating_margin', 'eps'][k % 3 + 1] AS target, CASE WHEN k % 3 <> 1 AND i = 3 THEN 'currency_not_named' WHEN k % 3 = 1 AND i = 4 THEN 'change_is_no_level' END AS issue FROM x),
     z AS (SELECT k AS o_orderkey, target, d AS endpoint, CASE WHEN issue IS NULL THEN v END AS value, action, issue FROM y)"""
 
+_WORDS = "[" + ", ".join("'" + w + "'" for w in CLAIM_WORDS) + "]"
+
 ORACLE_SQL = {
+    "b39_bound_forms": f"""WITH f AS (SELECT l_partkey % 22 AS i, [{", ".join("'" + f + "'" for f in FORMS)}][l_partkey % 22 + 1] AS form FROM lineitem WHERE l_shipdate IS NOT NULL AND l_returnflag IS NOT NULL)
+        SELECT form, i < 7 OR i IN (15, 21) AS low, i BETWEEN 7 AND 14 OR i = 21 AS high, i NOT IN (19, 20) AS names_dollars, count(*) AS n FROM f GROUP BY ALL""",
+    "b39_flags_and_years": rf"""WITH d AS (SELECT doc_id, doc_id AS k, text, string_split(text, chr(10))[1] || ' ' || {_WORDS}[doc_id % 12 + 1] AS quote FROM documents WHERE text IS NOT NULL),
+        f AS (SELECT *, trim(regexp_replace(quote, '\s+', ' ', 'g')) AS q, trim(regexp_replace('About it: ' || quote || chr(10) || text, '\s+', ' ', 'g')) AS b FROM d),
+        n AS (SELECT *, ['revenue_growth', 'operating_margin', 'eps_growth'][(k // 3) % 3 + 1] AS target, ['is_revised', 'is_withdrawn', 'target_year', 'baseline_year', 'value'][(k // 7) % 5 + 1] AS attribute, CASE WHEN k % 13 <> 0 THEN 1 - (k + 1) % 2 END AS v,
+            lower(q || ' ' || substr(b, greatest(strpos(b, q) - 250, 1), least(strpos(b, q), 251) - 1 + length(q) + 250)) AS near, lower(q || ' ' || substr(b, greatest(strpos(b, q) - 800, 1), least(strpos(b, q), 801) - 1 + length(q) + 800)) AS far FROM f),
+        i AS (SELECT *, CASE WHEN v IS NULL THEN NULL
+            WHEN attribute = 'is_revised' AND NOT CASE WHEN v = 1 THEN regexp_matches(near, '(^|[^a-z])(revis|updat|increas|decreas|rais|lower|narrow)') ELSE regexp_matches(near, '(^|[^a-z])(unchanged|no[\s-]+change|no[\s-]+difference|reaffirmed|nc)($|[^a-z])') END THEN 'flag_not_supported'
+            WHEN attribute = 'is_withdrawn' AND NOT CASE WHEN v = 1 THEN regexp_matches(near, '(^|[^a-z])(withdraw|rescind|cancel|discontinu)') ELSE regexp_matches(near, '(^|[^a-z])(not withdrawn|remains active|still active|continues? in effect)($|[^a-z])') END THEN 'flag_not_supported'
+            WHEN attribute IN ('target_year', 'baseline_year') AND (attribute = 'baseline_year' AND NOT regexp_matches(far, '(^|[^a-z])(baseline|base year|compared (with|to)|from 20\d\d)($|[^a-z0-9])')
+                OR target = 'operating_margin' AND regexp_matches(far, '(^|[^a-z])(margin expansion|bps|basis points?)($|[^a-z])')
+                OR NOT CASE target WHEN 'revenue_growth' THEN regexp_matches(far, '(^|[^a-z])(revenue|sales|base fee) (growth|cagr)($|[^a-z])') WHEN 'operating_margin' THEN regexp_matches(far, '(^|[^a-z])operating (income )?margin($|[^a-z])') ELSE regexp_matches(far, '(^|[^a-z])(eps|earnings per share) (growth|cagr)($|[^a-z])') END) THEN 'year_not_linked' END AS issue FROM n)
+        SELECT doc_id, target, attribute, CAST(CASE WHEN issue IS NULL THEN v END AS INTEGER) AS value, issue FROM i""",
     "b39_endpoints_normalised": _ENDS + " SELECT * FROM z",
     "b22_endpoint_columns": _ENDS + " SELECT o_orderkey, " + ", ".join(f"max(value) FILTER (target = '{t}' AND endpoint = '{e}') AS {t}_{e}" for t in TARGETS for e in ("min", "max")) + " FROM z GROUP BY 1",
     "b44_direct_facts": """WITH o AS (SELECT o_orderkey, o_orderkey AS k, o_totalprice AS v FROM orders), r AS (SELECT *, CASE WHEN k % 9 = 0 THEN 'block' WHEN k % 4 = 2 THEN 'quote' WHEN k % 5 = 0 THEN 'raw_value' WHEN k % 11 = 0 THEN 'value' END AS issue FROM o)

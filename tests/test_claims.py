@@ -51,3 +51,10 @@ def test_newest_document_whose_bytes_are_right(spark):
     docs = spark.createDataFrame([("c", 1, "a", 3), ("c", 2, "b", 3), ("c", 3, "z", 3), ("d", 4, None, 3)], "company string, document_id int, sha256 string, n_bytes int")
     bodies = spark.createDataFrame([("a", 3), ("b", 4), ("a", 3)], "sha256 string, n_bytes int")
     assert [tuple(r) for r in claims.newest_verified(docs, bodies, ["company"]).collect()] == [("c", 1, "a", 3)]
+
+
+def test_addresses_of_seeds_are_public(spark):
+    urls = ["https://a.example.org", "http://a.example.org:80/", "http://127.0.0.1/", "http://10.0.0.1:80/", "http://a.example.org:443/", "http://localhost/"]
+    seeds = spark.createDataFrame([(k, u, "hub", 1, "seen") for k, u in enumerate(urls)], "c int, url string, provider string, document_id int, context string")
+    got = {r["c"]: r["issues"] for r in claims.seeds_checked(seeds, seeds.select("c"), "c", ("hub",)).collect()}
+    assert got == {0: [], 1: [], **{k: ["url"] for k in range(2, 6)}}

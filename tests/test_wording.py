@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from datelore.functions import wording
+from datelore.functions import units, wording
 from datelore.operators import choices
 
 
@@ -64,3 +64,18 @@ def test_merged_chunks_keep_other_years_apart(spark):
 def test_sources_without_rows(spark):
     empty = spark.createDataFrame([], "k string, url string, document_id int, title string, freshness string, dated string")
     assert choices.sources_in_order(empty, "k", "url").count() == 0
+
+
+def test_units_by_their_tokens(spark):
+    names = ["metric tons carbon  dioxide equivalent", "metric tons CO2 e", "Metric Tonnes of CO2 - e", "tCO2e", "t CO₂-eq", "in millions of metric tons CO2 equivalents", "metric tons carbon-dioxide equivalents", "tons of apples", None]
+    frame = spark.createDataFrame([(n, 1.0, "tCO2e") for n in names], "unit string, v double, target string")
+    got = {r["unit"]: r["converted"] for r in units.converted(frame, "v", "unit", "target").collect()}
+    assert got == dict(zip(names, [1.0, 1.0, 1.0, 1.0, 1.0, 1e6, 1.0, None, None], strict=True))
+
+
+def test_scales_years_and_decreases_by_tokens(spark):
+    scale = {"In  Millions": 1e6, "(thousands": 1e3, "( dollars in billions )": 1e9, "in $ millions": 1e6, "5 million in all": 1.0, "within millions": 1.0, "in millions or in thousands": None, "in millions, except in thousands": 1e6}
+    assert {t: one(spark, wording.currency_scale(F.lit(t), F.lit(None).cast("string")))["scale"] for t in scale} == scale
+    years = {"For the Fiscal Year ended  December 31, 2023": 2023, "for the fiscal year ended 2024": 2024, "fiscal year ended 2024": None, "For the fiscal year ended soon, 2024": None, "for the fiscal year ended May 3 2024": None, "for the fiscal year ended 1800": None}
+    assert {t: one(spark, wording.fiscal_year(F.lit(t))) for t in years} == years
+    assert tuple(one(spark, wording.decrease(F.lit("fell 1,200"), F.lit("-1200"), F.lit(-1200.0)))) == ("1,200", -1.0)
