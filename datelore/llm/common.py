@@ -44,11 +44,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet to a new folder in the shared one, and read again."""
+def written_path(df: DataFrame) -> str:
+    """The new folder in the shared one to which df was written as Parquet."""
     path = f"{_shared_folder(df.sparkSession)}/stage-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet to a new folder in the shared one, and read again."""
+    return df.sparkSession.read.parquet(written_path(df))
 
 
 def discard(df: DataFrame) -> None:

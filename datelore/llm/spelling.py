@@ -14,13 +14,12 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datelore.llm.common import checkpointed, give_back, read_table
+from datelore.llm.common import checkpointed, discard, give_back, read_table, written, written_path
 
 #: Code points of a word, at least; occurrences, at least; one of so many (document, run) pairs loses a letter.
 LEAST_LETTERS, LEAST_COUNT, CUT_EVERY = 5, 3, 97
@@ -76,22 +75,19 @@ def count_words(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def _letter(word: str, position: str) -> Column:
-    return F.substring(F.col(word), F.col(position) + 1, F.lit(1))
-
-
 def _tries(words: DataFrame) -> DataFrame:
-    """(word, n, way, spelt, size, start): each word forwards and backwards, from the node where its tries begin. One of the two halves holds no edit."""
+    """(key, word, n, way, spelt, size, start): each word forwards and backwards, from the node where its tries begin. One of the two halves holds no edit."""
     size = F.char_length("word")
     ways = F.array(
         F.struct(F.lit(">").alias("way"), F.col("word").alias("spelt"), F.floor(size / 2).cast("int").alias("start")),
         F.struct(F.lit("<").alias("way"), F.reverse("word").alias("spelt"), F.ceil(size / 2).cast("int").alias("start")),
     )
-    return words.select("word", "n", size.alias("size"), F.inline(ways))
+    return words.select("word", "n", size.alias("size"), F.inline(ways)).withColumn("key", _node("spelt"))
 
 
-def _node(way: Column, prefix: Column) -> Column:
-    return F.xxhash64(way, prefix)
+def _node(prefix: str | Column) -> Column:
+    """The node of a prefix, in the trie of its way; a word's own node is its key."""
+    return F.xxhash64("way", prefix)
 
 
 def _edges(tries: DataFrame) -> DataFrame:
@@ -99,57 +95,58 @@ def _edges(tries: DataFrame) -> DataFrame:
     depths = tries.select("way", "spelt", F.explode(F.sequence(F.floor(F.col("size") / 2).cast("int"), F.col("size") - 1)).alias("depth"))
     prefix = lambda d: F.substring(F.col("spelt"), F.lit(1), d)
     return depths.select(
-        _node(F.col("way"), prefix(F.col("depth"))).alias("node"), _letter("spelt", "depth").alias("letter"), _node(F.col("way"), prefix(F.col("depth") + 1)).alias("child")
+        _node(prefix(F.col("depth"))).alias("node"), F.substring(F.col("spelt"), F.col("depth") + 1, F.lit(1)).alias("letter"), _node(prefix(F.col("depth") + 1)).alias("child")
     ).groupBy("node", "letter", "child").agg(F.count(F.lit(1)).alias("through"))
 
 
-def _trie_pairs(words: DataFrame) -> DataFrame:
-    """(word, n, near, near_n): candidates from the tries of words (word, n), each pair from one side. Hashes stand for nodes, so a pair may be wrong, but none is lost."""
-    tries = _tries(words)
-    letters = words.agg(F.sum(F.char_length("word"))).first()[0] or 0
-    edges = checkpointed(_edges(tries))
+def _hot_nodes(edges: DataFrame, letters: int) -> DataFrame | None:
+    """(node, salts) of nodes through which more words lead than one task should meet, 10,000 rows at most by their bound; none where there are none."""
     bound = max(NODE_WORDS, -(-2 * letters // 10_000))
     hot = edges.groupBy("node").agg(F.sum("through").alias("through")).where(F.col("through") > bound).select("node", F.ceil(F.col("through") / bound).cast("int").alias("salts"))
-    hot = spark_rows(hot)
+    rows = [(r.node, r.salts) for r in hot.collect()]
+    return edges.sparkSession.createDataFrame(rows, "node long, salts int") if rows else None
+
+
+def _trie_pairs(words: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(word, n, near, near_n): candidates from the tries of words (word, n), each pair from one side, and the files that they are read from.
+
+    Hashes stand for nodes, so a pair may be wrong, but none is lost. A state holds the key of its word, the letters that it still has to
+    go (rest), its node, whether its edit is used, and whether its next letter repeats the last, whose loss would leave the same word.
+    """
+    spark, tries = words.sparkSession, _tries(words)
+    edges = stored = written(_edges(tries))
+    hot = _hot_nodes(stored, words.agg(F.sum(F.char_length("word"))).first()[0] or 0)
     if hot is None:
-        salted = lambda rows: rows.withColumn("salt", F.lit(0))
+        salted = lambda states: states.withColumn("salt", F.lit(0))
         edges = edges.withColumn("salt", F.lit(0))
     else:
         with_salts = lambda rows: rows.join(F.broadcast(hot), "node", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        salted = lambda rows: with_salts(rows).withColumn("salt", F.pmod(F.xxhash64("word"), F.col("salts")).cast("int")).drop("salts")
+        salted = lambda states: with_salts(states).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")).drop("salts")
         edges = with_salts(edges).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     edges = edges.select("node", "letter", "child", "salt")
 
-    own = _letter("spelt", "position")
-    state = ["word", "n", "spelt", "size", "position", "node", "edits"]
-    frontier = checkpointed(tries.select("word", "n", "spelt", "size", F.col("start").alias("position"), _node(F.col("way"), F.substring("spelt", F.lit(1), F.col("start"))).alias("node"), F.lit(0).alias("edits"), F.col("start").alias("from")))
-    ended = []
+    own, left, no = F.substring("rest", 1, 1), F.expr("substring(rest, 2)"), F.lit(False)
+    start = F.substring(F.col("spelt"), F.lit(1), F.col("start"))
+    levels = [written_path(tries.select("key", F.expr("substring(spelt, start + 1)").alias("rest"), _node(start).alias("node"), no.alias("edited"), no.alias("repeats")))]
     for _ in range(TRIE_LETTERS + 1):
-        going = frontier.where("position < size")
+        going = spark.read.parquet(levels[-1]).where("rest <> ''")
         if not going.limit(1).count():
             break
-        # a letter like the one before it would leave the same word
-        dropped = going.where((F.col("edits") == 0) & ((F.col("position") == F.col("from")) | (own != F.substring("spelt", F.col("position"), F.lit(1)))))
-        dropped = dropped.select(*state[:4], (F.col("position") + 1).alias("position"), "node", F.lit(1).alias("edits"), "from")
-        follows = (F.col("letter") == own) | (F.col("edits") == 0) & (F.col("letter") > own)
+        dropped = going.where("not edited and not repeats").select("key", left.alias("rest"), "node", F.lit(True).alias("edited"), no.alias("repeats"))
+        follows = (F.col("letter") == own) | ~F.col("edited") & (F.col("letter") > own)
         met = salted(going).alias("s").join(edges.alias("e"), (F.col("s.node") == F.col("e.node")) & (F.col("s.salt") == F.col("e.salt")) & follows)
-        moved = met.select(*state[:4], (F.col("position") + 1).alias("position"), F.col("child").alias("node"), F.when(F.col("letter") == own, F.col("edits")).otherwise(1).alias("edits"), "from")
-        frontier = checkpointed(moved.unionByName(dropped).where("position < size or edits = 1"))
-        ended.append(frontier.where("position = size").select("word", "n", "node"))
-    if not ended:
-        return words.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
-    last = tries.select(_node(F.col("way"), F.col("spelt")).alias("node"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return reduce(DataFrame.union, ended).join(last, "node").select("word", "n", "near", "near_n")
-
-
-def spark_rows(hot: DataFrame) -> DataFrame | None:
-    """hot as a table of its own, at most 10,000 rows by its bound; none where it is empty."""
-    rows = [(r["node"], r["salts"]) for r in hot.collect()]
-    return hot.sparkSession.createDataFrame(rows, "node long, salts int") if rows else None
+        edited = F.col("edited") | (F.col("letter") != own)
+        moved = met.select("key", left.alias("rest"), F.col("child").alias("node"), edited.alias("edited"), (~edited & (F.substring("rest", 2, 1) == own)).alias("repeats"))
+        levels.append(written_path(moved.unionByName(dropped).where("rest <> '' or edited")))
+    every = spark.read.parquet(*levels)
+    names = tries.select("key", "word", "n")
+    last = names.select(F.col("key").alias("node"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    found = every.where("rest = '' and edited").select("key", "node").join(names, "key").join(last, "node")
+    return found.select("word", "n", "near", "near_n"), [every, stored]
 
 
 def _left_without_one(word: str) -> Iterator[tuple[int, int]]:
-    """(position, hash of word without the letter there), by polynomial hashes; of a run of equal letters only the first."""
+    """(position, hash of word without the letter there), and (-1, hash of word), by polynomial hashes."""
     points = [ord(c) for c in word]
     before, after = 0, 0
     for c in points:
@@ -158,8 +155,7 @@ def _left_without_one(word: str) -> Iterator[tuple[int, int]]:
     inverse = pow(_BASE, -1, _MERSENNE)
     for k, c in enumerate(points):
         after = (after - c * power) % _MERSENNE  # letters after k
-        if k == 0 or points[k - 1] != c:
-            yield k, (before * power + after) % _MERSENNE
+        yield k, (before * power + after) % _MERSENNE
         before = (before * _BASE + c) % _MERSENNE
         power = power * inverse % _MERSENNE
     if points:
@@ -187,14 +183,17 @@ def _long_pairs(words: DataFrame) -> DataFrame:
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, n, near, near_n): each pair of words that differ by exactly one code point inserted, deleted or replaced, from both sides."""
+    """(word, n, near, near_n): each pair of words that differ by exactly one code point inserted, deleted or replaced, from both sides. Written to the shared folder."""
     size = F.char_length("word")
-    met = _trie_pairs(words.where(size <= TRIE_LETTERS))
+    met, files = _trie_pairs(words.where(size <= TRIE_LETTERS))
     long = words.where(size >= TRIE_LETTERS)
     if long.where(size > TRIE_LETTERS).limit(1).count():
         met = met.union(_long_pairs(long))
     met = met.where(F.levenshtein("word", "near", 1) == 1)
-    return met.union(met.select("near", "near_n", "word", "n")).distinct()
+    found = written(met.union(met.select("near", "near_n", "word", "n")).distinct())
+    for x in files:
+        discard(x)
+    return found
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -215,13 +214,15 @@ def group_variants(words: DataFrame) -> DataFrame:
     following forms ends, the word itself where it has none. An empty table gives no rows.
     """
     words = checkpointed(words.select("word", "n"))
-    near = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
+    pairs = near_words(words)
+    near = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     strong = -F.col("best.less") >= 2 * F.col("n")
     told = checkpointed(
         words.join(near, "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(strong, F.col("best.near")).alias("form"), F.when(strong, -F.col("best.less")).alias("form_n")
         )
     )
+    discard(pairs)
     roots = _roots(told.where("form is not null").select("word", "form"))
     return told.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
