@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datelore.llm import bpe, decontaminate, jaccard, language, toxicity
-from datelore.llm.common import discard, read_table, written
+from datelore.llm.common import discard_since, files_so_far, read_table, written, written_path
 
 #: A text whose best language has no more than this share of the evidence is in none that the model knows.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -51,7 +51,7 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal and near texts, the one with the smallest doc_id.
 
-    Rows that repeat a doc_id with the same set of shingles are one document: one of them stays. Rows without a doc_id, for
+    Rows that repeat a doc_id with the same set of shingles are one document: that whose columns come first as JSON stays. Rows without a doc_id, for
     which no other can stand, stay too, and so do null, empty and wordless texts of different doc_ids. All columns pass through as they are.
     """
     found = written(jaccard.near_documents(docs.select("doc_id", "text")))
@@ -60,7 +60,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if repeated:
         told = jaccard.with_shingle_set(_packed(kept), "text", "shingles")
         alike = F.coalesce("shingles", F.col("text").cast("binary"))
-        kept = _unpacked(told.withColumns({"shingles": alike, "doc_id": F.col("kept.doc_id")}).dropDuplicates(["doc_id", "shingles"]), docs)
+        row = F.struct("text", "kept")
+        same = told.withColumns({"shingles": alike, "doc_id": F.col("kept.doc_id")}).groupBy("doc_id", "shingles")
+        kept = _unpacked(same.agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"), docs)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
@@ -100,12 +102,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder and read again; what a stage has read is removed once its result is written."""
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs)
-            if k:
-                discard(before)
-    return docs
+    """All stages over documents, each but the last written to the shared folder and read again; what only earlier stages read is removed once a result is written."""
+    docs, mark = read_table(spark, sf_dir, "documents"), files_so_far()
+    for _, stage in STAGES[:-1]:
+        path = written_path(stage(spark, docs, sf_dir))
+        discard_since(spark, mark, path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

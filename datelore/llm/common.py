@@ -44,13 +44,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The folders that this driver has written and not removed.
+_WRITTEN: list[str] = []
+
+
 def written_path(df: DataFrame) -> str:
     """The new folder in the shared one to which df was written as Parquet."""
     path = f"{_shared_folder(df.sparkSession)}/stage-{uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return path
 
 
+def files_so_far() -> int:
+    """A mark for discard_since."""
+    return len(_WRITTEN)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: str) -> None:
+    """Removes all folders written since a mark but one, and forgets them: for callers whose result no longer reads them."""
+    for path in _WRITTEN[mark:]:
+        if path != keep:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN[mark:] = [p for p in _WRITTEN[mark:] if p == keep]
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet to a new folder in the shared one, and read again."""
     return df.sparkSession.read.parquet(written_path(df))
