@@ -24,12 +24,12 @@ def _bin(value: Column, cuts: list[float]) -> Column:
     return F.when(value.isNull() | F.isnan(value), 0).otherwise(above).cast("double")
 
 
-def fit_additive(rows: DataFrame, features: list[str], label: str, bins: int = 8, ridge: float = 0.1) -> tuple[DataFrame, float]:
+def fit_additive(rows: DataFrame, features: list[str], label: str, bins: int = 8, ridge: float = 0.1, cuts: dict[str, list[float]] | None = None) -> tuple[DataFrame, float]:
     """(terms, intercept): a score is the intercept plus one term for each feature, by the range its value lies in; a missing value has a term of its own.
 
-    Features are cut at quantiles, one-hot encoded and fitted by one ridge regression. terms is a small table: features times bins rows.
+    Features are cut at quantiles (or where cuts says), one-hot encoded and fitted by one ridge regression. terms is a small table: features times bins rows.
     """
-    cuts = _cuts(rows, features, bins)
+    cuts = _cuts(rows, features, bins) if cuts is None else cuts
     binned = rows.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), *[_bin(F.col(f), cuts[f]).alias(f"_{f}") for f in features])
     indexed = [f"_{f}" for f in features]
     # The encoder has a place for each bin up to the highest that a training row fills; the terms of others are 0.

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datelore.operators import models, splits
+from datelore.operators import gram, splits
 
 #: Feature sets in order of size, as the categories that each allows.
 FEATURE_SETS = {
@@ -31,7 +34,8 @@ def split_mode(rows: DataFrame) -> str:
 
 @dataclass(frozen=True)
 class Run:
-    """What a training run found: status trained or blocked, and why; the chosen set and configuration; errors as rows."""
+    """What a training run found: status trained, blocked or reused, and why; the chosen set and configuration; errors as rows; the predictions of the test rows, and of all
+    held-out rows by every set and configuration; the run's id."""
 
     status: str
     reason: str = ""
@@ -39,53 +43,100 @@ class Run:
     configuration: str = ""
     validation: list[tuple] = field(default_factory=list)
     test: DataFrame | None = None
+    held_out: DataFrame | None = None
+    run_id: str = ""
 
 
-def predict(train: DataFrame, held: DataFrame, key: str, features: list[str], label: str, parameters: dict) -> DataFrame:
-    """held's (key, label, predicted) by an additive model of train."""
-    terms, base = models.fit_additive(train, features, label, **parameters)
-    scores = models.score_additive(held.unpivot(key, features, "feature_name", "value"), [key], terms, base)
-    return held.select(key, label).join(scores.withColumnRenamed("score", "predicted"), key)
+def fingerprint(rows: DataFrame) -> tuple[int, str]:
+    """(rows, a sum over their hashes): the same for the same rows in any order, in one aggregation."""
+    found = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)"))).first()
+    return found[0], str(found[1])
 
 
-def train(rows: DataFrame, key: str, categories: dict[str, str], label: str, fold: str, search: dict[str, list], least_rows: int = 20) -> Run:
+def run_id(of_rows: tuple[int, str], **settings) -> str:
+    """A digest of the rows and of every setting, in canonical form."""
+    return hashlib.sha256(json.dumps({"rows": of_rows, **settings}, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
+def train(rows: DataFrame, key: str, categories: dict[str, str], label: str, fold: str, search: dict[str, list], least_rows: int = 20, least_support: int = 1, store: str | None = None) -> Run:
     """One run over rows that carry their fold (test, or a validation fold's name); categories maps features to their category.
 
-    Every feature set and configuration is validated on the same folds; sets of equal features are tried once. Mean error chooses the configuration, the one-standard-
-    error rule the set; the model is refitted on all rows but the test, which is predicted once. Rows without a label take no part; too few rows
-    give a blocked run instead of an error. Fits are driver loops over few, cached rows' folds; each fit is a Spark job over all of them.
+    Every feature set and configuration is validated on the same folds. Mean error chooses the configuration, the one-standard-error rule the set; its model on all rows
+    but the test predicts the test. A feature known in fewer than least_support rows of a training side has no terms there. Too few rows give a blocked run instead of an error.
+    However many sets, configurations and folds there are, the run is one count, one pass for the cuts, one for the products, and one that scores held-out rows (see gram).
+    With a store, a finished run of the same rows and settings is read back instead; results are written first and their manifest last, so half a run is never found.
     """
-    known = rows.where(F.col(label).isNotNull()).persist()
+    known = rows.where(F.col(label).isNotNull()).select(key, F.col(fold).cast("string").alias(fold), label, *categories)
     development = known.where(F.col(fold) != "test")
-    n, folds = development.count(), sorted(r[0] for r in development.select(fold).distinct().collect())
+    settings = {"categories": categories, "label": label, "search": search, "least_rows": least_rows, "least_support": least_support, "sets": FEATURE_SETS}
+    number = run_id(fingerprint(known), **settings)
+    if store and (found := _stored(rows.sparkSession, f"{store}/{number}", number)):
+        return found
+    counts = development.groupBy(fold).count().collect()
+    n, folds = sum(r["count"] for r in counts), sorted(r[0] for r in counts)
     if n < least_rows or len(folds) < 2:
-        known.unpersist()
-        return Run("blocked", f"{n} labelled development rows in {len(folds)} folds")
-    results, tried = {}, {}
-    for name, allowed in FEATURE_SETS.items():
-        features = [f for f, c in categories.items() if c in allowed]
-        if not features:
-            continue
-        if tuple(features) in tried:
-            results[name] = tried[tuple(features)]
-            continue
+        return Run("blocked", f"{n} labelled development rows in {len(folds)} folds", run_id=number)
+    features, configurations = list(categories), grid("additive", search)
+    bins = sorted({c["bins"] for _, c in configurations})
+    cuts = gram.side_cuts(development, features, fold, [*folds, gram.ALL], bins)
+    sides = gram.side_sums(development, features, label, fold, cuts)
+    sets = {name: [f for f in features if categories[f] in allowed] for name, allowed in FEATURE_SETS.items()}
+    sets = {name: own for name, own in sets.items() if own}
+
+    def fitted(side: str, name: str, config: dict) -> tuple:
+        of = sides[side, config["bins"]]
+        return of.fit([f for f in sets[name] if of.support(f) >= least_support], config["ridge"])
+
+    models = [(side, c["bins"], f"{name}/{number_}", *fitted(side, name, c)) for side in folds for name in sets for number_, c in configurations]
+    held_out = gram.scored(development, key, features, label, fold, sides, models)
+    found = splits.errors(held_out, ["model", fold], label, "predicted").select("model", "mae").collect()
+    of_model: dict[str, list[float]] = {}
+    for r in found:
+        of_model.setdefault(r.model, []).append(r.mae)
+    results = {}
+    for name in sets:
         best = None
-        for config, parameters in grid("additive", search):
-            errors = []
-            for held in folds:
-                got = predict(development.where(F.col(fold) != held), development.where(F.col(fold) == held), key, features, label, parameters)
-                errors.append(splits.errors(got, [], label, "predicted").first()["mae"])
+        for config, _ in configurations:
+            errors = of_model[f"{name}/{config}"]
             mean = sum(errors) / len(errors)
             spread = (sum((e - mean) ** 2 for e in errors) / max(len(errors) - 1, 1) / len(errors)) ** 0.5
             if best is None or (mean, config) < best[:2]:
-                best = (mean, config, spread, features, parameters)
-        results[name] = tried[tuple(features)] = best
+                best = (mean, config, spread)
+        results[name] = best
     limit = min((r[0], r[2]) for r in results.values())
-    chosen = min((len(r[3]), list(FEATURE_SETS).index(name), name) for name, r in results.items() if r[0] <= sum(limit))[2]
-    _, config, _, features, parameters = results[chosen]
-    test = predict(development, known.where(F.col(fold) == "test"), key, features, label, parameters)
-    validation = [(name, r[1], round(r[0], 6), round(r[2], 6), len(r[3])) for name, r in results.items()]
-    return Run("trained", "", chosen, config, validation, test)
+    chosen = min((len(sets[name]), list(FEATURE_SETS).index(name), name) for name, r in results.items() if r[0] <= sum(limit))[2]
+    config = results[chosen][1]
+    of_config = dict(configurations)[config]
+    terms, intercept = fitted(gram.ALL, chosen, of_config)
+    test = gram.scored(known.where(F.col(fold) == "test").withColumn(fold, F.lit(gram.ALL)), key, features, label, fold, sides, [(gram.ALL, of_config["bins"], chosen, terms, intercept)]).select(key, label, "predicted")
+    validation = [(name, r[1], round(r[0], 6), round(r[2], 6), len(sets[name])) for name, r in results.items()]
+    run = Run("trained", "", chosen, config, validation, test, held_out, number)
+    if store:
+        _store(rows.sparkSession, f"{store}/{number}", run)
+    return run
+
+
+_MANIFEST = "run_id string, feature_set string, configuration string, validation array<struct<name:string,configuration:string,mean:double,spread:double,size:int>>"
+
+
+def _store(spark: SparkSession, path: str, run: Run) -> None:
+    run.test.write.mode("overwrite").parquet(f"{path}/test")
+    run.held_out.write.mode("overwrite").parquet(f"{path}/held_out")
+    spark.createDataFrame([(run.run_id, run.feature_set, run.configuration, run.validation)], _MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def _stored(spark: SparkSession, path: str, number: str) -> Run | None:
+    """The finished run at path; none where there is no manifest of its id."""
+    try:
+        told = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").where(F.col("run_id") == number).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if told is None:
+        return None
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Run("reused", "", told.feature_set, told.configuration, [tuple(v) for v in told.validation], read("test"), read("held_out"), number)
 
 
 def coverage_bin(share: Column, edges: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> Column:
