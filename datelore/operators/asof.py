@@ -15,46 +15,91 @@ def availability(fallback: bool) -> tuple[Column, Column]:
     return F.coalesce("publication_date", acquired), basis
 
 
-def candidates(rows: DataFrame, observations: DataFrame, registry_unit: str = "usd", fallback: bool = False) -> DataFrame:
-    """Every observation of a row's company with the first rule that rejects it (reason; null where eligible).
+def judged(observations: DataFrame, registry_unit: str = "usd", fallback: bool = False) -> DataFrame:
+    """observations with available, basis and the first rule that rejects them whatever the date: undated, unit, type (reason; null where they may be used once available).
 
-    rows holds company_cik and as_of. The tests run in order: undated, after the cutoff, unit, type; a null value has the right type, a
-    number that is not finite has not.
+    A null value has the right type, a number that is not finite has not.
     """
     date, basis = availability(fallback)
-    both = rows.join(observations.withColumns({"available": date, "basis": basis}), "company_cik")
     reason = (
-        F.when(F.col("available").isNull(), "undated").when(F.col("available") > F.col("as_of"), "after_cutoff")
-        .when(~F.col("unit").eqNullSafe(F.lit(registry_unit)), "unit_mismatch")
+        F.when(F.col("available").isNull(), "undated").when(~F.col("unit").eqNullSafe(F.lit(registry_unit)), "unit_mismatch")
         .when(F.isnan("value") | (F.abs("value") == float("inf")), "type_mismatch")
     )
-    return both.withColumn("reason", reason)
+    return observations.withColumns({"available": date, "basis": basis}).withColumn("reason", reason)
+
+
+def candidates(rows: DataFrame, observations: DataFrame, registry_unit: str = "usd", fallback: bool = False) -> DataFrame:
+    """Every observation of a row's company with the first rule that rejects it (reason; null where eligible): for reviews of what was rejected.
+
+    rows holds company_cik and as_of. The tests run in order: undated, after the cutoff, unit, type. known_as_of finds what was eligible without these pairs.
+    """
+    return _by_cutoff(rows, judged(observations, registry_unit, fallback))
+
+
+def _by_cutoff(rows: DataFrame, found: DataFrame) -> DataFrame:
+    both = rows.join(found, "company_cik")
+    first = F.col("reason").isin("unregistered", "undated")
+    return both.withColumn("reason", F.when(first, F.col("reason")).when(F.col("available") > F.col("as_of"), "after_cutoff").otherwise(F.col("reason")))
 
 
 #: Columns that hold the values of typed observations, and the data types of a registry that each is for.
 TYPED = {"value": ("number", "integer"), "flag": ("boolean",), "said": ("text",)}
 
 
-def typed_candidates(rows: DataFrame, observations: DataFrame, registry: DataFrame, fallback: bool = False) -> DataFrame:
-    """candidates() of observations with a value, a flag or a text (said), judged by a registry (feature_name, data_type, unit) of fixed size.
+def typed_judged(observations: DataFrame, registry: DataFrame, fallback: bool = False) -> DataFrame:
+    """judged() for observations with a value, a flag or a text (said), by a registry (feature_name, data_type, unit) of fixed size.
 
     The unit is the feature's own. A value of another type than the registry's, an integer with a fraction, a number that is
     not finite and a blank text are type mismatches; nothing is coerced. Features that the registry lacks are unregistered.
     """
     date, basis = availability(fallback)
     known = F.broadcast(registry.select("feature_name", "data_type", F.col("unit").alias("_unit"), F.lit(True).alias("_known")))
-    both = rows.join(observations.withColumns({"available": date, "basis": basis}), "company_cik").join(known, "feature_name", "left")
+    both = observations.withColumns({"available": date, "basis": basis}).join(known, "feature_name", "left")
     wrong = F.isnan("value") | (F.abs("value") == float("inf")) | ((F.col("data_type") == "integer") & (F.col("value") != F.floor("value"))) | (F.trim("said") == "")
     wrong = F.coalesce(wrong, F.lit(False))
     for column, kinds in TYPED.items():
         wrong = wrong | (F.col(column).isNotNull() & ~F.col("data_type").isin(*kinds))
     reason = (
-        F.when(F.col("_known").isNull(), "unregistered").when(F.col("available").isNull(), "undated").when(F.col("available") > F.col("as_of"), "after_cutoff")
+        F.when(F.col("_known").isNull(), "unregistered").when(F.col("available").isNull(), "undated")
         .when(~F.col("unit").eqNullSafe(F.col("_unit")), "unit_mismatch").when(wrong, "type_mismatch")
     )
     return both.withColumn("reason", reason).drop("_unit", "_known")
 
 
+def typed_candidates(rows: DataFrame, observations: DataFrame, registry: DataFrame, fallback: bool = False) -> DataFrame:
+    """candidates() by typed_judged()."""
+    return _by_cutoff(rows, typed_judged(observations, registry, fallback))
+
+
+def _carried(states: DataFrame, dates: DataFrame, keys: list[str], at: str, state: str) -> DataFrame:
+    """dates (keys, as_of) with the last state (keys, at, state) on or before each: a merge of both in the order of time, no pair of them is made."""
+    both = states.select(*keys, F.col(at).alias("as_of"), F.lit(0).alias("_kind"), state).unionByName(dates.select(*keys, "as_of", F.lit(1).alias("_kind")), allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys).orderBy("as_of", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(state, F.last(state, ignorenulls=True).over(so_far)).where("_kind = 1").drop("_kind")
+
+
+def known_as_of(rows: DataFrame, found: DataFrame, values: tuple[str, ...] = ("value",), keys: tuple[str, ...] = ("company_cik", "as_of")) -> DataFrame:
+    """What select_as_of selects, from rows (keys) and judged observations, without a row for each date and observation.
+
+    Observations that may be used become one state for each company, feature and date of availability (its latest year, torn where that holds two values, the row of
+    its largest document); a state holds until the next one. The work is linear in the observations, and in the dates of a company times its features.
+    """
+    kept = [c for c in found.columns if c not in ("company_cik", "reason")]
+    eligible = found.where("reason is null").withColumn("_year", F.coalesce("reporting_year", F.lit(0)))
+    torn = F.lit(False)
+    for v in values:
+        torn = torn | F.coalesce(F.min(v) != F.max(v), F.lit(False))
+    group = ["company_cik", "feature_name", "available"]
+    by_year = eligible.groupBy(*group, "_year").agg(F.max_by(F.struct(*kept), "document_id").alias("_row"), torn.alias("_torn"))
+    states = by_year.groupBy(*group).agg(F.max_by(F.struct("_row", "_torn"), "_year").alias("_state"))
+    dates = rows.select(*keys).distinct().join(states.select("company_cik", "feature_name").distinct(), "company_cik")
+    got = _carried(states, dates, ["company_cik", "feature_name"], "available", "_state").where("_state is not null")
+    told = got.select("company_cik", "as_of", "_state._torn", "_state._row.*")
+    empty = F.coalesce(*[F.col(v).cast("string") for v in values]).isNull()
+    status = F.when(F.col("_torn"), "conflicting").when(empty, "missing").otherwise("observed")
+    return told.withColumn("status", status).withColumns({v: F.when(~F.col("_torn"), F.col(v)) for v in values}).drop("_torn")
+
+
 def select_as_of(judged: DataFrame, keys: list[str], values: tuple[str, ...] = ("value",)) -> tuple[DataFrame, DataFrame]:
     """(selected, quarantined) of candidates; values are the columns that may hold a value.
 
@@ -80,12 +125,16 @@ def select_as_of(judged: DataFrame, keys: list[str], values: tuple[str, ...] = (
     return selected, quarantined
 
 
-def previous_scores(rows: DataFrame, published: DataFrame) -> DataFrame:
-    """rows with the last score of their company published on or before their as_of (null where there is none)."""
-    known = published.select("company_cik", F.col("published_date").alias("_published"), F.col("cycle").alias("_cycle"), F.col("score").alias("_score"))
-    before = rows.select("company_cik", "as_of").distinct().join(known, "company_cik").where("_published <= as_of")
-    last = before.groupBy("company_cik", "as_of").agg(F.max_by("_score", F.struct("_published", "_cycle", "_score")).alias("previous_score"))
-    return rows.join(last, ["company_cik", "as_of"], "left")
+def previous_scores(rows: DataFrame, published: DataFrame, keys: tuple[str, ...] = ("company_cik",), allowed: Column | None = None) -> DataFrame:
+    """rows with the last score of their company (keys) published on or before their as_of (null where there is none), among the published rows that are allowed.
+
+    Of scores of one day the one of the latest cycle counts, then the largest. Scores and dates are merged in the order of time.
+    """
+    known = published if allowed is None else published.where(allowed)
+    scores = known.where("published_date is not null").groupBy(*keys, "published_date").agg(F.max(F.struct("cycle", "score")).alias("_last"))
+    dates = rows.select(*keys, "as_of").distinct()
+    last = _carried(scores, dates, list(keys), "published_date", "_last").select(*keys, "as_of", F.col("_last.score").alias("previous_score"))
+    return rows.join(last, [*keys, "as_of"], "left")
 
 
 def ratio(numerator: str, denominator: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from datelore.operators import asof
+
 
 def expanding_folds(rows: DataFrame, n_folds: int) -> DataFrame:
     """(fold, role, company_cik, cycle, as_of): for each of the last n_folds cycles, rows of that cycle are held out, the last one as test, others for
@@ -42,6 +44,12 @@ def baselines(folds: DataFrame, by: str) -> DataFrame:
     return held.withColumn("group_median", F.coalesce("_own", "global_median")).drop("_own")
 
 
+def previous_score_baseline(folds: DataFrame) -> DataFrame:
+    """Held-out rows (fold, role, company_cik, cycle, as_of, published_date, score) with the last score of their company among their fold's training rows that was published by their date."""
+    train = folds.where("role = 'train'")
+    return asof.previous_scores(folds.where("role <> 'train'"), train, ("fold", "company_cik"))
+
+
 def errors(rows: DataFrame, by: list[str], actual: str, predicted: str) -> DataFrame:
     """Mean absolute error, root mean square error and the number of rows with both values."""
     gap = F.col(predicted) - F.col(actual)

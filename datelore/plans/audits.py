@@ -32,8 +32,7 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typed_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = asof.typed_candidates(views.label_rows(spark, sf_dir).select(*_KEYS), _typed(spark, sf_dir), _registry(spark))
-    selected, _ = asof.select_as_of(judged, _KEYS, tuple(asof.TYPED))
+    selected = asof.known_as_of(views.label_rows(spark, sf_dir), asof.typed_judged(_typed(spark, sf_dir), _registry(spark)), tuple(asof.TYPED))
     return selected.select(*_KEYS, "feature_name", "value", "flag", "said", "status", "available", "document_id")
 
 

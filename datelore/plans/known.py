@@ -12,27 +12,26 @@ FEATURES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _KEYS = ["company_cik", "as_of"]
 
 
-def _judged(spark: SparkSession, sf_dir: str, fallback: bool = False) -> DataFrame:
-    return asof.candidates(views.label_rows(spark, sf_dir).select(*_KEYS), views.observations(spark, sf_dir), "usd", fallback)
+def _known(spark: SparkSession, sf_dir: str, fallback: bool = False) -> DataFrame:
+    return asof.known_as_of(views.label_rows(spark, sf_dir), asof.judged(views.observations(spark, sf_dir), "usd", fallback))
 
 
 def known_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selected, _ = asof.select_as_of(_judged(spark, sf_dir), _KEYS)
-    return selected.select(*_KEYS, "feature_name", "value", "status", "available", "basis", "reporting_year", "document_id")
+    return _known(spark, sf_dir).select(*_KEYS, "feature_name", "value", "status", "available", "basis", "reporting_year", "document_id")
 
 
 def known_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selected, _ = asof.select_as_of(_judged(spark, sf_dir, fallback=True), _KEYS)
-    return selected.groupBy("as_of", "basis", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return _known(spark, sf_dir, fallback=True).groupBy("as_of", "basis", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rejected = asof.select_as_of(_judged(spark, sf_dir), _KEYS)
+    found = asof.candidates(views.label_rows(spark, sf_dir).select(*_KEYS), views.observations(spark, sf_dir))
+    _, rejected = asof.select_as_of(found, _KEYS)
     return rejected.groupBy("as_of", "feature_name", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("document_id").alias("first_document"))
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selected, _ = asof.select_as_of(_judged(spark, sf_dir), _KEYS)
+    selected = _known(spark, sf_dir)
     rows = views.label_rows(spark, sf_dir).select(*_KEYS, "cycle")
     matrix = coverage.wide(selected, _KEYS, FEATURES).withColumnsRenamed({f: f"f{f[0]}" for f in FEATURES})
     row_id = F.sha2(F.concat_ws("|", "company_cik", F.col("cycle").cast("string"), F.col("as_of").cast("string")), 256)
@@ -57,7 +56,7 @@ def previous_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selected, _ = asof.select_as_of(_judged(spark, sf_dir), _KEYS)
+    selected = _known(spark, sf_dir)
     found = asof.derived_ratios(selected, _KEYS, [("urgent_high", "1-URGENT", "2-HIGH"), ("low_medium", "5-LOW", "3-MEDIUM")])
     return found.select(*_KEYS, "feature_name", F.round("value", 6).alias("value"), "status", "reporting_year", "available", "basis")
 
