@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from datelore.llm.common import checkpointed, read_table
 
 #: A node of more members belongs to the trunk: so many, or a ten-thousandth of all turns where that is more, which leaves 10,000 such nodes at most.
-LIGHT_MEMBERS = 1000
+LIGHT_MEMBERS = 50
 #: Levels of a shard. Messages that a task holds in memory; ids of conversations that are joined at a time.
 SHARD_LEVELS, HELD_MESSAGES, HELD_IDS = 1024, 200_000, 4096
 _ROOT = bytes(16)
