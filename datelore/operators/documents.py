@@ -99,6 +99,14 @@ class _Lines(HTMLParser):
         self.lines += [text[k : k + LINE_CHARS] for k in range(0, len(text), LINE_CHARS)]
 
 
+def page_lines(html: str) -> list[str]:
+    """The visible text of one page in order."""
+    parser = _Lines()
+    parser.feed(html)
+    parser.close()
+    return parser.lines
+
+
 def html_to_lines(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, line_no, line): the visible text of each page in order. Scripts, styles and the head are left out; a null page has no lines."""
 
@@ -106,10 +114,7 @@ def html_to_lines(pages: DataFrame, key: str, html: str) -> DataFrame:
         for frame in frames:
             out = []
             for k, body in zip(frame[key], frame[html], strict=True):
-                parser = _Lines()
-                parser.feed(body or "")
-                parser.close()
-                out += [(k, n, line) for n, line in enumerate(parser.lines, 1)]
+                out += [(k, n, line) for n, line in enumerate(page_lines(body or ""), 1)]
             yield pd.DataFrame(out, columns=[key, "line_no", "line"])
 
     kind = pages.schema[key].dataType.simpleString()

@@ -64,6 +64,59 @@ def expiring(stream: DataFrame, key: str, time: str, until: str, status: str, de
     )
 
 
+def delays_marked(rows: DataFrame, time: str, recorded: str, delay: str) -> DataFrame:
+    """Rows (of a stream or a table) with day, the day of their event, by which they are stored, and is_late: recorded more than the delay after it. None is dropped."""
+    return rows.withColumns({"day": F.to_date(time), "is_late": F.coalesce(F.col(recorded) > F.col(time) + F.expr(f"INTERVAL {delay}"), F.lit(False))})
+
+
+def reviewed(stream: DataFrame, key: str, recorded: str, delay: str) -> DataFrame:
+    """Rows (key, status, reason, at): the standing of each document's review as reviews and stored contents arrive, and when it runs out.
+
+    stream holds reviews (status, valid_until, sha256) and stored contents (sha256, status null) by the time that they were recorded. One state for each key keeps the review, the
+    hash of what is stored, and one timer: a review holds (reason valid) while the stored content, if any is known, is the one that it was made of (else content_changed), until the
+    watermark passes its end (verification_expired). A row is given for each change of standing. Rows are taken in the order of their time within a batch.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    end_of = lambda t: int(pd.Timestamp(t).timestamp() * 1000)
+
+    def standing(status, until, of, stored, now) -> tuple[str, str]:
+        if status is None:
+            return "unknown", "not_reviewed"
+        if stored is not None and of != stored:
+            return "unknown", "content_changed"
+        return ("unknown", "verification_expired") if until <= now else (status, "valid")
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, until, of, stored, told = state.get if state.exists else (None, None, None, None, None)
+        out = []
+        if state.hasTimedOut:
+            now = standing(status, until, of, stored, until)
+            if told != now[1]:
+                out.append((group[0], *now, pd.Timestamp(until, unit="ms")))
+            state.update((status, until, of, stored, now[1]))
+        else:
+            for r in pd.concat(frames).sort_values(recorded).itertuples(index=False):
+                r = r._asdict()
+                if r["status"] is not None and r["status"] == r["status"]:
+                    status, until, of = r["status"], end_of(r["valid_until"]), r["sha256"]
+                else:
+                    stored = r["sha256"]
+                now = standing(status, until, of, stored, end_of(r[recorded]))
+                if told != now[1] or now[1] == "valid":
+                    out.append((group[0], *now, r[recorded]))
+                told = now[1]
+            state.update((status, until, of, stored, told))
+            if until is not None and told == "valid" and until > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(until)
+        if out:
+            yield pd.DataFrame(out, columns=[key, "status", "reason", "at"])
+
+    return (
+        stream.withWatermark(recorded, delay).groupBy(key)
+        .applyInPandasWithState(step, f"{key} {kind}, status string, reason string, at timestamp", "status string, until long, of string, stored string, told string", "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
 def enriched(stream: DataFrame, companies: DataFrame, key: str) -> DataFrame:
     """A stream with the columns of a static table; rows without a partner stay."""
     return stream.join(companies, key, "left")
