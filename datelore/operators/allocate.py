@@ -7,6 +7,8 @@ from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from datelore.plans.lineage import numbered
+
 
 def cap_cents(fund_cents: int, weight: float) -> int:
     """The cents that a weight of the fund allows, rounded down exactly."""
@@ -45,24 +47,27 @@ def greedy(rows: DataFrame, score: str, key: str, industry: str, fund_cents: int
 def equal(rows: DataFrame, score: str, key: str, industry: str, fund_cents: int, max_companies: int, company_weight: float, industry_weight: float) -> DataFrame:
     """Rows of the best equal allocation: over all shortlist sizes, the largest equal amount that the caps allow, and a residual cent each in order.
 
-    For a size the feasible amounts change only where floor(icap / amount) does, at floor(icap / c) for whole c, so testing those and the upper
-    bound finds the largest. A shortlist of size s takes, in order of score, at most floor(icap / amount) rows of an industry. The
-    best is the one that spends most, then the largest, then the one with the better ranks. All sizes are tried at once by a
-    join of sizes, breakpoints and the counts of industries; only the first max_companies rows of each industry can be chosen.
+    At an amount a shortlist takes, in order of score, at most floor(icap / amount) rows of an industry. So a size is feasible where the rows up to that place in their
+    industries are enough; how many there are up to each place is one prefix count, and the smallest place that is enough gives the largest amount. The
+    best size is the one that spends most, then the largest, then the one with the better ranks.
+    Only the first max_companies rows of each industry, and of these the first max_companies of each place, can be chosen: both are cut out by partial top-k,
+    so no task and no join sees more than max_companies squared rows. The driver sees a count for each place. rank is the place among the first.
     """
-    spark = rows.sparkSession
     cap, icap = cap_cents(fund_cents, company_weight), cap_cents(fund_cents, industry_weight)
     order = [F.col(score).desc(), F.col(key)]
     k = F.row_number().over(Window.partitionBy(industry).orderBy(*order))
-    near = rows.withColumn("_k", k).where(F.col("_k") <= max_companies)
-    near = near.withColumn("_rank", F.row_number().over(Window.partitionBy().orderBy(*order)))  # max_companies rows for each industry
-    counts = near.groupBy(industry).agg(F.max("_k").alias("_n"))
-    sizes = spark.range(1, max_companies + 1).select(F.col("id").alias("size"))
-    upper = F.least(F.floor(F.lit(fund_cents) / F.col("size")), F.lit(cap), F.lit(icap))
-    points = F.array_distinct(F.concat(F.array(upper), F.transform(F.sequence(F.lit(1), F.lit(max_companies)), lambda c: F.least(upper, F.floor(F.lit(icap) / c)))))
-    amounts = sizes.select("size", F.explode(points).alias("amount")).where("amount > 0").withColumn("room", F.floor(F.lit(icap) / F.col("amount")))
-    fits = amounts.join(counts, F.col("room") > 0).groupBy("size", "amount", "room").agg(F.sum(F.least("_n", "room")).alias("_can")).where("_can >= size")
-    best = fits.groupBy("size").agg(F.max(F.struct("amount", "room")).alias("b")).select("size", "b.*")
+    near = numbered(rows.withColumn("_k", k).where(F.col("_k") <= max_companies), order, "_rank")
+    counts = {r["_k"]: r["count"] for r in near.groupBy("_k").count().collect()}  # max_companies rows at most
+    amounts, enough, place = [], counts.get(1, 0), 1
+    for size in range(1, max_companies + 1):
+        while enough < size and place < max_companies:
+            place += 1
+            enough += counts.get(place, 0)
+        amount = min(fund_cents // size, cap, icap // place, icap)
+        if enough >= size and amount > 0:
+            amounts.append((size, amount, icap // amount))
+    best = rows.sparkSession.createDataFrame(amounts, "size long, amount long, room long")
+    near = near.withColumn("_place", F.row_number().over(Window.partitionBy("_k").orderBy("_rank"))).where(F.col("_place") <= max_companies).drop("_place")
     # The shortlist of each size, and its residual cents: row i of the list gets one if the caps leave room, while any are left.
     lists = near.join(F.broadcast(best), F.col("_k") <= F.col("room"))
     by_size = Window.partitionBy("size").orderBy("_rank")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+
+from datelore.plans.lineage import checkpointed
 
 LINE_CHARS = 4000
 _SKIPPED = {"script", "style", "noscript", "svg"}
@@ -121,26 +123,37 @@ def html_to_lines(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInPandas(parse, f"{key} {kind}, line_no int, line string")
 
 
-@F.udtf(returnType=StructType([StructField("pointer", StringType()), StructField("value", StringType())]))
-class JsonPointers:
-    """Rows (pointer, value) of the leaves of a JSON text, pointers as in RFC 6901. What is no JSON, or lies below max_depth, gives a row with a null value."""
+def json_leaves(rows: DataFrame, key: str, text: str, max_depth: int = 32, max_nodes: int = 100_000) -> DataFrame:
+    """(key, pointer, value, warning) of the leaves of the JSON texts of rows (key: unique, text), pointers as in RFC 6901, values as JSON.
 
-    def eval(self, text: str, max_depth: int):
-        try:
-            pending = [("", json.loads(text), 0)]
-        except (TypeError, ValueError):
-            yield "", None
-            return
-        while pending:
-            pointer, value, depth = pending.pop()
-            if isinstance(value, (dict, list)) and value:
-                if depth >= max_depth:
-                    yield pointer, None
-                    continue
-                items = value.items() if isinstance(value, dict) else enumerate(value)
-                pending += reversed([(f"{pointer}/{str(k).replace('~', '~0').replace('/', '~1')}", v, depth + 1) for k, v in items])
-            else:
-                yield pointer, json.dumps(value, ensure_ascii=False)
+    Variants are opened level by level, a join-free step of the engine for each; levels end when nothing is left to open. What is no JSON (or has a key twice) is a row of an
+    empty pointer and the warning no_json; what lies below max_depth, a row of its pointer and depth_limit; a text of more than max_nodes values is opened no further than the
+    level that passes them, and has one more row with node_limit. Keys come in the order of their names. A null text is no JSON.
+    """
+    shown = F.to_json("v")
+    opens = F.substring(shown, 1, 1).isin("{", "[") & ~shown.isin("{}", "[]")
+    level = rows.select(F.col(key).alias("_key"), F.lit("").alias("pointer"), F.try_parse_json(text).alias("v"))
+    none = F.lit(None).cast("string")
+    row = lambda df, value, warning: df.select(F.col("_key").alias(key), "pointer", value.alias("value"), warning.alias("warning"))
+    out = [row(level.where("v is null"), none, F.lit("no_json"))]
+    level = level.where("v is not null").select("_key", "pointer", shown.alias("value"), opens.alias("opens"), F.lit(1).cast("long").alias("nodes"))
+    for depth in range(max_depth + 1):
+        level = checkpointed(level)
+        out.append(row(level.where("not opens"), F.col("value"), none))
+        over = level.where(F.col("nodes") > max_nodes)
+        out.append(row(over.select("_key", F.lit("").alias("pointer")).distinct(), none, F.lit("node_limit")))
+        going = level.where(F.col("opens") & (F.col("nodes") <= max_nodes))
+        if depth == max_depth or not going.limit(1).count():
+            out.append(row(going, none, F.lit("depth_limit")))
+            break
+        inner = rows.sparkSession.tvf.variant_explode(F.col("_in").outer())
+        opened = going.select("_key", "pointer", "nodes", F.parse_json("value").alias("_in")).lateralJoin(inner).withColumnRenamed("value", "inner")
+        name = F.replace(F.replace(F.coalesce(F.col("key"), F.col("pos").cast("string")), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        told = opened.select("_key", F.concat("pointer", F.lit("/"), name).alias("pointer"), F.to_json("inner").alias("value"), "nodes")
+        first = F.substring("value", 1, 1).isin("{", "[") & ~F.col("value").isin("{}", "[]")
+        of_key = F.count(F.lit(1)).over(Window.partitionBy("_key"))
+        level = told.select("_key", "pointer", "value", first.alias("opens"), (F.col("nodes") + of_key).alias("nodes"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def search_lines(lines: DataFrame, key: str, terms: list[str], context: int) -> DataFrame:
@@ -157,7 +170,8 @@ def ground_quotes(docs: DataFrame, quotes: DataFrame, key: str, anchor_words: in
 
     The hash of a run of a quote's inner words, which are whole wherever it stands, is looked up among those of all runs of as many words of each text, an equi-join;
     only texts that hold the run are compared with the quote. The first and last word of a quote may be part of a longer one, so a run has up to anchor_words words,
-    fewer in a quote of less than anchor_words + 2. Quotes of one or two words, or of none, have no inner word and are compared with every text. Empty quotes are not grounded.
+    fewer in a quote of less than anchor_words + 2. Quotes of one or two words, or of none, have no inner word; their first four characters are looked up in the same way
+    among those of each text. Empty quotes are not grounded.
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     told = quotes.where("quote <> ''").select("quote_id", "quote", F.explode(F.array(words(F.col("quote")))).alias("_w"))
@@ -168,9 +182,13 @@ def ground_quotes(docs: DataFrame, quotes: DataFrame, key: str, anchor_words: in
     grams = F.flatten(F.transform("_sizes", lambda n: F.transform(starts(n), lambda p: F.xxhash64(F.slice("_w", p, n)))))
     runs = docs.select(key, F.explode(F.array(words(F.col("text")))).alias("_w")).crossJoin(F.broadcast(sizes)).select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
     near = runs.join(anchors, "_gram").select(key, "quote_id", "quote").join(docs.select(key, "text"), key)
-    short = told.where("size(_w) <= 2").select("quote_id", "quote")
-    held = F.col("text").contains(F.col("quote"))
-    found = near.where(held).unionByName(docs.select(key, "text").join(short, held).select(*near.columns))
+    short = told.where("size(_w) <= 2").select("quote_id", "quote", F.substring("quote", 1, 4).alias("_gram"))
+    lengths = short.agg(F.collect_set(F.length("_gram")).alias("_sizes"))  # one row of at most four numbers; none, and nothing is cut, without short quotes
+    cuts = lambda n: F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1)).otherwise(F.array().cast("array<int>"))
+    pieces = F.flatten(F.transform("_sizes", lambda n: F.array_distinct(F.transform(cuts(n), lambda p: F.substring(F.col("text"), p, n)))))
+    letters = docs.select(key, "text").crossJoin(F.broadcast(lengths)).select(key, F.explode(pieces).alias("_gram"))
+    by_letters = letters.join(short, "_gram").select(key, "quote_id", "quote").join(docs.select(key, "text"), key)
+    found = near.unionByName(by_letters).where(F.col("text").contains(F.col("quote")))
     return found.select(
         "quote_id", key, (F.instr("text", F.col("quote")) - 1).alias("start"),
         ((F.length("text") - F.length(F.replace("text", F.col("quote"), F.lit("")))) / F.length("quote")).cast("int").alias("n_places"),

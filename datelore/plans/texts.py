@@ -68,9 +68,7 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views.table(spark, sf_dir, "events").createOrReplaceTempView("_datelore_events")
-    spark.udtf.register("json_pointers", documents.JsonPointers)
-    return spark.sql("SELECT e.event_id, j.pointer, j.value FROM _datelore_events AS e, LATERAL json_pointers(e.props, 32) AS j")
+    return documents.json_leaves(views.table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "pointer", "value")
 
 
 def lines_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
