@@ -91,7 +91,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numeric = views.observations(spark, sf_dir).where("publication_date < '1996-01-01'")
+    numeric = views.observations(spark, sf_dir).withColumn("company_cik", F.when(F.col("publication_date") < "1996-01-01", F.col("company_cik")).otherwise(F.concat(F.lit("?"), "company_cik")))
     return audits.usable_labels(_labels(spark, sf_dir), views.companies(spark, sf_dir), numeric)[0]
 
 

@@ -89,7 +89,7 @@ def names_met(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rows_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"))
-    features = _orders(spark, sf_dir).where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("row_id"))
+    features = _orders(spark, sf_dir).select(F.col("o_custkey").alias("row_id"))
     return choices.aligned({"labels": label, "features": features, "metadata": views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"))}, "row_id")
 
 
@@ -197,7 +197,7 @@ ORACLE_SQL = {
     "c06_any_name_matched": """WITH n AS (SELECT p_partkey, p_name || ' ' || p_brand || CASE WHEN p_partkey % 7 = 0 THEN '?' ELSE '' END AS name FROM part UNION ALL SELECT p_partkey, p_name || ' ' || p_type || ' Brand#1' FROM part),
         c AS (SELECT DISTINCT p_name || ' ' || p_brand AS name, p_size FROM part), m AS (SELECT p_partkey, list(DISTINCT p_size) FILTER (p_size IS NOT NULL) AS ids FROM n LEFT JOIN c USING (name) GROUP BY 1)
         SELECT p_partkey, CASE WHEN len(ids) = 1 THEN ids[1] END AS provider_id, CASE WHEN len(ids) = 1 THEN 'matched' WHEN len(ids) > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status FROM m""",
-    "c16_rows_aligned": """WITH l AS (SELECT c_custkey AS row_id, count(*) AS n FROM customer GROUP BY 1), f AS (SELECT o_custkey AS row_id, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), m AS (SELECT s_suppkey AS row_id, count(*) AS n FROM supplier GROUP BY 1)
+    "c16_rows_aligned": """WITH l AS (SELECT c_custkey AS row_id, count(*) AS n FROM customer GROUP BY 1), f AS (SELECT o_custkey AS row_id, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT s_suppkey AS row_id, count(*) AS n FROM supplier GROUP BY 1)
         SELECT row_id, coalesce(l.n, 0) AS n_labels, coalesce(f.n, 0) AS n_features, coalesce(m.n, 0) AS n_metadata, coalesce(l.n = 1 AND f.n = 1 AND m.n = 1, false) AS is_aligned FROM l FULL JOIN f USING (row_id) FULL JOIN m USING (row_id)""",
     "c23_documents_visible": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) OR doc_id IN (SELECT p_partkey * 3 FROM part)",
     "c21_attachments": """WITH d AS (SELECT o_orderkey AS document_id, o_custkey % 50 AS c, o_orderpriority AS a, o_orderkey % 40 AS u FROM orders), l AS (SELECT o_orderkey AS w, o_custkey % 50 AS c, o_orderpriority AS a, o_orderkey * 7 % 90 AS u FROM orders)

@@ -90,8 +90,9 @@ def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    cik = F.when(k % 8 != 0, F.lpad(F.col("o_custkey").cast("string"), 10, "0")).otherwise(F.col("o_custkey").cast("string"))
-    return claims.scores_by_company(views.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(cik.alias("company_cik"), _one_of(k / 5, ["available", "ambiguous"]).alias("state"), F.col("o_totalprice").alias("score")), "company_cik")
+    own = (k + F.when(k % 3 == 0, 1).otherwise(0)).cast("string")
+    cik = F.when(k % 8 != 0, F.lpad(own, 10, "0")).otherwise(own)
+    return claims.scores_by_company(views.table(spark, sf_dir, "orders").select(cik.alias("company_cik"), _one_of((k / 5).cast("long"), ["available", "ambiguous"]).alias("state"), F.col("o_totalprice").alias("score")), "company_cik")
 
 
 QUERIES = {
@@ -129,6 +130,6 @@ ORACLE_SQL = {
         CASE WHEN k % 4 >= 2 THEN 'provider' END, CASE WHEN k % 7 = 0 OR k % 9 = 0 THEN 'evidence' END) AS issues FROM s""",
     "c29_newest_verified": """SELECT source, lang, doc_id AS document_id, sha256(text) AS sha256, CAST(strlen(text) AS INTEGER) AS n_bytes FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0 AND doc_id % 5 <> 0
         QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) = 1""",
-    "a15_scores_by_company": """WITH r AS (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS k, min(o_totalprice) AS v FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 8 <> 0 AND o_custkey IS NOT NULL GROUP BY 1)
-        SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS company_cik, CASE WHEN n > 1 THEN 'invalid' WHEN k // 5 % 2 = 0 THEN 'available' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 AND k // 5 % 2 = 0 THEN v END AS score FROM r""",
+    "a15_scores_by_company": """WITH r AS (SELECT o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS own, count(*) AS n, min(o_orderkey) AS k, min(o_totalprice) AS v FROM orders WHERE o_orderkey % 8 <> 0 GROUP BY 1)
+        SELECT lpad(CAST(own AS VARCHAR), 10, '0') AS company_cik, CASE WHEN n > 1 THEN 'invalid' WHEN k // 5 % 2 = 0 THEN 'available' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 AND k // 5 % 2 = 0 THEN v END AS score FROM r""",
 }

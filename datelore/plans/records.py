@@ -41,7 +41,7 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = views.table(spark, sf_dir, "orders")
-    return latest.current_flags(orders.where("o_orderdate < '1996-01-01'"), orders.where("o_orderdate >= '2001-01-01'"), "o_custkey")
+    return latest.current_flags(orders.where("o_orderdate < '1998-01-01'"), orders.where("o_orderdate >= '1998-01-01'"), "o_custkey")
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,14 +53,14 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def names_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = views.table(spark, sf_dir, "part")
     left = parts.select(F.col("p_partkey").alias("left_id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
-    right = parts.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("right_id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    right = parts.select(F.when(F.col("p_partkey") % 2 == 1, F.col("p_partkey")).otherwise(-F.col("p_partkey")).alias("right_id"), F.concat(F.when(F.col("p_partkey") % 2 == 1, "").otherwise("another "), F.concat_ws(" ", "p_name", "p_brand")).alias("name"))
     fixed = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("left_id"), F.expr("p_partkey + if(p_partkey % 100 = 0, 1, 2)").alias("right_id"))
     return matching.match_unique(left, right, "left_id", "right_id", "name", fixed)
 
 
 def classes_agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"))
-    return matching.agreed_class(lines, views.table(spark, sf_dir, "part").where("p_size > 10"), "l_orderkey", "p_partkey", "p_type")
+    return matching.agreed_class(lines, views.table(spark, sf_dir, "part").withColumn("p_partkey", F.when(F.col("p_size") > 10, F.col("p_partkey")).otherwise(-F.col("p_partkey"))), "l_orderkey", "p_partkey", "p_type")
 
 
 def universe_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +78,16 @@ def range_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def either_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = views.table(spark, sf_dir, "part")
     sources = parts.select(F.col("p_partkey").alias("source"), F.col("p_name").alias("url"), F.concat_ws("/", "p_name", "p_brand").alias("final_url"))
-    documents = parts.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("document_id"), F.col("p_size").alias("task"), F.concat_ws(" ", "p_name", "p_type").alias("url"), F.concat_ws("/", "p_name", "p_brand").alias("final_url"))
+    moved = F.when(F.col("p_partkey") % 3 == 0, "").otherwise("elsewhere/")
+    documents = parts.select(F.col("p_partkey").alias("document_id"), F.col("p_size").alias("task"), F.concat(moved, F.concat_ws(" ", "p_name", "p_type")).alias("url"), F.concat(moved, F.concat_ws("/", "p_name", "p_brand")).alias("final_url"))
     return matching.latest_by_either_key(sources, documents, "source", ["url", "final_url"], ["task"]).select("source", "document_id")
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     companies = views.companies(spark, sf_dir)
     asked = companies.select(F.when(F.col("sub_class") % 2 == 0, F.lower("ticker")).otherwise(F.col("company_cik")).alias("given"))
-    return matching.resolve(asked, companies.where("sub_class < 22"), "given", "company_cik", "ticker")
+    known = companies.withColumns({c: F.when(F.col("sub_class") < 22, F.col(c)).otherwise(F.concat(F.lit("?"), c)) for c in ("company_cik", "ticker")})
+    return matching.resolve(asked, known, "given", "company_cik", "ticker")
 
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +138,7 @@ ORACLE_SQL = {
         count(*) AS n, CAST(CASE WHEN max(value) - min(value) > 1e-5 THEN count(DISTINCT value) ELSE 0 END AS INTEGER) AS n_candidates FROM v_fact GROUP BY ALL""",
     "a20_upserted": "SELECT user_id, event_type, min(event_id) AS first_seen, max(event_id) AS last_seen, max_by(value, event_id) AS value FROM events GROUP BY ALL",
     "a23_membership": """SELECT coalesce(b, a) AS o_custkey, b IS NOT NULL AS is_current, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'dropped' ELSE 'kept' END AS change
-        FROM (SELECT DISTINCT o_custkey AS a FROM orders WHERE o_orderdate < DATE '1996-01-01') FULL JOIN (SELECT DISTINCT o_custkey AS b FROM orders WHERE o_orderdate >= DATE '2001-01-01') ON a = b""",
+        FROM (SELECT DISTINCT o_custkey AS a FROM orders WHERE o_orderdate < DATE '1998-01-01') FULL JOIN (SELECT DISTINCT o_custkey AS b FROM orders WHERE o_orderdate >= DATE '1998-01-01') ON a = b""",
     "d33_compared": _FACT + """, k AS (SELECT company, CAST(max(metric) AS DOUBLE) AS left_value FROM v_fact WHERE form = '10-K' GROUP BY 1), q AS (SELECT company, CAST(max(metric) AS DOUBLE) AS right_value FROM v_fact WHERE form = '10-Q' GROUP BY 1)
         SELECT company, left_value, right_value, CASE WHEN left_value IS NULL THEN 'only_right' WHEN right_value IS NULL THEN 'only_left' ELSE 'different' END AS issue FROM k FULL JOIN q USING (company)
         WHERE left_value IS NULL OR right_value IS NULL OR abs(left_value - right_value) > 1""",

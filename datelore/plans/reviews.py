@@ -124,7 +124,7 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("target_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("wording"))
-    found = reviews.targets_grouped(views.table(spark, sf_dir, "customer").where("c_acctbal > 0"), rows, "c_custkey")
+    found = reviews.targets_grouped(views.table(spark, sf_dir, "customer").withColumn("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey"))), rows, "c_custkey")
     return found.withColumn("targets", F.array_join(F.transform("targets", lambda t: F.concat_ws("/", t.target_id.cast("string"), t.status, t.wording)), ","))
 
 
