@@ -109,11 +109,12 @@ def company_profiles(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
     scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*\btype\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script"), F.lit(1))
     read = F.transform(scripts, lambda s: F.struct(F.get_json_object(s, "$['@type']").alias("kind"), F.get_json_object(s, "$.name").alias("name"), F.get_json_object(s, "$.url").alias("url")))
     of = F.get(F.filter(read, lambda r: r.kind == "Corporation"), F.lit(0))
-    ticker = F.nullif(F.trim(F.regexp_extract(html, r"(?is)<span[^>]*\bclass\s*=\s*[\"'][^\"']*\bticker_name\b[^\"']*[\"'][^>]*>([^<]*)", 1)), F.lit(""))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    ticker = F.nullif(bare(F.regexp_extract(html, r"(?is)<span[^>]*\bclass\s*=\s*[\"'][^\"']*\bticker_name\b[^\"']*[\"'][^>]*>([^<]*)", 1)), F.lit(""))
     told = pages.select(*keys, of.alias("_of"), ticker.alias("ticker"))
     issue = F.when(F.col("_of").isNull(), "no_profile").when(F.col("ticker").isNull(), "no_ticker").when(F.coalesce("_of.url", F.lit("")) == "", "no_url").when(~public_url(F.col("_of.url")), "private_url")
     ok = issue.isNull()
-    return told.select(*keys, F.when(ok, F.col("ticker")).alias("ticker"), F.when(ok, F.trim(F.coalesce("_of.name", F.lit("")))).alias("name"), F.when(ok, F.col("_of.url")).alias("official_url"), issue.alias("issue"))
+    return told.select(*keys, F.when(ok, F.col("ticker")).alias("ticker"), F.when(ok, bare(F.coalesce("_of.name", F.lit("")))).alias("name"), F.when(ok, F.col("_of.url")).alias("official_url"), issue.alias("issue"))
 
 
 def score_export(documents: DataFrame, keys: list[str], body: str, verified: DataFrame) -> tuple[DataFrame, DataFrame]:
