@@ -104,6 +104,14 @@ QUERIES = {
 
 _L = views.with_views("v_lines")
 ORACLE_SQL = {
+    "h08_numbers_parsed": """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 3 WHEN 0 THEN l_extendedprice WHEN 1 THEN CAST(format('{:.1f}', l_extendedprice) AS DOUBLE) END AS number
+        FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_extendedprice, l_partkey FROM lineitem)""",
+    "h21_urls_public": r"""WITH p AS (SELECT page_id, url, lower(split_part(url, '://', 1)) AS s, regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#\\]*') AS a FROM pages),
+        h AS (SELECT *, lower(split_part(a, ':', 1)) AS h, substr(a, length(split_part(a, ':', 1)) + 1) AS port FROM p), o AS (SELECT *, CASE WHEN regexp_full_match(h, '([0-9]{1,3}\.){3}[0-9]{1,3}') THEN list_transform(string_split(h, '.'), lambda x: CAST(x AS INTEGER)) END AS o FROM h)
+        SELECT page_id, coalesce(contains(url, '://') AND s IN ('http', 'https') AND length(url) <= 2048 AND NOT contains(a, '@') AND (port IN ('', ':') OR s = 'http' AND port = ':80' OR s = 'https' AND port = ':443')
+            AND CASE WHEN o IS NOT NULL AND list_max(o) <= 255 THEN NOT (o[1] IN (0, 10, 127) OR o[1] >= 224 OR o[1] = 169 AND o[2] = 254 OR o[1] = 172 AND o[2] BETWEEN 16 AND 31 OR o[1] = 192 AND o[2] = 168 OR o[1] = 100 AND o[2] BETWEEN 64 AND 127)
+            ELSE contains(h, '.') AND NOT ends_with(h, '.local') AND NOT ends_with(h, '.localhost') END, false) AS is_public,
+            CAST(list_max(list_filter(list_transform(regexp_extract_all(url, '[0-9]+'), lambda x: CASE WHEN length(x) = 4 THEN CAST(x AS INTEGER) END), lambda y: y BETWEEN 1990 AND 2049)) AS INTEGER) AS last_year FROM o""",
     "h06_units_converted": """WITH r AS (SELECT l_returnflag, l_quantity AS v, l_partkey % 5 AS u FROM lineitem)
         SELECT l_returnflag, ['GWh', 'kWh', 'gigajoules', 'Mt', 'barrels'][u + 1] AS unit, count(CASE WHEN u < 3 THEN v END) AS n,
         round(sum(CASE u WHEN 0 THEN v * 1e3 WHEN 1 THEN v * 1e-3 WHEN 2 THEN v / 3.6 END), 4) AS total FROM r GROUP BY ALL""",
