@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from datelore.plans import audits, catalogs, choices, claims, decide, endpoints, evidence, fits, flows, known, landings, proofs, records, reviews, texts, wordings
+from datelore.plans import audits, catalogs, choices, claims, decide, endpoints, evidence, fits, flows, known, landings, proofs, records, registers, reviews, texts, wordings
 from datelore.plans.views import plain
 
-_MODULES = (known, records, decide, catalogs, audits, proofs, choices, reviews, claims, endpoints, evidence, texts, wordings, flows, fits, landings)
+_MODULES = (known, records, decide, catalogs, audits, proofs, choices, reviews, claims, endpoints, evidence, texts, wordings, flows, fits, landings, registers)
 
 
 def _plain(query):
