@@ -16,6 +16,7 @@ EXPORT = ("provider", "license_reference", "fetched_at", "rows")
 YEARS = (1999, 2100)
 #: What a page's scripts hold where downloads are listed by a widget, and the kinds of assets that matter.
 WIDGET_SCRIPTS = ("widgets.q4app.com", "q4.api.js", "q4.api.min.js", "q4-api.js", "q4_api.js", "q4api.js", "q4api.min.js")
+WIDGET_YEARS = (2010, 2039)
 ASSETS = ("sustainab", "responsib", "environment", "climate", "human rights", "social", "workforce", "employee", "people", "diversity", "impact")
 
 
@@ -87,16 +88,22 @@ def download_widgets(pages: DataFrame, keys: list[str], html: str, url: str) ->
     has = F.lit(False)
     for script in WIDGET_SCRIPTS:
         has = has | F.contains(small, F.lit(script))
-    calls = F.slice(F.split(html, r"\.downloads\s*\(\s*\{"), F.lit(2), F.lit(1_000_000))
+    # a call is what follows the widget's name up to the first brace and bracket that end it; its options are pairs between commas outside of quotes
+    follows = F.transform(F.split(F.regexp_replace(html, r"\}\s+\)", "})"), "[.]downloads"), lambda part: F.ltrim(F.translate(part, "\r\n\t", "   ")))
+    inner = F.transform(F.slice(follows, F.lit(2), F.lit(1_000_000)), lambda x: F.when(F.startswith(x, F.lit("(")) & F.contains(x, F.lit("})")), F.ltrim(F.substring_index(F.substr(x, F.lit(2)), "})", 1))))
+    calls = F.transform(F.filter(inner, lambda x: F.startswith(x, F.lit("{"))), lambda x: F.substr(x, F.lit(2)))
     told = pages.where(has & public_url(F.col(url))).select(*keys, F.regexp_extract(url, "^[^/]*//[^/?#]*", 0).alias("origin"), F.posexplode(calls).alias("_n", "_call"))
-    told = told.where(F.col("_call").rlike(r"\}\s*\)")).withColumn("_options", F.split("_call", r"\}\s*\)", 2)[0])
-    named = told.withColumn("asset_type", F.trim(F.regexp_extract("_options", r"(?i)downloadType\s*:\s*(['\"])([^'\"]+)\1", 2)))
+    pairs = F.transform(F.split("_call", ",(?=(?:[^'\"]*['\"][^'\"]*['\"])*[^'\"]*$)"), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.substring_index(x, ":", -1)).alias("value")))
+    option = lambda key: F.get(F.filter(pairs, lambda p: p.key == key), F.lit(0)).value
+    kind, quoted = option("downloadtype"), F.lit("'\"")
+    is_quoted = F.contains(quoted, F.substring(kind, 1, 1)) & (F.substring(kind, 1, 1) == F.right(kind, F.lit(1))) & (F.length(kind) > 2)
+    named = told.withColumn("asset_type", F.coalesce(F.when(is_quoted, F.trim(F.substring(kind, F.lit(2), F.length(kind) - 2))), F.lit("")))
     plain = F.regexp_replace(F.lower("asset_type"), r"[\s_-]+", " ")
     relevant = F.concat(F.lit(" "), F.regexp_replace(plain, "[^a-z0-9]", " "), F.lit(" ")).contains(" esg ")
     for word in ASSETS:
         relevant = relevant | F.contains(plain, F.lit(word)) | F.contains(F.replace(plain, F.lit(" ")), F.lit(word.replace(" ", "")))
-    year = F.regexp_extract("_options", r"minYear\s*:\s*(20[1-3][0-9])", 1).try_cast("int")
-    found = named.where(relevant & (F.col("asset_type") != "")).withColumns({"all_years": F.col("_options").rlike(r"(?i)fetchAllYears\s*:\s*true"), "min_year": year, "_kind": F.lower("asset_type")})
+    year = option("minyear").try_cast("int")
+    found = named.where(relevant & (F.col("asset_type") != "")).withColumns({"all_years": F.coalesce(F.lower(option("fetchallyears")) == "true", F.lit(False)), "min_year": F.when(year.between(*WIDGET_YEARS), year), "_kind": F.lower("asset_type")})
     first = found.groupBy(*keys, "_kind").agg(F.min_by(F.struct("asset_type", "all_years", "min_year", "origin"), "_n").alias("w"))
     return first.select(*keys, "w.*")
 
