@@ -13,7 +13,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from datelore.llm import language, packing, prefixes, shards, spelling, vectors
+import corpus_pipeline
+from datelore.llm import components, decontaminate, jaccard, language, licenses, packing, prefixes, shards, spelling, vectors
 from tests.compare import rows
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -256,6 +257,29 @@ def test_queue_spills_and_keeps_order():
     assert len(queue) == 0
 
 
+# components
+
+
+@pytest.mark.parametrize("bound", [1, 3, 1000])
+def test_components_with_hot_nodes(spark, monkeypatch, bound):
+    monkeypatch.setattr(components, "NODE_EDGES", bound)
+    rng = random.Random(bound)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(500, k) for k in range(400, 460)] + [(k, 999) for k in range(600, 660)] + [(k, k + 1) for k in range(700, 740)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            u, v = find(a), find(b)
+            parent[max(u, v)] = min(u, v)
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in list(parent)}
+
+
 # labels of op1, sample of op4, curve of op3
 
 
@@ -306,3 +330,44 @@ def test_trie_of_all_conversations(spark, sf_dir):
     got = prefixes.QUERIES["op13_prefix_trie"](spark, sf_dir).toPandas()
     want = trie_by_rule(rebuilt_by_rule(turns[["conv_id", "turn", "role", "text"]].itertuples(index=False, name=None)))
     assert rows(got) == rows(pd.DataFrame(want, columns=["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]))
+
+
+# very long texts, and rows that repeat an id
+
+
+LONG = " ".join(f"w{k % 9973}x{k % 7}" for k in range(150_000))
+
+
+def test_contamination_at_the_end_of_a_long_text(spark):
+    item = " ".join(f"test{k}" for k in range(20))
+    frame = spark.createDataFrame([(1, f"{LONG} {item.upper()}"), (2, LONG), (3, f"{item} {LONG} {item[: item.index('test13')]}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids)) for r in decontaminate.mark_contamination(frame, bench).collect()}
+    assert got == {1: (150_020, 20, ["7"]), 2: (150_000, 0, []), 3: (150_033, 33, ["7"])}
+
+
+def test_license_at_the_end_of_a_long_text(spark):
+    notice = licenses.TEMPLATES[1][1]
+    frame = spark.createDataFrame([(1, f"{LONG} {notice}"), (2, LONG)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame, licenses.template_table(spark)).collect()}
+    assert [s.label for s in got[1].spans] == ["mit"] and got[1].spans[0].first >= 150_000 - 5 and got[2].spans == []
+
+
+def test_near_copies_of_a_long_text(spark):
+    words = LONG.split()
+    near = " ".join(w if k % 60 else "other" for k, w in enumerate(words))  # a shingle in twelve is another
+    far = " ".join(w if k % 10 else "other" for k, w in enumerate(words))
+    frame = spark.createDataFrame([(1, LONG), (2, near), (3, far), (4, LONG.upper())], "doc_id long, text string")
+    got = {r.doc_id: (r.n_links, r.component_id, r.kept) for r in jaccard.near_documents(frame).collect()}
+    a, b, c = (frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (words, near.split(), far.split()))
+    assert len(a & b) / len(a | b) >= 0.8 > len(a & c) / len(a | c) and len(b & c) / len(b | c) < 0.8
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (1, 1, False)}
+
+
+def test_one_defined_row_of_an_id_and_set_stays(spark):
+    rows_ = [(1, "one two three four five six", "en", "a"), (1, "one two three four five six", "de", "b"), (1, "ONE two three four five six", "aa", "c"), (2, "x", "en", "a")]
+    kept = set()
+    for order in (rows_, rows_[::-1], rows_[1:] + rows_[:1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, lang string, source string").repartition(3)
+        kept.add(tuple(sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, frame, "").collect()))))
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
