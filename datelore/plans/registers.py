@@ -96,6 +96,12 @@ def split_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "industry string, mode string, mode_of_two string")
 
 
+def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in five folds by customer, which is never in two of them."""
+    rows = views.table(spark, sf_dir, "orders").where("o_custkey is not null").select("o_orderkey", "o_custkey")
+    return splits.group_folds_by_size(rows, "o_custkey", 5).select("o_orderkey", "fold")
+
+
 def run_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader of a run over all observations has to know."""
     rows = views.observations(spark, sf_dir).select(F.when(F.col("publication_date").isNull(), "public_document_acquisition_date").otherwise("publisher_publication_date").alias("basis"), F.col("value").alias("label"), F.col("reporting_year").alias("cycle"))
@@ -104,7 +110,7 @@ def run_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "b01_written_ids": written_ids, "h23_zoned_times": written_times, "h11_numbers_of_rows": numbers_of_rows, "a12_formats": formats, "b18_statuses": statuses, "c22_missing_manifest": missing_manifest, "a21_document_versions": document_versions,
-    "e03_distinct_metrics": distinct_metrics, "d23_fold_errors": fold_errors, "d17_simplest_set": simplest_set, "d43_split_modes": split_modes, "k15_run_limits": run_limits,
+    "e03_distinct_metrics": distinct_metrics, "d23_fold_errors": fold_errors, "d17_simplest_set": simplest_set, "d43_split_modes": split_modes, "k15_run_limits": run_limits, "e19_group_folds": group_folds,
 }
 
 _FOLDS = """f AS (SELECT c_mktsegment, o_custkey % 5 AS fold, avg(o_totalprice) AS mae FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
@@ -129,5 +135,6 @@ ORACLE_SQL = {
     "d23_fold_errors": f"WITH {_FOLDS} SELECT * FROM m",
     "d17_simplest_set": f"WITH {_FOLDS}, b AS (SELECT mean + standard_error AS most FROM m ORDER BY mean, length(c_mktsegment), c_mktsegment LIMIT 1) SELECT c_mktsegment AS name, mean, CAST(length(c_mktsegment) AS INTEGER) AS size FROM m, b WHERE mean <= most ORDER BY size, mean, name LIMIT 1",
     "d43_split_modes": "SELECT DISTINCT c_mktsegment AS industry, 'historical' AS mode, 'snapshot' AS mode_of_two FROM customer",
+    "e19_group_folds": "SELECT o_orderkey, CAST(CAST('0x' || left(md5(CAST(o_custkey AS VARCHAR)), 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM orders WHERE o_custkey IS NOT NULL",
     "k15_run_limits": views.with_views("v_observation") + " SELECT bool_or(publication_date IS NULL) AS uses_acquisition_dates, bool_or(value IS NULL) AS has_unlabelled_rows, count(DISTINCT reporting_year) AS n_cycles FROM v_observation",
 }
