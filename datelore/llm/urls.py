@@ -59,25 +59,27 @@ def _tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), F.array(F.lit(""))))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", few_rules: bool = False) -> DataFrame:
     """pages with host, path, rule and verdict.
 
     The longest host rule that fits decides, rule names it; where none fits rule is null, and a pattern rule that
     fits decides (block before allow), or else default. Equal urls are judged once. Null urls, and such without
     "://", have an empty host and path and get what fits the empty string. Columns of pages that bear a new name are
-    replaced; an empty table gives no rows.
+    replaced; an empty table gives no rows. few_rules says that the rules are a short list: they then go to the urls' tokens, and a
+    token that most urls hold is met where it lies; without it the planner decides by size.
     """
+    told = F.broadcast if few_rules else lambda df: df
     host, path = split_url(url_col)
     pages = pages.drop("host", "path", "rule", "verdict", "_key").withColumns({"host": host, "path": path}).withColumn("_key", F.concat("host", "path"))
     urls = pages.select("_key").distinct()
     tokens = urls.select("_key", F.explode(_tokens(F.col("_key"))).alias("token"))
 
     named = rules.select("rule_id", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
-    counts = tokens.join(named.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens.join(told(named.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = named.join(counts, "token", "left").groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
     index = rarest.select("rule_id", F.col("least.token").alias("token")).join(rules.drop("tokens"), "rule_id")
 
-    fits = tokens.join(index, "token").where(F.expr("rlike(_key, pattern)"))
+    fits = tokens.join(told(index), "token").where(F.expr("rlike(_key, pattern)"))
     best = fits.groupBy("_key").agg(
         F.max(F.when(F.col("kind") == "host", F.struct(F.length("rule").alias("n"), "rule", F.col("verdict")))).alias("by_host"),
         F.max(F.when(F.col("kind") == "pattern", F.col("verdict"))).alias("by_pattern"),
@@ -91,7 +93,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url, judged."""
-    return judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark), few_rules=True).select("page_id", "host", "path", "rule", "verdict")
 
 
 _OP2_SQL = r"""
