@@ -76,9 +76,9 @@ def _text_cuts(df: DataFrame, name: str, cells: int) -> list[str]:
     return sorted((r.v for r in found), key=str.encode)[1:]
 
 
-def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
-    """Each dimension as an integer below 2**bits: the number of cuts below the value, spread evenly over the cells where a dimension has
-    fewer cuts than these, so that few values (as of a language) differ in the highest bits, which the curve follows first; null is 0.
+def quantised(df: DataFrame, dims: list[str], bits: int, spread: bool = False) -> list[Column]:
+    """Each dimension as an integer below 2**bits: the number of cuts below the value; null is 0. With spread, the numbers are spread evenly over the
+    cells where a dimension has fewer cuts than these, so that few values (as of a language) differ in the highest bits, which the curve follows first.
 
     The cuts (2**bits - 1 values at most for each dimension) are quantiles of all rows: of numbers and times from one pass by mergeable
     sketches, of other types from the sorted different values of their whole text.
@@ -94,7 +94,8 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
             above = [F.when(numbers[d] > F.lit(e), 1).otherwise(0) for e in sorted(set(of_number[d] or []))]
         else:
             above = [F.when(F.col(d).cast("string") >= F.lit(e), 1).otherwise(0) for e in _text_cuts(df, d, cells)]
-        out.append(F.floor(F.coalesce(sum(above, F.lit(0)), F.lit(0)) * cells / (len(above) + 1)).cast("int"))
+        cell = F.coalesce(sum(above, F.lit(0)), F.lit(0))
+        out.append((F.floor(cell * cells / (len(above) + 1)) if spread else cell).cast("int"))
     return out
 
 
@@ -113,7 +114,7 @@ def hilbert_shards(rows: DataFrame, dims: list[str], ties: list[str], shards: in
     def index_of(cells: pd.DataFrame) -> pd.Series:
         return pd.Series(curve_index([cells[c].to_numpy() for c in cells], bits))
 
-    cells = quantised(rows, dims, bits)
+    cells = quantised(rows, dims, bits, spread=True)
     keyed = rows.withColumn("curve", index_of(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(cells)])))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = checkpointed(
