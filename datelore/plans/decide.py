@@ -97,7 +97,15 @@ def _percentile(column: str, name: str, up: bool, of: str) -> str:
     return f"p_{name} AS (SELECT company_cik, CASE WHEN count(*) OVER () = 1 THEN 1.0 ELSE {middle if up else '1 - ' + middle} END AS p_{name} FROM {of} WHERE {column} IS NOT NULL)"
 
 
+#: crc32 of a company's id, digit by digit.
+_CRC = """, crc_table AS (SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)), crc AS (SELECT list(v ORDER BY i) AS t FROM crc_table),
+        h AS (SELECT company_cik, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(company_cik, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS crc FROM v_financials, crc)"""
+
 ORACLE_SQL = {
+    "e14_greedy_allocation": _F + _CRC + """, e AS (SELECT company_cik, industry, round(balance / 100, 4) AS s FROM v_financials JOIN h USING (company_cik) WHERE units IS NOT NULL AND crc % 100 >= 10),
+        k AS (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY s DESC, company_cik) AS k FROM e), w AS (SELECT *, least(700000000, 1200000000 - (k - 1) * 700000000) AS want FROM k WHERE k <= 2 ORDER BY s DESC, company_cik LIMIT 25),
+        r AS (SELECT *, row_number() OVER (ORDER BY s DESC, company_cik) AS rank, coalesce(sum(want) OVER (ORDER BY s DESC, company_cik ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
+        SELECT company_cik, industry, CAST(rank AS INTEGER) AS rank, CAST(least(want, 10000000007 - before) AS BIGINT) AS amount_cents FROM r WHERE before < 10000000007""",
     "e10_rank": _F + " SELECT company_cik, balance, row_number() OVER (ORDER BY balance DESC, company_cik) AS rank FROM v_financials",
     "e11_rank_changes": _F + """ SELECT company_cik, balance, revenue, a AS rank_before, b AS rank_after, a - b AS rank_change FROM (SELECT *, row_number() OVER (ORDER BY balance DESC NULLS LAST, company_cik) AS a,
         row_number() OVER (ORDER BY revenue DESC NULLS LAST, company_cik) AS b FROM v_financials)""",
