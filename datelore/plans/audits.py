@@ -19,12 +19,12 @@ def _registry(spark: SparkSession) -> DataFrame:
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as typed observations: the priority decides the type, and one order in 53 has a value of the wrong one."""
+    """Orders as typed observations: the priority decides the type, and one order in 53 has a value of the wrong one (for an integer one that is never whole)."""
     day, f, k = F.col("o_orderdate").cast("date"), F.col("o_orderpriority"), F.col("o_orderkey")
     odd = k % 53 == 0
     return views.table(spark, sf_dir, "orders").select(
         F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("company_cik"), f.alias("feature_name"),
-        F.when(f.isin("1-URGENT", "5-LOW") & ~odd, F.col("o_totalprice")).when((f == "2-HIGH") & ~odd, (k % 40).cast("double")).when(odd & (f != "1-URGENT"), F.col("o_totalprice") + 0.5).alias("value"),
+        F.when(f.isin("1-URGENT", "5-LOW") & ~odd, F.col("o_totalprice")).when((f == "2-HIGH") & ~odd, (k % 40).cast("double")).when(odd & (f == "2-HIGH"), F.floor("o_totalprice") + 0.5).when(odd & (f != "1-URGENT"), F.col("o_totalprice") + 0.5).alias("value"),
         F.when((f == "3-MEDIUM") & ~odd, k % 2 == 0).when(odd & (f == "1-URGENT"), F.lit(True)).alias("flag"), F.when((f == "4-NOT SPECIFIED") & ~odd, F.when(k % 31 == 0, " ").otherwise(F.col("o_orderstatus"))).alias("said"),
         F.when(f.isin("1-URGENT", "5-LOW"), F.when(k % 97 == 0, "eur").otherwise("usd")).when(f == "2-HIGH", "count").alias("unit"), (F.year(day) - 1).alias("reporting_year"),
         F.when(F.col("o_orderstatus") != "P", F.trunc(day, "year")).alias("publication_date"), F.lit(None).cast("date").alias("acquired_date"), k.alias("document_id"),
