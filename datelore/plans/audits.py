@@ -136,9 +136,14 @@ def first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ids_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order asks for its customer, one in 19 for one that is not there; the order of the requests is kept as a column."""
-    asked = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("position"), F.when(F.col("o_orderkey") % 19 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("c_custkey"))
-    return audits.requested_rows(asked, views.table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    """Every order asks for its customer, one in 19 for one that is not there; the order of the requests is kept as a column.
+
+    Ids are asked for as they are written: "-0" is no customer's, while the number -0 would be that of customer 0.
+    """
+    key = F.col("o_custkey").cast("string")
+    asked = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("position"), F.when(F.col("o_orderkey") % 19 == 0, F.concat(F.lit("-"), key)).otherwise(key).alias("c_custkey"))
+    customers = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name")
+    return audits.requested_rows(asked, customers, "c_custkey").withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
 
 
 def scenario_values(spark: SparkSession, sf_dir: str) -> DataFrame:
