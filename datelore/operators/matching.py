@@ -49,12 +49,17 @@ def meets_all(long: DataFrame, key: str, ranges: list[tuple[str, float, float]])
 
 
 def latest_by_either_key(sources: DataFrame, documents: DataFrame, key: str, keys: list[str], order: list[str]) -> DataFrame:
-    """sources with the newest document that any of several keys joins: a union of equi-joins, where an OR would compare all with all."""
+    """sources with the newest document that any of several keys joins: a union of equi-joins, where an OR would compare all with all.
+
+    Each key's newest document is found before it is joined, so a key of many sources and documents makes one row for each source, no pair of both.
+    """
+    newest = F.struct(*order, "document_id")
     joined = None
     for k in keys:
-        one = sources.select(F.col(key).alias("_source"), F.col(k).alias("_key")).join(documents.withColumnRenamed(k, "_doc_key"), F.col("_key") == F.col("_doc_key")).select("_source", *[F.col(o) for o in order], "document_id")
+        of_key = documents.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_doc_key")).agg(F.max(newest).alias("_newest"))
+        one = sources.select(F.col(key).alias("_source"), F.col(k).alias("_key")).join(of_key, F.col("_key") == F.col("_doc_key")).select("_source", "_newest")
         joined = one if joined is None else joined.unionByName(one)
-    last = joined.groupBy("_source").agg(F.max_by("document_id", F.struct(*order, "document_id")).alias("document_id"))
+    last = joined.groupBy("_source").agg(F.max("_newest").alias("_newest")).select("_source", "_newest.document_id")
     return sources.join(last, F.col(key) == F.col("_source"), "left").drop("_source")
 
 
