@@ -63,29 +63,21 @@ def whole_id(value: Column) -> Column:
     return F.coalesce(F.when(number.isNotNull(), whole).otherwise(text), F.lit(""))
 
 
-def _only(text: Column, allowed: str) -> Column:
-    """Whether a text has characters, and none but those allowed."""
-    return (text != "") & (F.translate(text, allowed, "") == "")
+_DIGIT, _SIGNS = "[0-9] *", " ,$€£¥"
+#: A token's amount (a currency sign, a minus, digits in one run or in groups of three, a fraction; blanks count nowhere), then its unit: a percent sign, or words, before which one dash may stand.
+_REPORTED = (
+    rf"^([$€£¥]? *-? *(?:(?:{_DIGIT})+|(?:{_DIGIT}){{1,3}}(?:, *(?:{_DIGIT}){{3}})+)(?:\. *(?:{_DIGIT})+)?)"
+    r"(?:%|[-–—]?[A-Za-z][A-Za-z\u212a ._/-]*)?\z"
+)
 
 
 def reported_number(raw: Column) -> Column:
     """The number of one copied token: a currency sign before and a unit after are allowed, digit groups must be of three; else null.
 
-    The token is cut where its unit begins, at the first letter or percent sign; what is left is a sign, groups of digits, and a fraction.
+    The token's unit begins at its first letter or percent sign; what is before is a sign, groups of digits, and a fraction. One pattern reads it all.
     """
     token = F.trim(F.translate(raw, "\t\n\r\u00a0", "    "))
-    amount = F.regexp_extract(token, "^[^A-Za-z%]*", 0)
-    unit = F.substr(token, F.length(amount) + 1)
-    amount = F.translate(F.when(unit.rlike("^[A-Za-z]"), F.rtrim(F.regexp_replace(amount, "[-–—]$", ""))).otherwise(amount), " ", "")
-    amount = F.when(F.substring(amount, 1, 1).isin("$", "€", "£", "¥"), F.substr(amount, F.lit(2))).otherwise(amount)
-    size = F.when(F.startswith(amount, F.lit("-")), F.substr(amount, F.lit(2))).otherwise(amount)
-    parts = F.split(size, "[.]")
-    groups, fraction = F.split(F.get(parts, F.lit(0)), ","), F.get(parts, F.lit(1))
-    digits = "0123456789"
-    grouped = (F.size(groups) == 1) | ((F.length(F.get(groups, F.lit(0))) <= 3) & F.forall(F.slice(groups, F.lit(2), F.size(groups)), lambda g: F.length(g) == 3))
-    plain_unit = (unit == "") | (unit == "%") | (F.translate(F.lower(unit), "abcdefghijklmnopqrstuvwxyz ._/-", "") == "")
-    ok = (F.length(raw) <= 100) & F.forall(groups, lambda g: _only(g, digits)) & grouped & (fraction.isNull() | _only(fraction, digits)) & (F.size(parts) <= 2) & plain_unit
-    return F.when(ok, F.translate(amount, ",", "").try_cast("double"))
+    return F.when(F.length(raw) <= 100, F.translate(F.regexp_extract(token, _REPORTED, 1), _SIGNS, "").try_cast("double"))
 
 
 def numbers_in(text: Column) -> Column:

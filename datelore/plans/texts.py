@@ -24,7 +24,8 @@ def names_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbers_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("v"), "l_partkey").distinct()
     raw = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("$ "), F.format_number("v", 2))).when(F.col("l_partkey") % 3 == 1, F.concat(F.format_number("v", 1), F.lit(" million"))).otherwise(F.concat(F.format_number("v", 0), F.lit(" + 1")))
-    return parts.select("l_orderkey", "l_linenumber", "l_partkey", text.reported_number(raw).alias("number"))
+    items = parts.select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"))
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", text.reported_number(F.col("raw")).alias("number"))
 
 
 def units_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
