@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -22,21 +23,16 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+#: The longest hedge that a token begins with; a word has to end there.
+_HEDGED = "(?i)^(?:" + "|".join(re.escape(h) + (r"(?![a-z0-9_\u212a])" if h[-1].isalpha() else "") for h in sorted(HEDGES, key=len, reverse=True)) + ")"
+
+
 def hedged_number(raw: Column) -> Column:
     """The number of a copied token that may be a fiscal year (FY24, FY 2024), a number word, or stand behind one hedge; else null."""
-    return _once(F.trim(raw), _hedged)
-
-
-def _hedged(token: Column) -> Column:
-    small = F.lower(token)
-    year = F.regexp_extract(small, r"^fy\s*['’]?(\d{4}|\d\d)$", 1).try_cast("double")
-    written = F.coalesce(*[F.when(small == word, F.lit(number)) for word, number in WRITTEN.items()])
-    fits = []
-    for hedge in sorted(HEDGES, key=len, reverse=True):  # the longest that fits; a word has to end there
-        ends = ~F.substring(small, len(hedge) + 1, 1).rlike("[a-z0-9_]") if hedge[-1].isalpha() else F.lit(True)
-        fits.append(F.when(F.startswith(small, F.lit(hedge)) & ends, F.lit(len(hedge))))
-    bare = F.trim(F.substr(token, F.coalesce(*fits, F.lit(0)) + 1))
-    return F.coalesce(F.when(year < 100, year + 2000).otherwise(year), written, _once(bare, text.reported_number))
+    token = F.trim(raw)
+    year = F.regexp_extract(token, r"(?i)^fy\s*['’]?(\d{4}|\d\d)$", 1).try_cast("double")
+    written = F.coalesce(*[F.when(F.lower(token) == word, F.lit(number)) for word, number in WRITTEN.items()])
+    return F.coalesce(F.when(year < 100, year + 2000).otherwise(year), written, text.reported_number(F.trim(F.regexp_replace(token, _HEDGED, ""))))
 
 
 def magnitude(raw: Column) -> Column:

@@ -21,7 +21,8 @@ def _one_of(number: Column, values: list) -> Column:
 def hedged(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.format_number(F.col("l_quantity") * 1000, 0)
     raw = _one_of(F.col("l_partkey"), [F.concat(F.lit("about "), whole), F.concat(F.lit("FY"), F.lpad((F.col("l_suppkey") % 100).cast("string"), 2, "0")), "Zero", F.concat(F.lit("More than "), whole), "overall 5", F.concat(F.lit("≈ "), F.format_number(F.col("l_extendedprice"), 2))])
-    return views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", wording.hedged_number(raw).alias("number"))
+    items = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"))
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", wording.hedged_number(F.col("raw")).alias("number"))
 
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
