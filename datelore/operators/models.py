@@ -86,16 +86,23 @@ def range_warnings(long: DataFrame, ranges: DataFrame, keys: list[str]) -> DataF
     return both.withColumn("warning", issue).where("warning is not null").select(*keys, "feature_name", "value", "warning")
 
 
-def search_one_field(long: DataFrame, candidates: DataFrame, keys: list[str], terms: DataFrame, intercept: float, target: float) -> DataFrame:
+def search_one_field(long: DataFrame, ranges: DataFrame, candidates: Column, keys: list[str], terms: DataFrame, intercept: float, target: float) -> DataFrame:
     """(keys, feature_name, candidate, score, gap): for each row and feature the candidate value whose score comes nearest to the target.
 
-    Only the changed feature's term differs, so a candidate's score is the row's score less the old term plus the new one: all are scored by one join.
+    candidates is an array over the columns of long and of ranges (feature_name, ...), a short table. Only the changed feature's term differs, so a candidate's score is the
+    row's score less the old term plus the new one. Candidates are made and scored where their cell lies: no row for each of them is shuffled or sorted.
     """
     now = contributions(long, terms)
     total = now.groupBy(*keys).agg((F.sum("contribution") + intercept).alias("_score"))
-    old = now.select(*keys, "feature_name", F.col("contribution").alias("_old"))
-    new = contributions(candidates.select(*keys, "feature_name", F.col("candidate").alias("value")), terms)
-    both = new.join(old, [*keys, "feature_name"]).join(total, keys)
-    score = F.col("_score") - F.col("_old") + F.col("contribution")
-    best = F.min(F.struct(F.abs(score - target).alias("gap"), F.abs("value").alias("size"), F.col("value").alias("candidate"), score.alias("score")))
-    return both.groupBy(*keys, "feature_name").agg(best.alias("b")).select(*keys, "feature_name", "b.candidate", "b.score", "b.gap")
+    of_feature = terms.where("feature_name is not null").groupBy("feature_name").agg(F.collect_list(F.struct("bin", "low", "high", "term")).alias("_terms"))  # as many as bins
+
+    def term(v: Column) -> Column:
+        missing = v.isNull() | F.isnan(v)
+        return F.get(F.filter("_terms", lambda t: F.when(missing, t.bin == 0).otherwise((t.bin > 0) & (v >= t.low) & (v < t.high))), F.lit(0))["term"]
+
+    dealt = now.join(total, keys).repartition(*keys)  # a small table lies in one file, the work on it should not
+    cells = dealt.join(F.broadcast(of_feature), "feature_name").join(F.broadcast(ranges), "feature_name")
+    tried = F.transform(candidates, lambda v: F.struct(v.alias("candidate"), (F.col("_score") - F.col("contribution") + term(v)).alias("score")))
+    tried = F.transform(F.filter(tried, lambda t: t.score.isNotNull()), lambda t: F.struct(F.abs(t.score - target).alias("gap"), F.abs(t.candidate).alias("size"), t.candidate.alias("candidate"), t.score.alias("score")))
+    best = cells.select(*keys, "feature_name", F.explode_outer(F.array(F.array_min(tried))).alias("b")).where("b is not null")  # a filter on the expression itself would compute it twice
+    return best.select(*keys, "feature_name", "b.candidate", "b.score", "b.gap")

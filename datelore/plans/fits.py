@@ -48,8 +48,7 @@ def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = ranking.observed_points(long, models.training_ranges(long))
     unit = F.element_at(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair]), F.col("feature_name"))
     values = ranking.value_grid(F.col("value"), F.col("low"), F.col("high"), F.col("observed"), F.col("least_positive"), unit)
-    grid = long.join(F.broadcast(ranges), "feature_name").select("c_custkey", "feature_name", F.explode(values).alias("candidate"))
-    found = models.search_one_field(long, grid, ["c_custkey"], terms, intercept, 5000.0)
+    found = models.search_one_field(long, ranges, values, ["c_custkey"], terms, intercept, 5000.0)
     return found.select("c_custkey", "feature_name", F.round("candidate", 4).alias("candidate"), F.round("gap", 4).alias("gap"))
 
 
