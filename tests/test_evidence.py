@@ -183,3 +183,16 @@ def test_records_need_each_figure_once_and_their_citations(spark):
     frame = spark.createDataFrame([(r, *m) for r, (ms, _) in enumerate(cases) for m in ms], "r int, name string, status string, value double, scale double, citations array<string>")
     got = {r.r: r.issues for r in grounding.records_checked(frame, index, ["r"], names).collect()}
     assert got == {r: want for r, (_, want) in enumerate(cases)}
+
+
+def test_a_record_meets_its_numbers_once(spark):
+    blocks = spark.createDataFrame([(1, "a", "2 5"), (1, "b", "3"), (1, "c", "4 4")], "r int, block_id string, t string")
+    index = grounding.number_index(blocks, ["r", "block_id"], "t")
+    made = [(1, "total_debt", "calculated", v, 1.0, c) for v, c in ((9.0, ["c", "a", "b"]), (5.0, ["a", "b"]), (5.0, ["a", "a"]), (9.0, ["a", "b", None]))] + [(2, "total_debt", "calculated", 1.0, 1.0, ["a", "b"])]
+    frame = spark.createDataFrame(made, "r int, name string, status string, value double, scale double, citations array<string>")
+    for k, wrong in enumerate([False, False, True, True]):
+        one = frame.where("r = 1").where(F.hash("value", "citations") == F.hash(F.lit(made[k][3]), F.array(*[F.lit(c) for c in made[k][5]])))
+        assert {r.issues == ["total_debt: sum"] for r in grounding.records_checked(one, index, ["r"], ("total_debt",)).collect()} == {wrong}
+    found = grounding.records_checked(frame, index, ["r"], ("total_debt",))
+    assert found.where("r = 2").first().issues == ["total_debt: sum"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
