@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datelore.operators import endpoints
@@ -46,7 +46,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.createDataFrame([(p,) for p in PATHS], "path string")
     cited = views.table(spark, sf_dir, "lineitem").select("l_orderkey", _one_of(F.col("l_partkey"), CITED).alias("path"))
-    return endpoints.canonical_paths(cited, schema, "l_orderkey").groupBy("l_orderkey", "path", "canonical", "issue").agg(F.count(F.lit(1)).alias("n"))
+    found, equal = endpoints.canonical_paths(cited, schema, "l_orderkey"), Window.partitionBy("l_orderkey", "canonical", "path")
+    counted = found.withColumns({"n": F.count(F.lit(1)).over(equal), "_place": F.row_number().over(equal.orderBy("path"))})  # in the order that the rows come in
+    return counted.where("_place = 1").drop("_place")
 
 
 CLAIM_WORDS = [
