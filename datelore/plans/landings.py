@@ -46,20 +46,21 @@ def widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An export for each customer, of a row for each of its orders, some with a fault in the file or in a row; how many rows each gives."""
-    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    c = F.col("c_custkey")
     cik = F.lpad(c.cast("string"), 10, "0")
     verified = views.table(spark, sf_dir, "customer").select(cik.alias("company_cik"), c.cast("string").alias("provider_cid"), F.col("c_name").alias("company_name"))
-    row = F.struct(
-        cik.alias("company_cik"), c.cast("string").alias("provider_cid"), F.when(c % 11 == 1, "other").otherwise(F.col("c_name")).alias("provider_company_name"), F.col("c_mktsegment").alias("industry"), F.lit("esg_score").alias("score_type"),
+    row = lambda of, k: F.struct(
+        cik.alias("company_cik"), c.cast("string").alias("provider_cid"), F.when(c % 11 == 1, "other").otherwise(of["c_name"]).alias("provider_company_name"), of["c_mktsegment"].alias("industry"), F.lit("esg_score").alias("score_type"),
         F.when(c % 11 == 2, 100.5).otherwise((k % 101).cast("double")).alias("score_value"), (k % 2 == 0).alias("score_under_review"), F.when(c % 11 == 3, "soon").otherwise(F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.when(c % 11 == 4, 0).otherwise((k % 100_000).cast("int"))), "yyyy-MM-dd")).alias("last_updated"),
         (2000 + k % 20).alias("assessment_year"),
     )
     orders = views.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    rows = views.table(spark, sf_dir, "customer").join(orders, "c_custkey").groupBy("c_custkey").agg(F.collect_list(row).alias("rows"))
+    of = views.table(spark, sf_dir, "customer").join(orders, "c_custkey").groupBy("c_custkey").agg(F.collect_list(F.struct("c_name", "c_mktsegment", "o_orderkey")).alias("_of"))
+    rows = of.select("c_custkey", F.transform("_of", lambda o: row(o, o["o_orderkey"])).alias("rows"))
     body = F.to_json(F.struct(F.lit("p").alias("provider"), F.when(c % 11 == 5, " ").otherwise("right").alias("license_reference"), F.when(c % 11 == 6, "2024-01-01T00:00:00").otherwise("2024-01-01T00:00:00+00:00").alias("fetched_at"), "rows"))
-    good, issues = scans.score_export(rows.select("c_custkey", body.alias("body")), ["c_custkey"], "body", verified)
-    counts = good.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("score_value").alias("total"))
-    return issues.join(counts, "c_custkey", "left").select("c_custkey", F.array_join("issues", ",").alias("issues"), "n_rows", "total")
+    judged = scans.judged_exports(rows.select("c_custkey", body.alias("body")), ["c_custkey"], "body", verified)
+    total = F.aggregate("rows", F.lit(0.0), lambda so_far, r: so_far + r["score_value"])
+    return judged.select("c_custkey", F.array_join("issues", ",").alias("issues"), F.when(F.col("rows").isNotNull(), F.size("rows")).cast("long").alias("n_rows"), total.alias("total"))
 
 
 def receipt_folders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,39 +127,54 @@ def company_profiles(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
     return told.select(*keys, F.when(ok, F.col("ticker")).alias("ticker"), F.when(ok, bare(F.coalesce("_of.name", F.lit("")))).alias("name"), F.when(ok, F.col("_of.url")).alias("official_url"), issue.alias("issue"))
 
 
-def score_export(documents: DataFrame, keys: list[str], body: str, verified: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, issues) of licensed score exports as JSON (body): an export with an issue gives no rows. verified (company_cik, provider_cid, company_name) are the known identities.
+def judged_exports(documents: DataFrame, keys: list[str], body: str, verified: DataFrame) -> DataFrame:
+    """(keys, issues, rows) of licensed score exports as JSON (body), a row for each: an export with an issue has no rows (null). verified (company_cik, provider_cid, company_name) are the known identities.
 
-    issues (keys, issues): fields (of the document, or of a row, other than the exact set), license, fetched_at (a time with its offset), identity, names, score_type, score_value (a number of 0 to
-    100), review (true, false or null), last_updated (a date), assessment_year (null or a year of YEARS), repeated.
+    issues: fields (of the document, or of a row, other than the exact set), license, fetched_at (a time with its offset), identity, names, score_type, score_value (a number of 0 to 100), review
+    (true, false or null), last_updated (a date), assessment_year (null or a year of YEARS), repeated. keys tell the documents apart; where one is null, identities count as unknown.
+    An export is judged as one row, its rows as an array of it; only its distinct identities leave it, to meet the known ones.
     """
-    raw = documents.select(*keys, F.col(body).alias("_b")).withColumns({"_fields": F.json_object_keys("_b"), "_rows": F.from_json(F.get_json_object("_b", "$.rows"), "array<string>"), "_right": F.get_json_object("_b", "$.license_reference"), "_at": F.get_json_object("_b", "$.fetched_at")})
-    whole = {
-        "fields": F.coalesce(F.array_sort("_fields") == F.array(*map(F.lit, sorted(EXPORT))), F.lit(False)) & F.col("_rows").isNotNull(), "license": F.trim("_right") != "",
-        "fetched_at": F.col("_at").rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)$") & F.col("_at").try_cast("timestamp").isNotNull(),
-    }
-    each = raw.select(*keys, F.posexplode("_rows").alias("_n", "_r")).withColumn("_names", F.json_object_keys("_r"))
-    read = each.select(*keys, "_n", "_names", "_r", *[F.get_json_object("_r", f"$.{c}").alias(c) for c in EXPORT_ROW])
-    kind = lambda c: F.regexp_extract("_r", rf'"{c}"\s*:\s*("|true|false|null|-?[0-9])', 1)
-    known = verified.select("company_cik", "provider_cid", F.col("company_name").alias("provider_company_name"), F.lit(True).alias("_known")).distinct()
-    identity = ["company_cik", "provider_cid", "score_type", "assessment_year", "last_updated"]
-    same = read.groupBy(*[F.col(c).alias(f"_{c}") for c in (*keys, *identity)]).agg(F.count(F.lit(1)).alias("_times"))
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, *identity)]
-    both = read.join(same, on).select(*read.columns, "_times").join(known, ["company_cik", "provider_cid", "provider_company_name"], "left")
-    value = F.col("score_value").try_cast("double")
+    names = lambda found, wanted: F.sort_array(found) == F.array(*map(F.lit, sorted(wanted)))
+    who = ("company_cik", "provider_cid", "provider_company_name")
+    # of a row, m has all values as text and t those that may not be text in JSON
+    of_who, of_m, of_t = f"struct<{', '.join(f'{c}: string' for c in who)}>", "map<string,string>", "struct<score_value: double, score_under_review: boolean, assessment_year: bigint>"
+    # an array that holds more than objects is read one by one, for its issues
+    each = lambda found, kind: F.coalesce(found, F.transform(F.from_json("_b", "rows array<string>")["rows"], lambda r: F.from_json(r, kind)))
+    rows_of = lambda kind: F.from_json("_b", f"rows array<{kind}>")["rows"]
+    raw = documents.select(*keys, F.col(body).alias("_b"))
+    told = raw.select(*keys, "_b", rows_of(of_who).alias("_w")).select(*keys, F.explode(F.array_distinct(F.transform(each(F.col("_w"), of_who), lambda r: F.to_json(r)))).alias("_who"))
+    known = verified.select("company_cik", "provider_cid", F.col("company_name").alias("provider_company_name")).dropna().select(F.to_json(F.struct(*who)).alias("_who"))
+    unknown = told.join(known, "_who", "left_anti").select(*keys).distinct().withColumn("_unknown", F.lit(True))
+    read = raw.withColumns({"_fields": F.json_object_keys("_b"), "_f": F.from_json("_b", f"license_reference string, fetched_at string, rows array<{of_m}>"), "_t": rows_of(of_t)})
+    rows = F.zip_with(each(F.col("_f.rows"), of_m), each(F.col("_t"), of_t), lambda m, t: F.struct(m.alias("m"), t.alias("t")))
+    whole = F.col("_fields").isNotNull()  # of text that is no JSON nothing is read
+    read = read.select(*keys, "_fields", F.when(whole, F.col("_f.license_reference")).alias("_right"), F.when(whole, F.col("_f.fetched_at")).alias("_at"), F.col("_f.rows").isNotNull().alias("_objects"), F.when(whole, rows).alias("_read"))
+    read = read.join(unknown.hint("shuffle_hash"), keys, "left")  # keys only: a sort would carry the exports
+    met = reduce(and_, [F.col(k).isNotNull() for k in keys], F.col("_unknown").isNull())
     rules = {
-        "fields": F.array_sort("_names") == F.array(*map(F.lit, sorted(EXPORT_ROW))), "identity": F.col("company_cik").rlike("^[0-9]{10}$") & F.col("_known"), "names": (F.trim("provider_company_name") != "") & (F.trim("industry") != ""),
-        "score_type": F.col("score_type").isin(*SCORE_TYPES), "score_value": kind("score_value").rlike("^[-0-9]") & value.between(0, 100), "review": kind("score_under_review").isin("true", "false", "null"),
-        "last_updated": F.col("last_updated").rlike(r"^\d{4}-\d\d-\d\d$") & F.col("last_updated").try_cast("date").isNotNull(),
-        "assessment_year": F.col("assessment_year").isNull() | (kind("assessment_year").rlike("^[0-9]") & F.col("assessment_year").rlike("^[0-9]+$") & F.col("assessment_year").try_cast("int").between(*YEARS)), "repeated": F.col("_times") == 1,
+        "fields": lambda m, t: names(F.map_keys(m), EXPORT_ROW), "identity": lambda m, t: m["company_cik"].rlike("^[0-9]{10}$") & met, "names": lambda m, t: (F.trim(m["provider_company_name"]) != "") & (F.trim(m["industry"]) != ""),
+        "score_type": lambda m, t: m["score_type"].isin(*SCORE_TYPES), "score_value": lambda m, t: t["score_value"].between(0, 100), "review": lambda m, t: t["score_under_review"].isNotNull() | (F.map_contains_key(m, "score_under_review") & m["score_under_review"].isNull()),
+        "last_updated": lambda m, t: m["last_updated"].rlike(r"^\d{4}-\d\d-\d\d$") & m["last_updated"].try_cast("date").isNotNull(), "assessment_year": lambda m, t: m["assessment_year"].isNull() | t["assessment_year"].between(*YEARS),
+    }
+    by_all = lambda rule: F.forall("_read", lambda r: F.coalesce(rule(r["m"], r["t"]), F.lit(False)))
+    of_rows = {name: by_all(rule) for name, rule in rules.items()}
+    same = F.transform("_read", lambda r: F.to_json(F.array(*[r["m"][c] for c in ("company_cik", "provider_cid", "score_type", "assessment_year", "last_updated")])))
+    rules = of_rows | {
+        "fields": names(F.col("_fields"), EXPORT) & F.col("_objects") & of_rows["fields"], "license": F.trim("_right") != "",
+        "fetched_at": F.col("_at").rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)$") & F.col("_at").try_cast("timestamp").isNotNull(), "repeated": F.size(F.array_distinct(same)) == F.size("_read"),
     }
-    wrong = both.select(*keys, broken_rules(rules).alias("_i")).groupBy(*keys).agg(F.flatten(F.collect_set("_i")).alias("_of_rows"))
-    told = raw.select(*keys, broken_rules(whole).alias("_of_file")).join(wrong, keys, "left")
-    issues = told.select(*keys, F.array_sort(F.array_distinct(F.concat("_of_file", F.coalesce("_of_rows", F.array().cast("array<string>"))))).alias("issues"))
-    good = both.join(issues.where(F.size("issues") == 0), keys, "left_semi")
-    rows = good.select(*keys, "company_cik", "provider_cid", F.trim("provider_company_name").alias("provider_company_name"), F.trim("industry").alias("industry"), "score_type", value.alias("score_value"),
-                       F.col("score_under_review").cast("boolean").alias("score_under_review"), F.col("last_updated").cast("date").alias("last_updated"), F.col("assessment_year").cast("int").alias("assessment_year"))
-    return rows, issues
+    # without an array nothing is said of rows but that fields are wrong
+    rules = {name: holds if name in ("fields", "license", "fetched_at") else holds | F.col("_read").isNull() for name, holds in rules.items()}
+    judged = read.select(*keys, "_read", F.sort_array(broken_rules(rules)).alias("issues"))
+    clean = lambda m, t: F.struct(m["company_cik"].alias("company_cik"), m["provider_cid"].alias("provider_cid"), F.trim(m["provider_company_name"]).alias("provider_company_name"), F.trim(m["industry"]).alias("industry"), m["score_type"].alias("score_type"),
+                                  t["score_value"].alias("score_value"), t["score_under_review"].alias("score_under_review"), m["last_updated"].try_cast("date").alias("last_updated"), t["assessment_year"].cast("int").alias("assessment_year"))
+    return judged.select(*keys, "issues", F.when(F.size("issues") == 0, F.transform("_read", lambda r: clean(r["m"], r["t"]))).alias("rows"))
+
+
+def score_export(documents: DataFrame, keys: list[str], body: str, verified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, issues) of judged_exports: the rows of the exports without an issue, and (keys, issues) of all."""
+    judged = judged_exports(documents, keys, body, verified)
+    return judged.select(*keys, F.inline("rows")), judged.select(*keys, "issues")
 
 
 _RECEIPT = "category string, version string, fresh_original_extraction boolean, document_id long, company_cik string, company_id string, source_sha256 string, status string, output_sha256 string"

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from datelore.operators import eligibility
+from datelore.plans import landings
 from datelore.sources import exports, scans
 from datelore.sources.files import ExpectationError
 
@@ -100,6 +101,30 @@ def test_every_issue_of_an_export(spark):
     assert sorted((r.k, r.score_value, r.assessment_year is None) for r in rows.collect()) == [(0, 50.0, False), (0, 50.0, True)]
 
 
+def test_rows_of_an_export_are_objects_with_values_of_their_own(spark):
+    """A row inside a string is no row, a value inside another one is not the row's; odd rows do not hide the issues of those beside them."""
+    file = lambda *rows: json.dumps({"provider": "p", "license_reference": "r", "fetched_at": "2024-01-01T00:00:00Z", "rows": list(rows)})
+    odd = "fields,identity,last_updated,names,review,score_type,score_value"
+    first = {"industry": {"score_value": 5}}  # stands before the row's own value
+    cases = {
+        file(json.dumps(ROW)): "fields", file(ROW | {"provider_cid": "8"}, json.dumps(ROW)): "fields,identity", file(first | ROW | first | {"score_value": "50"}): "score_value", file(ROW, 5): odd, file(None): odd,
+        file(ROW | {"assessment_year": 1998}, [1]): "assessment_year," + odd, file(ROW, ROW, "x"): "fields,identity,last_updated,names,repeated,review,score_type,score_value", file(ROW | {"assessment_year": "2024"}, ROW | {"assessment_year": 2023.0}): "assessment_year", file(ROW)[:-1]: "fetched_at,fields,license",
+    }
+    verified = spark.createDataFrame([("0000000001", "7", "Firm"), ("0000000001", "8", None)], "company_cik string, provider_cid string, company_name string")
+    frame = spark.createDataFrame([(k, b) for k, b in enumerate(cases)], "k int, body string")
+    rows, issues = scans.score_export(frame, ["k"], "body", verified)
+    assert {r.k: ",".join(r.issues) for r in issues.collect()} == dict(enumerate(cases.values())) and rows.count() == 0
+    nameless = scans.score_export(spark.createDataFrame([(None, file(ROW)), (None, file(ROW | {"score_value": 101}))], "k int, body string"), ["k"], "body", verified)
+    assert sorted(",".join(r.issues) for r in nameless[1].collect()) == ["identity", "identity,score_value"] and nameless[0].count() == 0
+
+
+def test_exports_are_judged_where_they_lie(spark, sf_dir):
+    """Orders are read for the exports and for their identities, and no join compares or sorts rows of exports."""
+    plan = landings.QUERIES["a35_score_exports"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("o_orderkey") > 0 and len([line for line in plan.splitlines() if "FileScan parquet" in line and "o_custkey" in line]) <= 2
+    assert not [line for line in plan.splitlines() if "SortMergeJoin" in line and ("score_type" in line or "assessment_year" in line)]
+
+
 def test_every_fault_of_a_receipt(spark):
     data = json.dumps({"company": {"ticker": "AB"}})
     sound = {"category": "social", "version": "v", "fresh_original_extraction": True, "document_id": 1, "company_cik": "0" * 10, "company_id": "AB", "source_sha256": "a" * 64, "status": "succeeded", "output_sha256": hashlib.sha256(data.encode()).hexdigest()}
